@@ -4,13 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm import quality
+from credence.llm import bpe, quality
 from credence.llm.common import table
 
 
+#: The public vocabulary files; their place is a parameter of the operators.
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality.ledger(table(spark, sf_dir, "documents"))
     base_failed = ~quality.verdict("base")
