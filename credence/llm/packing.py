@@ -50,16 +50,42 @@ class WordIds:
 
     def forget(self) -> None:
         self.number: dict[str, int] = _Numbered()
-        self.ids = np.zeros(0, np.int32)
-        self.at = np.zeros(1, np.int64)
+        self.ids, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.word: dict[str, int] = _Numbered()
+        self.word_ids, self.word_at = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def _encode_new(self) -> None:
-        new = list(itertools.islice(self.number, len(self.at) - 1, None))
+    def _encode_words(self) -> None:
+        """Let the library encode the words that are new."""
+        new = list(itertools.islice(self.word, len(self.word_at) - 1, None))
         if new:
             found = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(found), np.int32, int(sizes.sum()))])
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
+            self.word_ids = np.concatenate([self.word_ids, np.fromiter(itertools.chain.from_iterable(found), np.int32, int(sizes.sum()))])
+            self.word_at = np.concatenate([self.word_at, self.word_at[-1] + np.cumsum(sizes)])
+
+    def _encode_new(self) -> None:
+        """Ids of new chunks: a mark behind letters is a word of its own, ASCII case does not matter."""
+        new = list(itertools.islice(self.number, len(self.at) - 1, None))
+        if not new:
+            return
+        runs: list[int] = []
+        sizes: list[int] = []
+        number = self.word.__getitem__
+        for chunk in new:
+            body = chunk[:-1]
+            if chunk[-1] in _MARKS and body.isalpha():
+                runs.append(number(body.lower() if body.isascii() else body))
+                runs.append(number(chunk[-1]))
+                sizes.append(2)
+            else:
+                runs.append(number(chunk.lower() if chunk.isalpha() and chunk.isascii() else chunk))
+                sizes.append(1)
+        self._encode_words()
+        run = np.array(runs, np.int64)
+        flat, lens = gather(self.word_ids, self.word_at[run], self.word_at[run + 1] - self.word_at[run])
+        per_chunk = np.add.reduceat(lens, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+        self.ids = np.concatenate([self.ids, flat])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(per_chunk)])
 
     def _joined(self, numbers: list[int] | np.ndarray) -> np.ndarray:
         if isinstance(numbers, np.ndarray):
@@ -88,6 +114,10 @@ class WordIds:
         yield from map(self._joined, block)
 
 
+#: Marks that end a word on their own.
+_MARKS = {".", ",", "!", "?", ":", ";", ")"}
+
+
 class _Numbered(dict):
     def __missing__(self, key: str) -> int:
         n = self[key] = len(self)
