@@ -40,6 +40,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """A table whose rows come in the same order each time it is read: itself if read from files, else a written copy.
+
+    Operators that read their input twice tell its rows apart by
+    ``monotonically_increasing_id``; the splits of a file scan do not depend on the
+    columns read, a shuffle may deal rows differently when columns are pruned.
+    """
+    plan = df._jdf.queryExecution().analyzed().getClass().getSimpleName()
+    return df if plan == "LogicalRelation" else materialise(df, "input")
+
+
 def drop_materialised(df: DataFrame) -> None:
     """Delete the files behind a table that ``materialise`` returned, once nothing reads it any more."""
     spark = df.sparkSession

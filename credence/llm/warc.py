@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm.common import materialise, shared_dir
+from credence.llm.common import materialise, shared_dir, stable
 
 #: Payload bytes from which equal payloads are stored once.
 LEAST = 1000
@@ -96,7 +96,7 @@ def records(pages: DataFrame, least: int = LEAST, date: str = "2024-01-01T00:00:
 
 def write_archives(pages: DataFrame, path: str, least: int = LEAST) -> None:
     """Write deduplicated archives under ``path`` (gzip)."""
-    records(pages, least).write.option("lineSep", _EOL).option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(path)
+    records(stable(pages), least).write.option("lineSep", _EOL).option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
