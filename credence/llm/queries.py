@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm import ann, bpe, jaccard, licenses, packing, quality, sharding, warc
+from credence.llm import ann, bpe, brown, jaccard, licenses, packing, quality, sharding, warc
 from credence.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op7_first_fit_decreasing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op8_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.scores(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality.ledger(table(spark, sf_dir, "documents"))
     base_failed = ~quality.verdict("base")
