@@ -65,22 +65,28 @@ def hilbert_index(cells: Column, dims: int, bits: int) -> Column:
             .otherwise(put(put(a, F.lit(0), head.bitwiseXOR(t)), i, own.bitwiseXOR(t)))
         )
 
+    def gray_code(turned: Column) -> Column:
+        return F.aggregate(turned, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(x.bitwiseXOR(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0))))))
+
+    def flip_of(gray: Column) -> Column:
+        last = F.element_at(gray, -1)
+        power = lambda b: F.pow(F.lit(2), b).cast("int")
+        return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(1), F.lit(-1)), F.lit(0), lambda t, b: F.when(last.bitwiseAND(power(b)) != 0, t.bitwiseXOR(power(b) - 1)).otherwise(t))
+
+    def interleaved(coords: Column) -> Column:
+        order = F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1))
+        return F.aggregate(order, F.lit(0).cast("long"), lambda acc, b: F.aggregate(coords, acc, lambda h, x: h * 2 + F.floor(x / F.pow(F.lit(2), b)).cast("long") % 2))
+
     steps = F.sequence(F.lit(0), F.lit((bits - 1) * dims - 1))
     turned = F.aggregate(steps, cells.cast("array<int>"), step)
-    gray = F.aggregate(
-        turned, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(x.bitwiseXOR(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)))))
-    )
-    last = F.element_at(gray, -1)
-    flip = F.aggregate(
-        F.sequence(F.lit(bits - 1), F.lit(1), F.lit(-1)), F.lit(0),
-        lambda t, b: F.when(last.bitwiseAND(F.pow(F.lit(2), b).cast("int")) != 0, t.bitwiseXOR(F.pow(F.lit(2), b).cast("int") - 1)).otherwise(t),
-    )
-    coords = F.transform(gray, lambda x: x.bitwiseXOR(flip))
-    bit_order = F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1))
-    return F.aggregate(
-        bit_order, F.lit(0).cast("long"),
-        lambda acc, b: F.aggregate(coords, acc, lambda h, x: h * 2 + F.floor(x / F.pow(F.lit(2), b)).cast("long") % 2),
-    )
+    gray = let(turned, gray_code)
+    coords = let(gray, lambda g: let(flip_of(g), lambda t: F.transform(g, lambda x: x.bitwiseXOR(t))))
+    return let(coords, interleaved)
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def with_curve(df: DataFrame, dims: list[str], bits: int = BITS) -> DataFrame:
