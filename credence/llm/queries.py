@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm import ann, bpe, brown, jaccard, licenses, packing, quality, sharding, warc
+from credence.llm import ann, bpe, brown, jaccard, licenses, lines, packing, quality, sharding, warc
 from credence.llm.common import table
 
 
@@ -33,6 +33,11 @@ def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.line_classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("at").alias("line_no"), "component", "kept")
+
+
 def op6_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
