@@ -11,7 +11,9 @@ segments short of one element.
 
 Equal sets are one class before anything is joined. Classes with a common signature
 form a bucket. A bucket first emits one star of pairs; after these are verified, only
-buckets whose members lie in different components emit their remaining pairs.
+buckets whose members lie in different components look at their remaining pairs. A
+pair is dropped unseen only where that is certain: by the sizes, or because counts of
+the elements in ``LANES`` parts of the universe differ by more than linked sets can.
 Verification intersects the whole sets. Nothing is capped.
 
 Defined cases: null, empty and white-space texts have the empty set and are linked
@@ -32,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm.common import materialise, stable
+from credence.llm.common import materialise, parts, stable
 from credence.llm.components import components
 
 WIDTH = 5
@@ -42,6 +44,9 @@ NUM, DEN = 75, 100
 SMALL = 96
 #: Signatures per task of the index.
 PER_TASK = 1_500_000
+#: Parts of the universe whose counts bound the difference of two sets from below.
+LANES = 128
+FINE = 1024
 _WORDS = 1_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -171,20 +176,36 @@ def _in_band(tokens, owner, sizes, k, low, classes, own: bool) -> tuple:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+def lanes_of(s: np.ndarray, lanes: int = LANES) -> bytes:
+    """How many elements lie in each part of the universe, up to 255."""
+    return np.minimum(np.bincount((s % np.uint64(lanes)).astype(np.int64), minlength=lanes), 255).astype(np.uint8).tobytes()
+
+
+def may_link(n_a, lanes_a, n_b, lanes_b) -> np.ndarray:
+    """False where sizes or lane counts (int16 rows) rule out that two sets are linked."""
+    n_a, n_b = np.asarray(n_a, np.int64), np.asarray(n_b, np.int64)
+    apart = np.abs(lanes_a - lanes_b).sum(-1, dtype=np.int64)
+    return (DEN * np.minimum(n_a, n_b) >= NUM * np.maximum(n_a, n_b)) & (apart <= difference(n_a, n_b))
+
+
+def _lanes(column, lanes: int = LANES) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, lanes).astype(np.int16)
+
+
 def _row_sets(batch: pd.DataFrame, width: int) -> list[np.ndarray]:
     return [shingles(None if t is None or t is pd.NA else t, width) for t in batch["text"]]
 
 
 def set_table(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
-    """row, id, n (size of the set) and class of every document."""
+    """row, id, n (size of the set), class, and coarse and fine lane counts of every document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = _row_sets(batch, width)
-            yield pd.DataFrame({"row": batch["row"], "id": batch["id"], "n": list(map(len, sets)), "class": list(map(class_of, sets))})
+            yield pd.DataFrame({"row": batch["row"], "id": batch["id"], "n": list(map(len, sets)), "class": list(map(class_of, sets)), "lanes": list(map(lanes_of, sets)), "fine": [lanes_of(s, FINE) for s in sets]})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"row long, id {kind}, n long, class long")
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"row long, id {kind}, n long, class long, lanes binary, fine binary")
 
 
 def buckets(docs: DataFrame, text_col: str, tasks: int, width: int = WIDTH) -> DataFrame:
@@ -245,18 +266,80 @@ def _groups(sig: np.ndarray, cls: np.ndarray, role: np.ndarray) -> Iterator[pd.D
     yield pd.DataFrame({"bucket": np.repeat(name.astype(np.int64), size)[rows], "class": cls[rows], "star": np.repeat(cls[starts], size)[rows]})
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are linked."""
+def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that sizes and lane counts do not rule out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield batch.loc[may_link(batch["n_a"], _lanes(batch["lanes_a"]), batch["n_b"], _lanes(batch["lanes_b"])), ["a", "b"]]
+
+    side = lambda c: classes.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("lanes").alias(f"lanes_{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long")
+
+
+def cross_pairs(members: DataFrame) -> DataFrame:
+    """Likely pairs (a, b) of a bucket whose roots differ; members: bucket, class, root, n, lanes, fine.
+
+    A task streams its buckets in order and compares a bucket's members in memory, in
+    strips; only pairs that may be linked become rows.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            held.append(batch)
+            last = batch["bucket"].iloc[-1]
+            if held[0]["bucket"].iloc[0] != last:
+                rows = pd.concat(held)
+                yield from pairs_of(rows[rows["bucket"] != last])
+                held = [rows[rows["bucket"] == last]]
+        if held:
+            yield from pairs_of(pd.concat(held))
+
+    def pairs_of(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        bucket, cls, root = (rows[c].to_numpy() for c in ("bucket", "class", "root"))
+        n, lanes, fine = rows["n"].to_numpy(), _lanes(rows["lanes"]), rows["fine"].to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for low, high in zip(cuts[:-1], cuts[1:]):
+            order = low + np.argsort(n[low:high], kind="stable")
+            sizes = n[order]
+            until = np.searchsorted(sizes, DEN * sizes // NUM, "right")  # linked sets are not much larger
+            for i in range(len(order)):
+                j = order[i + 1 : until[i]]
+                j = j[root[j] != root[order[i]]]
+                if len(j):
+                    j = j[may_link(n[order[i]], lanes[order[i]], n[j], lanes[j])]
+                if len(j):
+                    j = j[may_link(n[order[i]], _lanes([fine[order[i]]], FINE), n[j], _lanes(fine[j], FINE))]
+                    if len(j):
+                        found.append((np.full(len(j), cls[order[i]]), cls[j]))
+        if found:
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+    spark = members.sparkSession
+    dealt = members.select("bucket", "class", "root", "n", "lanes", "fine").repartition(parts(spark), "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInPandas(run, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: str, width: int = WIDTH) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are linked; the sets are made again for the classes of the pairs alone."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keep = []
             for x, y in zip(batch["set_a"], batch["set_b"], strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y)) if min(len(x), len(y)) * DEN >= NUM * max(len(x), len(y)) else 0
+                both = len(x) + len(y) - len(np.union1d(x, y))
                 keep.append(DEN * both >= NUM * (len(x) + len(y) - both))
             yield batch.loc[keep, ["a", "b"]]
 
+    named = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+    sets = materialise(sets_of(docs, classes.join(named, "class").select("row"), text_col, width), "compared")
     side = lambda c: sets.select(F.col("class").alias(c), F.col("set").alias(f"set_{c}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInPandas(run, "a long, b long")
 
@@ -277,25 +360,18 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: row (of the input), the id, n_shingles, component_id."""
     docs = stable(docs)
     table = materialise(set_table(docs, id_col, text_col, width), "sets")
-    classes = table.filter("n > 0").groupBy("class").agg(F.min("id").alias("id"), F.min("row").alias("row"), F.first("n").alias("n"))
+    classes = table.filter("n > 0").groupBy("class").agg(F.min("id").alias("id"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("lanes").alias("lanes"), F.first("fine").alias("fine"))
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first().t
     members = materialise(buckets(docs, text_col, max(1, -(-total // PER_TASK)), width), "buckets")
-    sizes = classes.select("class", "n", "row")
-    involved = members.select("class").distinct().join(sizes, "class")
-    sets = materialise(sets_of(docs, involved.select("row"), text_col, width), "involved")
-
     stars = members.filter("star != class").select(F.col("star").alias("a"), F.col("class").alias("b")).distinct()
-    links = materialise(verified(stars, sets), "links")
-    first = materialise(components(links), "roots")
-
-    rooted = members.join(first.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")).select("bucket", "class", "root", "star")
+    pairs = materialise(likely(stars, classes), "pairs")
+    links = materialise(verified(pairs, classes, docs, text_col, width), "links")
+    first = materialise(components(links), "roots").withColumnRenamed("node", "class")
+    rooted = members.join(first, "class", "left").withColumn("root", F.coalesce("root", "class"))
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("bucket")
-    open_ = rooted.join(mixed, "bucket").join(involved.select("class", "n"), "class")
-    left = open_.select("bucket", F.col("class").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), "star")
-    right = open_.select("bucket", F.col("class").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-    fits = (F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & (DEN * F.least("na", "nb") >= NUM * F.greatest("na", "nb"))
-    rest = left.join(right, "bucket").filter(fits & (F.col("a") != F.col("star"))).select("a", "b").distinct()  # pairs with the star are done
-    more = materialise(verified(rest, sets), "links")
+    open_ = rooted.join(mixed, "bucket").join(classes.select("class", "n", "lanes", "fine"), "class")
+    rest = materialise(cross_pairs(open_).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = materialise(verified(rest, classes, docs, text_col, width), "links")
 
     roots = components(links.unionByName(more)).withColumnRenamed("node", "class")
     whole = classes.select("class", "id").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
