@@ -36,6 +36,8 @@ from credence.llm.common import materialise, parts
 
 #: Words that are clustered, classes they are clustered into.
 CORE, CLASSES = 1000, 48
+#: Characters of a block, which bound what a task holds at once.
+BLOCK = 6_000_000
 #: Weight of the class model against word frequencies.
 WEIGHT = 0.95
 _END = ""  # no word is empty
@@ -55,21 +57,25 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        for n, batch in enumerate(batches):
-            number = _Numbered()
-            number[_END.encode()]
-            runs = []
-            for t in batch["text"]:
-                words = ("" if t is None or t is pd.NA else t).encode().lower().split()
-                runs.append([*map(number.__getitem__, words), 0])
-            lens = np.fromiter(map(len, runs), np.int32, len(runs))
-            tokens = np.fromiter((x for r in runs for x in r), np.int32, int(lens.sum()))
-            held = batch["held_out"].to_numpy(bool)
-            counts = np.bincount(tokens[np.repeat(~held, lens)], minlength=len(number))
-            yield pd.DataFrame({
-                "block": [(task << 32) + n], "ids": [batch["id"].tolist()], "held_out": [held.tolist()], "lens": [lens.tobytes()],
-                "tokens": [zlib.compress(tokens.tobytes(), 1)], "words": [[w.decode() for w in number]], "counts": [counts.tolist()],
-            })
+        n = 0
+        for batch in batches:
+            texts = ["" if t is None or t is pd.NA else t for t in batch["text"]]
+            ends = np.cumsum([len(t) for t in texts]) // BLOCK
+            for low, high in _runs(ends):
+                yield block((task << 32) + n, texts[low:high], batch["id"].iloc[low:high].tolist(), batch["held_out"].to_numpy(bool)[low:high])
+                n += 1
+
+    def block(name: int, texts: list[str], ids: list, held: np.ndarray) -> pd.DataFrame:
+        number = _Numbered()
+        number[_END.encode()]
+        runs = [np.array([*map(number.__getitem__, t.encode().lower().split()), 0], np.int32) for t in texts]
+        lens = np.fromiter(map(len, runs), np.int32, len(runs))
+        tokens = np.concatenate(runs)
+        counts = np.bincount(tokens[np.repeat(~held, lens)], minlength=len(number))
+        return pd.DataFrame({
+            "block": [name], "ids": [ids], "held_out": [held.tolist()], "lens": [lens.tobytes()],
+            "tokens": [zlib.compress(tokens.tobytes(), 1)], "words": [[w.decode() for w in number]], "counts": [counts.tolist()],
+        })
 
     kind = docs.schema[id_col].dataType.simpleString()
     checksum = F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8"))
@@ -77,6 +83,12 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInPandas(run, f"block long, ids array<{kind}>, held_out array<boolean>, lens binary, tokens binary, words array<string>, counts array<long>")
 
 
+def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
+    """First and last places of the runs of equal keys."""
+    cuts = np.flatnonzero(np.diff(keys)) + 1
+    return list(zip([0, *cuts], [*cuts, len(keys)])) if len(keys) else []
+
+
 def _unpack(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens, whether each is the first of its document, and whether its document is held out."""
     lens = np.frombuffer(row.lens, np.int32)
