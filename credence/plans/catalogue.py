@@ -1,18 +1,515 @@
-"""Registered queries of the memory engine and their DuckDB statements."""
+"""Registered queries of the memory engine and their DuckDB statements.
+
+Query vectors are the embedding of vector 0; thresholds are the data's own (the
+defaults of the operators never fire on random vectors).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from credence.functions import kernels, text
+from credence.operators import analytics, candidates, clustering, maintenance, scoring, similarity, tail, writes
+from credence.operators.binding import NOW, NOW_MAINT, in_scope, is_valid, memories, memories_cte, now, table
+from credence.sources import text_sources
+from credence.streaming import state
 
 #: The query that ``entry`` runs.
 FLAGSHIP = "baseline_topk"
 
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+_TERMS = ["the", "of", "and"]
+_DEFAULT, _PROJECT = "src0", "src3"
+SIGMA_Q = 0.4
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
+    return list(table(spark, sf_dir, "embeddings").filter(F.col("vec_id") == vec_id).first().embedding)
+
+
+M = f"WITH {memories_cte()}"
+DOT = "list_inner_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))".format
+Q0 = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
+COS0 = DOT(a="embedding", b=Q0)
+T = "TIMESTAMP '{}'".format
+AGE = "(date_diff('second', {ts}, " + T(NOW) + ") / 86400.0)"
+
+# -- retrieval -------------------------------------------------------------------------------
+
+
+@query(f"{M} SELECT id, round({COS0}, 6) AS score FROM memories WHERE embedding IS NOT NULL ORDER BY score DESC, id LIMIT 8")
+def baseline_topk(spark, sf):
+    return candidates.cosine_topk(memories(spark, sf), query_vector(spark, sf), 8)
+
+
+@query(f"""{M}, s AS (SELECT id, project, round({COS0}, 6) AS score FROM memories WHERE embedding IS NOT NULL),
+ u AS ((SELECT id, score FROM s WHERE project = '{_PROJECT}' ORDER BY score DESC, id LIMIT 20) UNION ALL (SELECT id, score FROM s WHERE project = '{_DEFAULT}' ORDER BY score DESC, id LIMIT 6))
+ SELECT id, max(score) AS score FROM u GROUP BY id""")
+def scoped_topk_blend(spark, sf):
+    return candidates.blended_topk(memories(spark, sf), query_vector(spark, sf), 20, _PROJECT, _DEFAULT)
+
+
+def _bm25_sql(having: str) -> str:
+    return f"""WITH t AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS terms FROM documents),
+ c AS (SELECT count(*) AS n, avg(len(terms)) AS avg_len FROM t),
+ p AS (SELECT id, len(terms) AS length, unnest(terms) AS term FROM t),
+ h AS (SELECT id, length, term, count(*) AS tf FROM p WHERE term IN ('the', 'of', 'and') GROUP BY 1, 2, 3),
+ d AS (SELECT term, count(*) AS df FROM h GROUP BY term)
+ SELECT id, round(sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avg_len))), 6) AS score
+ FROM h JOIN d USING (term), c GROUP BY id {having} ORDER BY score DESC, id LIMIT 50"""
+
+
+@query(_bm25_sql("HAVING count(*) = 3"))
+def keyword_bm25_and(spark, sf):
+    return candidates.bm25(table(spark, sf, "documents"), _TERMS, 50, True, "doc_id")
+
+
+@query(_bm25_sql(""))
+def keyword_bm25_or(spark, sf):
+    return candidates.bm25(table(spark, sf, "documents"), _TERMS, 50, False, "doc_id")
+
+
+@query(f"""{M}, a AS (SELECT id, row_number() OVER (ORDER BY round({COS0}, 6) DESC, id) AS r FROM memories WHERE embedding IS NOT NULL QUALIFY r <= 40),
+ b AS (SELECT id, row_number() OVER (ORDER BY access_count DESC, id) AS r FROM memories QUALIFY r <= 20)
+ SELECT id, round(sum(1.0 / (60 + r)), 8) AS rrf FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id""")
+def rrf_fusion(spark, sf):
+    m = memories(spark, sf)
+    near = candidates.cosine_topk(m, query_vector(spark, sf), 40)
+    return candidates.rrf([near, candidates.access_top(m).select("id", F.col("access_count").cast("double").alias("score"))])
+
+
+@query(f"""{M}, h AS (SELECT id, ts, memory_type FROM memories WHERE abs({AGE.format(ts='ts')} - 5) <= 2)
+ (SELECT * FROM h ORDER BY ts DESC, id LIMIT 20) UNION (SELECT * FROM h WHERE memory_type = 'session' ORDER BY ts DESC, id LIMIT 10)""")
+def temporal_window_candidates(spark, sf):
+    return candidates.temporal_window(memories(spark, sf), text.temporal_cue("what changed this week?"), now())
+
+
+@query(f"{M} SELECT id, access_count FROM memories ORDER BY access_count DESC, id LIMIT 20")
+def access_top20(spark, sf):
+    return candidates.access_top(memories(spark, sf))
+
+
+@query("SELECT user_id AS id, max(ts) AS last_seen FROM events GROUP BY user_id ORDER BY last_seen DESC, id LIMIT 100")
+def hot_list_topn(spark, sf):
+    return candidates.hot_list(table(spark, sf, "events"), "user_id", "ts")
+
+
+@query(r"SELECT doc_id, length(trim(text)) >= 30 AND NOT regexp_matches(trim(text), '^https?://\S+$') AND NOT regexp_matches(trim(text), '^\S+$') AND len(regexp_extract_all(trim(text), '\s')) >= 3 AS good FROM documents")
+def quality_gate(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.good_result(F.col("text")).alias("good"))
+
+
+@query(r"""SELECT conv_id, turn, length(trim(coalesce(text, ''))) < 15 OR len(regexp_extract_all(trim(coalesce(text, '')), '\s')) < 2
+ OR (regexp_matches(trim(text), '^[a-z]') AND regexp_matches(lower(trim(text)), '\b(u|ur|tryna|wanna|gonna|idk|imma|dunno|lemme)\b'))
+ OR regexp_matches(trim(text), '(?i)^(hm+|yea+h?|nah|yo|lol|haha|hmm+|huh|ok so|so yea)\b') AS low FROM conversations""")
+def low_signal_gate(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", text.low_signal(F.col("text")).alias("low"))
+
+
+def _scope(strict: bool, project: str):
+    def run(spark, sf):
+        return memories(spark, sf).filter(in_scope(project, strict, _DEFAULT) & is_valid()).groupBy("project").agg(F.count("*").alias("n"))
+
+    return run
+
+
+for _name, _strict, _p, _where in (("default", False, _DEFAULT, "true"), ("strict", True, _PROJECT, f"project = '{_PROJECT}'"), ("blend", False, _PROJECT, f"project IN ('{_PROJECT}', '{_DEFAULT}')")):
+    _QUERIES[f"project_scope_{_name}"] = _scope(_strict, _p)
+    _SQL[f"project_scope_{_name}"] = f"{M} SELECT project, count(*) AS n FROM memories WHERE {_where} AND (valid_to IS NULL OR valid_to > {T(NOW)}) GROUP BY project"
+
+POOL = 60
+_POOL_SQL = f"pool AS (SELECT *, {COS0} AS cos FROM memories WHERE embedding IS NOT NULL ORDER BY cos DESC, id LIMIT {POOL})"
+_MM = "CASE WHEN max({v}) OVER () = min({v}) OVER () THEN 1.0 ELSE ({v} - min({v}) OVER ()) / (max({v}) OVER () - min({v}) OVER ()) END".format
+_NORM_SQL = f"""damped AS (SELECT *, cos * greatest(0.75, 1 - 0.25 * greatest(0.0, sigma - {SIGMA_Q})) AS dc, greatest(0.0, 1 - {AGE.format(ts='last_accessed')} / 90) AS rec,
+  least(1.0, ln(1 + access_count) / ln(51)) AS acc FROM pool),
+ normed AS (SELECT *, {_MM(v='dc')} AS nc, {_MM(v='rec')} AS nr, {_MM(v='acc')} AS na FROM damped)"""
+_PRIMARY_SQL = f"""{_NORM_SQL}, scored AS (SELECT *, (0.50 * nc + 0.27 * nr + 0.08 * na + CASE WHEN abs({AGE.format(ts='ts')} - 5) <= 2 THEN 0.35 * (1 - abs({AGE.format(ts='ts')} - 5) / 2) ELSE 0 END)
+  * (1 - CASE WHEN memory_type = 'session' AND length(text) > 500 THEN least(0.15, 0.04 * log2(length(text) / 500.0)) ELSE 0 END)
+  * least(1.4, greatest(0.7, 0.7 + 0.7 * exp(-(2 * (1 - greatest(nc, 0.0)) / ((sigma + {SIGMA_Q}) / 2) / 8 + ln(((sigma + {SIGMA_Q}) / 2) / sqrt(sigma * {SIGMA_Q})) / 2)))) AS ps FROM normed)"""
+
+
+def _primary(spark, sf) -> DataFrame:
+    pool = scoring.candidate_pool(memories(spark, sf), query_vector(spark, sf), POOL)
+    return scoring.primary(pool, now(), SIGMA_Q, 5)
+
+
+@query(f"{M}, {_POOL_SQL}, {_NORM_SQL} SELECT id, round(nc, 6) AS norm_cos FROM normed")
+def minmax_cosine_batch(spark, sf):
+    return _primary(spark, sf).select("id", F.round("norm_cos", 6).alias("norm_cos"))
+
+
+@query(f"{M}, {_POOL_SQL}, {_PRIMARY_SQL} SELECT id, round(ps, 6) AS primary_score FROM scored")
+def primary_score(spark, sf):
+    return _primary(spark, sf).select("id", F.round("primary_score", 6).alias("primary_score"))
+
+
+_ACT_SQL = f"""{_PRIMARY_SQL}, anchors AS (SELECT id AS a_id, embedding AS a_emb FROM scored ORDER BY ps DESC, id LIMIT 3),
+ near AS (SELECT id, avg({DOT(a='embedding', b='a_emb')}) AS nb FROM scored, anchors WHERE id <> a_id GROUP BY id),
+ active AS (SELECT s.*, (ps + 0.4 * coalesce(nb, 0) * greatest(0.0, 1 - sigma) * CASE WHEN contradiction THEN 0.3 ELSE 1 END + CASE WHEN memory_type = 'session' THEN 0.10 * nc ELSE 0 END
+   + least(0.10, greatest(0.0, 0.10 * (1 - {AGE.format(ts='ts')} / 2)))) * CASE WHEN regexp_matches(text, '(?i)^(Edited:|Worked on .+edited|Ran:)') THEN 0.55 ELSE 1 END AS score FROM scored s LEFT JOIN near USING (id))"""
+
+
+@query(f"{M}, {_POOL_SQL}, {_ACT_SQL} SELECT id, round(score, 6) AS score FROM active")
+def spreading_activation(spark, sf):
+    return scoring.activate(_primary(spark, sf), now(), SIGMA_Q, 5).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"""{M}, {_POOL_SQL}, {_ACT_SQL}, ordered AS (SELECT id, sigma, round(score, 6) AS score, count_if(sigma <= 0.72) OVER () AS passed, row_number() OVER (ORDER BY round(score, 6) DESC, id) AS r, count(*) OVER () AS n FROM active)
+ SELECT id, score FROM ordered WHERE CASE WHEN passed >= 2 THEN sigma <= 0.72 ELSE r <= greatest(2, ceil(n / 2.0)) END""")
+def sigma_gate(spark, sf):
+    scored = spreading_activation(spark, sf).join(memories(spark, sf).select("id", "sigma"), "id")
+    gate = max(0.65, 1.8 * SIGMA_Q)
+    counted = scored.crossJoin(F.broadcast(scored.agg(F.count_if(F.col("sigma") <= gate).alias("passed"), F.count("*").alias("n"))))  # one row
+    from pyspark.sql.window import Window
+
+    ranked = counted.withColumn("r", F.row_number().over(Window.partitionBy("n").orderBy(F.desc("score"), "id")))
+    return ranked.filter(F.when(F.col("passed") >= 2, F.col("sigma") <= gate).otherwise(F.col("r") <= F.greatest(F.lit(2), F.ceil(F.col("n") / 2)))).select("id", "score")
+
+
+_HOP = """h{n} AS (SELECT id, max(cos) AS cos FROM (SELECT e.vec_id AS id, f.id AS fid, round({dot}, 6) AS cos, row_number() OVER (PARTITION BY f.id ORDER BY round({dot}, 6) DESC, e.vec_id) AS r
+ FROM embeddings e, {src} f JOIN embeddings fe ON fe.vec_id = f.id WHERE e.vec_id IN (SELECT doc_id FROM documents)) WHERE r <= 3 AND cos >= 0.3 AND id NOT IN ({seen}) GROUP BY id)"""
+_HDOT = DOT(a="e.embedding", b="fe.embedding")
+
+
+@query(f"""WITH f0 AS (SELECT unnest([0, 1, 2]) AS id), {_HOP.format(n=1, dot=_HDOT, src='f0', seen='0, 1, 2')}, {_HOP.format(n=2, dot=_HDOT, src='h1', seen='SELECT id FROM f0 UNION SELECT id FROM h1')}
+ SELECT id, round(cos * 0.6, 6) AS score FROM h1 UNION ALL SELECT id, round(cos * 0.36, 6) FROM h2""")
+def bfs_two_hop(spark, sf):
+    return scoring.two_hops(memories(spark, sf), [0, 1, 2], floor=0.3)
+
+
+_ENT = "SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(text, '[A-Z][a-z]{8,}')) AS entity FROM documents"
+
+
+@query(f"""WITH e AS ({_ENT}), m AS (SELECT entity, count(*) AS m FROM e GROUP BY entity)
+ SELECT id, round(least(0.10, 0.03 * sum((m - 1) / log2(greatest(2, m)))), 6) AS bonus FROM e JOIN m USING (entity) GROUP BY id""")
+def entity_cohesion(spark, sf):
+    found = F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Z][a-z]{8,})"), F.lit(1)))
+    return scoring.cohesion_bonus(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.explode(found).alias("entity")))
+
+
+@query()
+def retrieve_full(spark, sf):
+    m = memories(spark, sf).filter(is_valid() & text.good_result(F.col("text")))
+    scored = scoring.activate(scoring.primary(scoring.candidate_pool(m, query_vector(spark, sf), POOL), now(), SIGMA_Q, 5), now(), SIGMA_Q, 5)
+    scored = scored.checkpoint()  # 60 rows, read again by the hops and the tail
+    start = [r.id for r in scored.orderBy(F.desc("score"), "id").limit(3).collect()]
+    hops = scoring.two_hops(m, start, floor=0.3).join(m, "id").withColumn("primary_score", F.lit(0.0))
+    return tail.apply_tail(scored, hops, 8, SIGMA_Q, temporal=True)
+
+
+@query(f"""{M}, u AS ((SELECT id, round({COS0}, 6) AS score FROM memories WHERE embedding IS NOT NULL ORDER BY score DESC, id LIMIT 10)
+ UNION ALL (SELECT id, round({DOT(a='embedding', b='(SELECT embedding FROM embeddings WHERE vec_id = 1)')}, 6) AS score FROM memories WHERE embedding IS NOT NULL ORDER BY score DESC, id LIMIT 6)
+ UNION ALL (SELECT id, round({DOT(a='embedding', b='(SELECT embedding FROM embeddings WHERE vec_id = 2)')}, 6) AS score FROM memories WHERE embedding IS NOT NULL ORDER BY score DESC, id LIMIT 6)),
+ b AS (SELECT id, max(score) AS score FROM u WHERE score >= 0.2 GROUP BY id), k AS (SELECT b.*, substr(text, 1, 80) AS head, memory_type FROM b JOIN memories USING (id)),
+ d AS (SELECT *, row_number() OVER (PARTITION BY head ORDER BY score DESC, id) AS first FROM k QUALIFY first = 1),
+ s AS (SELECT *, row_number() OVER (PARTITION BY memory_type ORDER BY score DESC, id) AS nth FROM d)
+ SELECT id, score FROM s WHERE memory_type <> 'session' OR nth <= 3 ORDER BY score DESC, id LIMIT 12""")
+def multi_query_merge(spark, sf):
+    from pyspark.sql.window import Window
+
+    m = memories(spark, sf)
+    three = [candidates.cosine_topk(m, query_vector(spark, sf, v), k) for v, k in ((0, 10), (1, 6), (2, 6))]
+    best = three[0].unionByName(three[1]).unionByName(three[2]).filter("score >= 0.2").groupBy("id").agg(F.max("score").alias("score"))
+    heads = best.join(m.select("id", F.substring("text", 1, 80).alias("head"), "memory_type"), "id")
+    order = lambda c: Window.partitionBy(c).orderBy(F.desc("score"), "id")
+    once = heads.withColumn("n", F.row_number().over(order("head"))).filter("n = 1").withColumn("n", F.row_number().over(order("memory_type")))
+    return once.filter("memory_type <> 'session' OR n <= 3").select("id", "score").orderBy(F.desc("score"), "id").limit(12)
+
+
+# -- maintenance -----------------------------------------------------------------------------
+
+_MAGE = "(date_diff('second', {ts}, " + T(NOW_MAINT) + ") / 86400.0)"
+
+
+@query(f"""{M}, d AS (SELECT id, round(sigma + 0.02 / (1 + ln(access_count + 1)) * CASE WHEN access_count = 0 AND {_MAGE.format(ts='last_accessed')} > 7 THEN 3 ELSE 1 END, 6) AS new_sigma FROM memories)
+ SELECT id, new_sigma, new_sigma > 2.0 AS pruned FROM d""")
+def decay_pass(spark, sf):
+    return maintenance.decay_pass(memories(spark, sf), now(NOW_MAINT))
+
+
+@query(f"{M} SELECT id FROM memories WHERE access_count = 0 AND memory_type = 'episodic' AND length(text) < 400 AND {_MAGE.format(ts='ts')} > 30")
+def prune_junk(spark, sf):
+    return maintenance.junk(memories(spark, sf), now(NOW_MAINT), 400).select("id")
+
+
+@query(f"{M} SELECT id, ts FROM memories WHERE access_count = 0 AND memory_type NOT IN ('session', 'decision') AND {_MAGE.format(ts='ts')} > 30 AND sigma > 1.5 ORDER BY ts, id LIMIT 100")
+def cold_archive(spark, sf):
+    return maintenance.cold(memories(spark, sf), now(NOW_MAINT)).select("id", "ts")
+
+
+@query(f"{M}, k AS (SELECT id, first_value(id) OVER (PARTITION BY text ORDER BY access_count DESC, round(sigma, 6), ts, id) AS keeper, count(*) OVER (PARTITION BY text) AS n FROM memories) SELECT id, keeper FROM k WHERE n > 1")
+def exact_dedupe_keepers(spark, sf):
+    return maintenance.exact_keepers(memories(spark, sf))
+
+
+@query(rf"{M}, t AS (SELECT *, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g')) AS k FROM memories), k AS (SELECT id, first_value(id) OVER (PARTITION BY k ORDER BY access_count DESC, round(sigma, 6), ts, id) AS keeper, count(*) OVER (PARTITION BY k) AS n FROM t) SELECT id, keeper FROM k WHERE n > 1")
+def normalized_dedupe(spark, sf):
+    return maintenance.normalised_keepers(memories(spark, sf))
+
+
+@query(f"{M} SELECT a.id AS a, b.id AS b, round({DOT(a='a.embedding', b='b.embedding')}, 6) AS cos FROM memories a JOIN memories b ON a.domain = b.domain AND a.id < b.id WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL AND round({DOT(a='a.embedding', b='b.embedding')}, 6) > 0.35")
+def near_dup_pairs(spark, sf):
+    return similarity.theta_pairs(memories(spark, sf), "domain", 0.35)
+
+
+@query(f"""WITH RECURSIVE {memories_cte()}, p AS (SELECT a.id AS a, b.id AS b FROM memories a JOIN memories b ON a.domain = b.domain AND a.id <> b.id WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL AND round({DOT(a='a.embedding', b='b.embedding')}, 6) > 0.35),
+ r AS (SELECT a AS id, a AS root FROM p UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.id) SELECT id, min(root) AS root FROM r GROUP BY id""")
+def near_dup_groups(spark, sf):
+    return similarity.connected(similarity.theta_pairs(memories(spark, sf), "domain", 0.35))
+
+
+@query(f"""{M}, n AS (SELECT a.id, b.id AS other, round({DOT(a='a.embedding', b='b.embedding')}, 6) AS cos FROM memories a JOIN memories b ON a.project = b.project AND a.id <> b.id WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL)
+ SELECT id, row_number() OVER (PARTITION BY id ORDER BY cos DESC, other) AS rank, other, cos FROM n QUALIFY rank <= 3""")
+def knn_same_project(spark, sf):
+    return similarity.knn(memories(spark, sf), "project", 3)
+
+
+@query()
+def recent_dedup(spark, sf):
+    recent = memories(spark, sf).filter(F.col("ts") >= F.lit("2024-01-25").cast("timestamp"))
+    return maintenance.near_duplicates_to_drop(recent, 0.3, True, 2, 200)
+
+
+@query()
+def cold_dedup(spark, sf):
+    return maintenance.near_duplicates_to_drop(memories(spark, sf).filter("access_count = 0"), 0.3, False, 3, 500)
+
+
+_CENT = "c AS (SELECT label, d, sum(x) AS s, count(*) AS n FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS d FROM embeddings) GROUP BY 1, 2), l AS (SELECT label, sqrt(sum(s * s)) AS norm FROM c GROUP BY label), a AS (SELECT 'c' || label AS name, list(s / norm ORDER BY d) AS emb FROM c JOIN l USING (label) GROUP BY label)"
+
+
+def _anchors(spark, sf):
+    c = similarity.centroids(table(spark, sf, "embeddings"), "label")
+    return c.select(F.concat(F.lit("c"), F.col("label")).alias("name"), "emb")
+
+
+@query(f"WITH {_CENT} SELECT label, d, round(s / norm, 6) AS x, n FROM c JOIN l USING (label)")
+def anchor_centroids(spark, sf):
+    c = similarity.centroids(table(spark, sf, "embeddings"), "label")
+    return c.select("label", F.posexplode("emb").alias("d", "x"), F.col("cnt").alias("n")).select("label", (F.col("d") + 1).cast("long").alias("d"), F.round("x", 6).alias("x"), "n")
+
+
+_NEAR = f"b AS (SELECT m.id, name, round({DOT(a='m.embedding', b='emb')}, 6) AS cos, row_number() OVER (PARTITION BY m.id ORDER BY round({DOT(a='m.embedding', b='emb')}, 6) DESC, name) AS r FROM memories m, a WHERE m.embedding IS NOT NULL QUALIFY r = 1)"
+
+
+@query(f"{M}, {_CENT}, {_NEAR} SELECT id, name, cos FROM b")
+def nearest_anchor(spark, sf):
+    return similarity.nearest_anchor(memories(spark, sf), _anchors(spark, sf))
+
+
+@query(f"{M}, {_CENT}, {_NEAR} SELECT id, cos, CASE WHEN cos >= 0.15 THEN name ELSE 'general' END AS target FROM b")
+def targeted_reclass(spark, sf):
+    return maintenance.remap(similarity.nearest_anchor(memories(spark, sf), _anchors(spark, sf)), 0.15)
+
+
+@query(f"{M}, {_CENT}, s AS (SELECT project FROM memories GROUP BY project HAVING count(*) < 45), {_NEAR} SELECT id, cos, CASE WHEN cos >= 0.15 THEN name ELSE 'general' END AS target FROM b WHERE id IN (SELECT id FROM memories WHERE project IN (SELECT project FROM s))")
+def singleton_remap(spark, sf):
+    m = memories(spark, sf).drop("domain").withColumnRenamed("project", "domain")
+    few = m.join(F.broadcast(maintenance.singleton_domains(m, 45)), "domain", "left_semi")  # names of small groups
+    return maintenance.remap(similarity.nearest_anchor(few, _anchors(spark, sf)), 0.15)
+
+
+@query()
+def leader_micros(spark, sf):
+    return clustering.rebuild(memories(spark, sf), 0.3, 0.12, 0.10)
+
+
+@query()
+def upgma_curve(spark, sf):
+    return clustering.curve(memories(spark, sf), 0.3, 0.10, [0.10, 0.12, 0.15, 0.18, 0.20])
+
+
+# -- reports ---------------------------------------------------------------------------------
+
+
+@query(f"{M} SELECT domain, memory_type, count(*) AS n, round(avg(sigma), 6) AS avg_sigma, count_if(contradiction) AS contradictions FROM memories GROUP BY GROUPING SETS ((domain), (memory_type), ())")
+def stats_grouping_sets(spark, sf):
+    return analytics.stats(memories(spark, sf))
+
+
+@query(f"{M} SELECT domain, count(*) AS n FROM memories GROUP BY domain")
+def stats_by_domain(spark, sf):
+    return memories(spark, sf).groupBy("domain").agg(F.count("*").alias("n"))
+
+
+@query(f"{M} SELECT count_if(sigma < 0.3) AS sharp, count_if(sigma >= 0.3 AND sigma < 0.8) AS clear, count_if(sigma >= 0.8 AND sigma < 1.8) AS vague, count_if(sigma >= 1.8) AS fading, count_if(access_count > 50) AS hot, count_if(access_count > 0 AND access_count <= 50) AS warm, count_if(access_count = 0) AS cold FROM memories")
+def stats_sigma_buckets(spark, sf):
+    return analytics.sigma_buckets(memories(spark, sf))
+
+
+_LIST = f"{M} SELECT id, domain, memory_type, ts, access_count, last_accessed, round(sigma, 6) AS sigma, substr(text, 1, 80) AS head FROM memories"
+
+
+@query(f"{_LIST} ORDER BY ts DESC, id LIMIT 50")
+def list_recent(spark, sf):
+    return analytics.listing(memories(spark, sf))
+
+
+@query(f"{_LIST} ORDER BY round(sigma, 6), id LIMIT 50")
+def list_sigma(spark, sf):
+    return analytics.listing(memories(spark, sf), "sigma")
+
+
+_EDGES = f"p AS (SELECT a.id AS a, b.id AS b, a.ts AS ta, b.ts AS tb, round({DOT(a='a.embedding', b='b.embedding')}, 6) AS cos FROM memories a JOIN memories b ON a.domain = b.domain AND a.id < b.id WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL AND round({DOT(a='a.embedding', b='b.embedding')}, 6) > 0.3), e AS (SELECT CASE WHEN ta <= tb THEN b ELSE a END AS from_id, CASE WHEN ta <= tb THEN a ELSE b END AS to_id, CASE WHEN cos >= 0.38 THEN 'supersedes' ELSE 'conflicts_with' END AS relation_type FROM p)"
+
+
+@query(f"{M}, {_EDGES} SELECT * FROM e")
+def supersede_direction(spark, sf):
+    m = memories(spark, sf)
+    return analytics.relations(similarity.theta_pairs(m, "domain", 0.3), m, 0.38)
+
+
+@query(f"""{M}, {_EDGES}, n AS (SELECT * FROM memories ORDER BY ts DESC, id LIMIT 50)
+ SELECT id, ts, strftime(ts, '%Y-%m') AS month, CASE WHEN id IN (SELECT to_id FROM e WHERE relation_type = 'supersedes') THEN '[SUPERSEDED]' WHEN id IN (SELECT from_id FROM e WHERE relation_type = 'conflicts_with' UNION SELECT to_id FROM e WHERE relation_type = 'conflicts_with') THEN '[CONFLICT]' WHEN contradiction THEN '[FLAGGED]' ELSE '' END AS mark FROM n""")
+def timeline_marked(spark, sf):
+    m = memories(spark, sf)
+    return analytics.timeline(m, analytics.relations(similarity.theta_pairs(m, "domain", 0.3), m, 0.38), 50)
+
+
+_HIST = "h AS (SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n, ts FROM events), s AS (SELECT id, n, greatest(0.5 * power(0.85, n), 0.15) AS sigma FROM h)"
+
+
+@query(f"""WITH {_HIST}, g AS (SELECT id, round(arg_min(sigma, n), 6) AS first_sigma, round(arg_max(sigma, n), 6) AS last_sigma, count(*) AS steps FROM s GROUP BY id), d AS (SELECT *, round(first_sigma - last_sigma, 6) AS drop FROM g)
+ SELECT *, CASE WHEN drop >= 0.3 THEN 'strongly reinforced' WHEN drop >= 0.15 THEN 'reinforced' WHEN drop >= 0.05 THEN 'slightly reinforced' WHEN drop > -0.1 THEN 'stable' ELSE 'weakened' END AS verdict FROM d""")
+def belief_drift(spark, sf):
+    return analytics.drift(analytics.history(table(spark, sf, "events")))
+
+
+@query(f"""{M}, x AS (SELECT id, sigma, greatest(1, least(access_count, 5)) AS n FROM memories WHERE id NOT IN (SELECT user_id FROM events)), y AS (SELECT id, sigma, n, unnest(range(0, n + 1)) AS step FROM x)
+ SELECT id, CAST(step AS INTEGER) AS step, round(0.5 - (0.5 - sigma) * step / n, 4) AS sigma FROM y""")
+def drift_backfill(spark, sf):
+    return analytics.backfill(memories(spark, sf), analytics.history(table(spark, sf, "events")))
+
+
+@query("SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def orphan_check(spark, sf):
+    return analytics.orphans(table(spark, sf, "documents").withColumnRenamed("doc_id", "id"), table(spark, sf, "embeddings"))
+
+
+@query(f"{M} SELECT cluster_id, memory_type, count(*) AS n, round(avg(access_count), 6) AS avg_access FROM memories WHERE cluster_id IS NOT NULL GROUP BY 1, 2")
+def cluster_galaxy(spark, sf):
+    return analytics.galaxy(memories(spark, sf))
+
+
+# -- writes ----------------------------------------------------------------------------------
+
+
+@query(f"""{M}, b AS (SELECT * FROM memories WHERE id % 10 = 0), s AS (SELECT * FROM memories WHERE id % 10 <> 0),
+ c AS (SELECT b.id AS new_id, s.id AS old_id, round({DOT(a='b.embedding', b='s.embedding')}, 6) AS cos, b.sigma AS x, s.sigma AS y, b.memory_type, b.cluster_id = s.cluster_id AS together FROM b JOIN s ON b.project = s.project WHERE b.embedding IS NOT NULL AND s.embedding IS NOT NULL),
+ k AS (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY cos DESC, old_id) AS r FROM c WHERE cos > 0.1 QUALIFY r <= 10)
+ SELECT new_id, old_id, cos, (cos >= CASE WHEN coalesce(together, false) THEN -2.0 WHEN memory_type = 'session' THEN 0.40 ELSE 0.45 END) AND 64 / 2.0 * ln(((x + y) / 2 + 1e-7) / (sqrt(x * y) + 1e-7)) < CASE WHEN coalesce(together, false) THEN 0.20 ELSE 0.08 END AS merges FROM k""")
+def merge_decision(spark, sf):
+    m = memories(spark, sf)
+    new, old = m.filter("id % 10 = 0"), m.filter("id % 10 <> 0")
+    near = writes.candidates(new, old, 0.1)
+    side = lambda d, n, p: d.select(F.col("id").alias(n), *[F.col(c).alias(f"{p}_{c}") for c in ("sigma", "cluster_id", "memory_type")])
+    both = near.join(side(new, "new_id", "n"), "new_id").join(side(old, "old_id", "o"), "old_id")
+    together = F.coalesce(F.col("n_cluster_id") == F.col("o_cluster_id"), F.lit(False))
+    close = kernels.same_mean_distance(F.col("n_sigma"), F.col("o_sigma"), 64) < F.when(together, 0.20).otherwise(0.08)
+    return both.select("new_id", "old_id", "cos", ((F.col("cos") >= writes.merge_ceiling(F.col("n_memory_type"), together, 0.40, 0.45)) & close).alias("merges"))
+
+
+@query()
+def write_decisions(spark, sf):
+    m = memories(spark, sf)
+    return writes.decide(m.filter("id % 10 = 0"), m.filter("id % 10 <> 0"), 0.1, 0.40, 0.45, dims=64)
+
+
+_NEG = r"(?i)\b(le|ent|onst)\b"
+
+
+@query(rf"{M}, p AS (SELECT a.id AS a, b.id AS b, a.text AS x, b.text AS y, round({DOT(a='a.embedding', b='b.embedding')}, 6) AS cos FROM memories a JOIN memories b ON a.domain = b.domain AND a.id < b.id WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL) SELECT a, b FROM p WHERE cos > 0.3 AND length(x) % 2 <> length(y) % 2")
+def contradiction_pairs(spark, sf):
+    m = memories(spark, sf)
+    odd = lambda c: m.select(F.col("id").alias(c), (F.char_length("text") % 2).alias(f"odd_{c}"))
+    return similarity.theta_pairs(m, "domain", 0.3).join(odd("a"), "a").join(odd("b"), "b").filter("odd_a <> odd_b").select("a", "b")
+
+
+@query("SELECT doc_id FROM documents WHERE instr(lower(text), 'and') > 0 AND instr(lower(text), 'the') > 0 AND source = 'src3'")
+def bulk_delete_pattern(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.col("source").alias("project"))
+    return maintenance.bulk_pattern(docs, "%and%the%", _PROJECT).select("doc_id")
+
+
+# -- text ------------------------------------------------------------------------------------
+
+
+def _redact_sql(column: str) -> str:
+    import re
+
+    for pattern, instead in text.SECRETS:
+        column = "regexp_replace({}, '{}', '{}', 'g')".format(column, pattern.replace("'", "''"), re.sub(r"\$(\d)", r"\\\1", instead))
+    return column
+
+
+@query(f"SELECT doc_id, md5({_redact_sql('text')}) AS redacted, {_redact_sql('text')} <> text AS changed FROM documents")
+def redact_documents(spark, sf):
+    red = text.redact(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(red).alias("redacted"), (red != F.col("text")).alias("changed"))
+
+
+@query("""WITH s AS (SELECT conv_id, turn, upper(substr(role, 1, 1)) || substr(role, 2) || ': ' || substr(text, 1, 500) AS s FROM conversations WHERE role IN ('user', 'assistant')),
+ w AS (SELECT conv_id, string_agg(s, ' | ' ORDER BY turn, s) AS text, count(*) AS turns FROM s GROUP BY conv_id) SELECT conv_id, md5(text) AS text_md5, turns FROM w WHERE length(text) >= 100""")
+def transcript_flatten(spark, sf):
+    return text_sources.flatten_conversations(table(spark, sf, "conversations")).select("conv_id", F.md5("text").alias("text_md5"), "turns")
+
+
+@query(r"""WITH l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents),
+ t AS (SELECT id, n, trim(line) AS line FROM l WHERE trim(line) <> ''), h AS (SELECT *, length(line) < 40 AS is_head, CASE WHEN length(line) < 40 THEN regexp_matches(line, '^[A-M]') END AS opens FROM t),
+ s AS (SELECT *, last_value(opens IGNORE NULLS) OVER (PARTITION BY id ORDER BY n ROWS UNBOUNDED PRECEDING) AS open FROM h),
+ i AS (SELECT id, n, line AS item, row_number() OVER (PARTITION BY id ORDER BY n) AS r FROM s WHERE NOT is_head AND open AND length(line) >= 20 AND len(string_split(line, ' ')) >= 4)
+ SELECT id, CAST(n AS INTEGER) AS n, md5(item) AS item FROM i WHERE r <= 20""")
+def capture_sections(spark, sf):
+    found = text_sources.section_items(table(spark, sf, "documents"), "doc_id", "text", r"^[A-M].{0,38}$", r"^.{1,39}$")
+    return found.select("id", "n", F.md5("item").alias("item"))
+
+
+@query(r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \t\r\n\f\x0b]+', ' ', 'g'))) AS text_md5 FROM pages""")
+def pages_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.md5(text_sources.page_text(F.col("html"))).alias("text_md5"))
+
+
+@query()
+def markdown_items(spark, sf):
+    return text_sources.markdown_items(table(spark, sf, "documents").withColumnRenamed("doc_id", "id"))
+
+
+# -- streams ---------------------------------------------------------------------------------
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def hourly_events_stream(spark, sf):
+    return state.drain(spark, sf, "events", lambda e: e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("hour"), "event_type", "n"), "complete")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def dedup_stream(spark, sf):
+    return state.drain(spark, sf, "events", lambda e: e.select("user_id", "event_type").dropDuplicates())
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN date_diff('microsecond', lag(ts) OVER (PARTITION BY user_id ORDER BY ts), ts) < 1800000000 THEN 0 ELSE 1 END AS opens FROM events),
+ s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS started, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k""")
+def user_sessions(spark, sf):
+    return state.user_sessions(table(spark, sf, "events"))
