@@ -1,9 +1,10 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
-Equal lines are one class. A class gets a one-permutation MinHash signature over the
-character shingles that start its words (a content-defined sample of its shingles):
-the shingles' hashes are sorted and the least of each of ``BINS`` hash ranges is kept.
-``BANDS`` groups of bins name buckets; in a bucket every class is paired with the
+Equal lines are one class. A class gets a one-permutation MinHash signature over
+character shingles cut by content: each runs from the start of a word to the end of the
+next, so an edit changes two of them wherever it stands. Their hashes are sorted and the
+least of each of ``BINS`` hash ranges is kept. ``BANDS`` groups of bins name buckets
+(in longer lines only if two bins of the group are filled); in a bucket every class is paired with the
 smallest one, and after these pairs are verified, only buckets whose members lie in
 different components emit their remaining pairs. Verification is exact: the Jaccard
 similarity of all distinct character shingles of both lines. Components come from a
@@ -25,8 +26,10 @@ from credence.llm.components import components
 #: Characters of a shingle and the similarity from which lines are duplicates.
 SHINGLE, THRESHOLD = 9, 0.75
 BINS, BANDS = 64, 16
-#: Shingles at the start of words, the rest of the line where it is shorter.
-_STARTS = rf"(?<![^\s])(?=(\S[\s\S]{{0,{SHINGLE - 1}}}))"
+#: Words of the signature: runs without white space; a letter of a script without spaces is a word.
+_WORDS = r"\s+|(?<=[\u2E80-\uA4CF\uF900-\uFAFF])"
+#: Up to so many filled bins, bands with a single one name buckets too.
+FEW = 20
 _ALL = rf"(?=([\s\S]{{{SHINGLE}}}))"
 
 
@@ -43,7 +46,8 @@ def band_keys(line: Column) -> Column:
     first of each bin is the least one; a band is named by its bins and their hashes.
     """
     shift = 64 - BINS.bit_length() + 1
-    hashes = F.array_sort(F.transform(F.regexp_extract_all(line, F.lit(_STARTS), F.lit(1)), lambda s: F.xxhash64(s)))
+    words = F.array_remove(F.split(line, _WORDS), "")
+    hashes = let(words, lambda w: F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 2, F.lit(0))), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1)))))
 
     def least_per_bin(h: Column) -> Column:
         def is_first(x: Column, i: Column) -> Column:
@@ -53,7 +57,14 @@ def band_keys(line: Column) -> Column:
 
     def bands(least: Column) -> Column:
         wide = shift + (BINS // BANDS).bit_length() - 1
-        starts = F.filter(F.sequence(F.lit(0), F.size(least) - 1), lambda i: (i == 0) | (F.shiftright(F.get(least, i - 1), wide) != F.shiftright(F.get(least, i), wide)))
+        band = lambda i: F.shiftright(F.get(least, i), wide)
+
+        def opens(i: Column) -> Column:
+            """The first bin of a band, alone in it only where bins are few."""
+            first = (i == 0) | (band(i - 1) != band(i))
+            return first & ((F.size(least) <= FEW) | F.coalesce(band(i + 1) == band(i), F.lit(False)))
+
+        starts = F.filter(F.sequence(F.lit(0), F.size(least) - 1), opens)
         return F.transform(starts, lambda i: F.aggregate(F.slice(least, i + 1, BINS // BANDS), F.shiftright(F.get(least, i), wide), lambda acc, x: F.when(F.shiftright(x, wide) == F.shiftright(F.get(least, i), wide), F.xxhash64(acc, x)).otherwise(acc)))
 
     return let(let(hashes, least_per_bin), lambda v: F.when(F.size(v) > 0, bands(v)))
@@ -70,12 +81,13 @@ def shingle_set(line: Column) -> Column:
     return F.array_distinct(F.transform(all_, lambda s: F.xxhash64(s)))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose shingle sets are similar enough."""
-    side = lambda c: sets.select(F.col("class").alias(c), F.col("set").alias(f"set_{c}"), F.size("set").alias(f"n_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
-    common = both.withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
-    return common.filter(F.col("common") >= threshold * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) whose shingle sets are similar enough; ``texts`` holds class and line."""
+    side = lambda c: texts.select(F.col("class").alias(c), F.col("line").alias(f"line_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    sets = both.select("a", "b", F.struct(shingle_set(F.col("line_a")).alias("x"), shingle_set(F.col("line_b")).alias("y")).alias("s"))
+    counted = sets.select("a", "b", let(F.col("s"), lambda s: F.struct(F.size(s["x"]).alias("m"), F.size(s["y"]).alias("n"), F.size(F.array_intersect(s["x"], s["y"])).alias("k"))).alias("c"))
+    return counted.filter(F.col("c.k") >= threshold * (F.col("c.m") + F.col("c.n") - F.col("c.k"))).select("a", "b")
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -90,10 +102,10 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     stars = members.groupBy("bucket").agg(F.min("class").alias("star"), F.count("*").alias("n")).filter("n > 1").select("bucket", "star")
     shared = materialise(members.join(stars, "bucket"), "shared")
     involved = shared.select("class").distinct()
-    sets = materialise(named.join(involved, "class").select("class", shingle_set(F.col("line")).alias("set")), "shingles")
+    texts = materialise(named.join(involved, "class").select("class", "line"), "texts")
 
     first_pairs = shared.filter("class != star").select(F.col("star").alias("a"), F.col("class").alias("b")).distinct()
-    links = materialise(verified(first_pairs, sets, threshold), "links")
+    links = materialise(verified(first_pairs, texts, threshold), "links")
     roots = materialise(components(links), "roots").withColumnRenamed("node", "class")
     rooted = shared.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("bucket")
@@ -101,7 +113,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     left = open_.select("bucket", F.col("class").alias("a"), F.col("root").alias("ra"), "star")
     right = open_.select("bucket", F.col("class").alias("b"), F.col("root").alias("rb"))
     rest = left.join(right, "bucket").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.col("a") != F.col("star"))).select("a", "b").distinct()
-    all_links = links.unionByName(materialise(verified(rest, sets, threshold), "links"))
+    all_links = links.unionByName(materialise(verified(rest, texts, threshold), "links"))
 
     whole = classes.join(components(all_links).withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     first = whole.groupBy("root").agg(F.min("first").alias("kept"))
