@@ -9,19 +9,22 @@ from pyspark.sql.window import Window
 from credence.functions import kernels, text
 from credence.operators.candidates import vector_literal
 
-_ALL = Window.partitionBy(F.lit(0))  # over candidate pools of bounded size only
+
+def _all():
+    """One window over the whole batch: candidate pools of bounded size only."""
+    return Window.partitionBy(F.lit(0))
 
 
 def min_max(v: Column, real: Column | None = None) -> Column:
     """Scaled to [0, 1] over the batch, 1 if constant; rows that are not real pass through."""
     own = v if real is None else F.when(real, v)
-    low, high = F.min(own).over(_ALL), F.max(own).over(_ALL)
+    low, high = F.min(own).over(_all()), F.max(own).over(_all())
     scaled = F.when(high == low, 1.0).otherwise((v - low) / (high - low))
     return scaled if real is None else F.when(real, scaled).otherwise(v)
 
 
 def bm25_scaled(v: Column) -> Column:
-    return F.when(F.max(v).over(_ALL) == 0, 0.0).otherwise(min_max(v))
+    return F.when(F.max(v).over(_all()) == 0, 0.0).otherwise(min_max(v))
 
 
 def candidate_pool(rows: DataFrame, query: list[float], k: int, scope: Column | None = None) -> DataFrame:
