@@ -266,15 +266,15 @@ def _groups(sig: np.ndarray, cls: np.ndarray, role: np.ndarray) -> Iterator[pd.D
     yield pd.DataFrame({"bucket": np.repeat(name.astype(np.int64), size)[rows], "class": cls[rows], "star": np.repeat(cls[starts], size)[rows]})
 
 
-def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that sizes and lane counts do not rule out."""
+def likely(pairs: DataFrame, classes: DataFrame, column: str = "lanes", lanes: int = LANES) -> DataFrame:
+    """The pairs (a, b) of classes that sizes and the lane counts of a column do not rule out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                yield batch.loc[may_link(batch["n_a"], _lanes(batch["lanes_a"]), batch["n_b"], _lanes(batch["lanes_b"])), ["a", "b"]]
+                yield batch.loc[may_link(batch["n_a"], _lanes(batch["lanes_a"], lanes), batch["n_b"], _lanes(batch["lanes_b"], lanes)), ["a", "b"]]
 
-    side = lambda c: classes.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("lanes").alias(f"lanes_{c}"))
+    side = lambda c: classes.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col(column).alias(f"lanes_{c}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long")
 
 
@@ -365,7 +365,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     members = materialise(buckets(docs, text_col, max(1, -(-total // PER_TASK)), width), "buckets")
     stars = members.filter("star != class").select(F.col("star").alias("a"), F.col("class").alias("b")).distinct()
     pairs = materialise(likely(stars, classes), "pairs")
-    links = materialise(verified(pairs, classes, docs, text_col, width), "links")
+    close = materialise(likely(pairs, classes, "fine", FINE), "pairs")
+    links = materialise(verified(close, classes, docs, text_col, width), "links")
     first = materialise(components(links), "roots").withColumnRenamed("node", "class")
     rooted = members.join(first, "class", "left").withColumn("root", F.coalesce("root", "class"))
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("bucket")
