@@ -6,8 +6,10 @@ import hashlib
 from typing import Protocol
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from credence.functions import text
 
@@ -45,9 +47,6 @@ def hashing_embedder(dims: int = 64) -> Embedder:
 
 def embedding_column(embedder: Embedder, col: Column) -> Column:
     """Apply an embedder in Arrow batches."""
-    import pandas as pd
-    from pyspark.sql import types as T
-
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(s: pd.Series) -> pd.Series:
         return pd.Series(list(embedder(s.fillna("").tolist())))
