@@ -32,12 +32,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm.common import materialise, parts
+from credence.llm.common import drop_materialised, materialise, parts
 
 #: Words that are clustered, classes they are clustered into.
 CORE, CLASSES = 1000, 48
 #: Characters of a block, which bound what a task holds at once.
 BLOCK = 6_000_000
+#: Distinct words a task settles, on average.
+WORDS_PER_TASK = 200_000
 #: Weight of the class model against word frequencies.
 WEIGHT = 0.95
 _END = ""  # no word is empty
@@ -152,84 +154,89 @@ def exchange(counts: np.ndarray, classes: int, rounds: int = 5) -> np.ndarray:
     return own
 
 
-def word_classes(blocks: DataFrame, core: dict[str, int], core_class: np.ndarray, table: np.ndarray) -> DataFrame:
-    """word, c and class of every training word; words outside the core make their exchange step here."""
+def informed(blocks: DataFrame, core: dict[str, int], core_class: np.ndarray, table: np.ndarray, tasks: int) -> DataFrame:
+    """Blocks with ``c`` (int64) and ``class`` (int16, -1: unknown) of each of their words, as bytes.
+
+    A block sends each task the words it deals with, their counts and the classes before
+    them, in one row; the task adds them up, lets the words outside the core make their
+    exchange step, and answers every block in one row. A word's count and class cross the
+    network once per block that holds it, however often it stands there.
+    """
     width = len(table)
     smooth = table + 0.1
     predicts = np.log(smooth / smooth.sum(1, keepdims=True)) - np.log(smooth.sum(0) / smooth.sum())
-    predicts[:, :2] = -np.inf  # neither with the end nor left over
+    predicts[:, :2] = -1e9  # neither with the end nor left over
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
                 tokens, first, held = _unpack(row)
                 known = np.fromiter((core.get(w, _OTHER) for w in row.words), np.int64, len(row.words))
-                cls = core_class[known]
-                before = _before(cls[tokens], first)
+                before = _before(core_class[known][tokens], first)
                 use = ~held & (known[tokens] == _OTHER)
                 keys, n = np.unique(tokens[use].astype(np.int64) * width + before[use], return_counts=True)
-                at = np.searchsorted(keys // width, np.arange(len(row.words) + 1))
-                rows = [(w, c, keys[at[i] : at[i + 1]] % width, n[at[i] : at[i + 1]]) for i, (w, c) in enumerate(zip(row.words, row.counts, strict=True)) if c]
-                yield pd.DataFrame([(w, c, k.astype(np.uint16).tobytes(), v.astype(np.uint32).tobytes()) for w, c, k, v in rows], columns=["word", "c", "before", "n"])
+                to = np.fromiter((zlib.crc32(w.encode()) % tasks for w in row.words), np.int64, len(row.words))
+                counts = np.asarray(row.counts, np.int64)
+                order = np.argsort(to, kind="stable")
+                for at in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
+                    place = np.full(len(to), -1)
+                    place[at] = np.arange(len(at))
+                    mine = place[keys // width] >= 0
+                    yield pd.DataFrame({
+                        "task": [int(to[at[0]])], "block": [row.block], "words": ["\n".join([row.words[i] for i in at])], "at": [at.astype(np.int32).tobytes()], "c": [counts[at].astype(np.int64).tobytes()],
+                        "who": [place[keys[mine] // width].astype(np.int32).tobytes()], "before": [(keys[mine] % width).astype(np.uint16).tobytes()], "n": [n[mine].astype(np.uint32).tobytes()],
+                    })
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number, parts_ = _Numbered(), []
-        total: list[np.ndarray] = []
+        held: dict[int, list] = {}
         for batch in batches:
-            ids = np.fromiter(map(number.__getitem__, batch["word"]), np.int64, len(batch))
-            total.append(np.bincount(ids, batch["c"], len(number)))
-            sizes = np.fromiter((len(b) // 2 for b in batch["before"]), np.int64, len(batch))
-            parts_.append((np.repeat(ids, sizes), np.frombuffer(b"".join(batch["before"]), np.uint16), np.frombuffer(b"".join(batch["n"]), np.uint32)))
-        if not number:
-            return
-        counts = np.zeros(len(number))
-        for t in total:
-            counts[: len(t)] += t
-        ids, before, n = (np.concatenate(x) for x in zip(*parts_, strict=True))
-        order = np.argsort(ids, kind="stable")
-        ids, before, n = ids[order], before[order], n[order]
-        words = list(number)
-        for low in range(0, len(words), 50_000):
-            high = min(low + 50_000, len(words))
-            i, j = np.searchsorted(ids, [low, high])
-            seen = np.bincount((ids[i:j] - low) * width + before[i:j], n[i:j], (high - low) * width).reshape(-1, width)
-            best = np.argmax(np.nan_to_num(seen @ np.where(np.isfinite(predicts), predicts, -1e9)), 1)
-            cls = [int(core_class[core[w]]) if w in core else int(b) for w, b in zip(words[low:high], best, strict=True)]
-            yield pd.DataFrame({"word": words[low:high], "c": counts[low:high].astype(np.int64), "class": cls})
-
-    sent = blocks.select("lens", "tokens", "held_out", "words", "counts").mapInPandas(send, "word string, c long, before binary, n binary")
-    return sent.repartition(parts(blocks.sparkSession), "word").mapInPandas(settle, "word string, c long, class int")
-
-
-def informed(blocks: DataFrame, classes: DataFrame) -> DataFrame:
-    """Blocks with ``c`` (int64) and ``class`` (int16, -1: unknown) of each of their words, as bytes."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: dict[int, list] = {}
+            for row in batch.itertuples():
+                held.setdefault(row.task, []).append(row)
+        while held:
+            _, rows = held.popitem()
+            number = _Numbered()
+            ids = [np.fromiter(map(number.__getitem__, r.words.split("\n")), np.int64) for r in rows]
+            counts = np.zeros(len(number), np.int64)
+            for i, r in zip(ids, rows, strict=True):
+                counts[i] += np.frombuffer(r.c, np.int64)
+            who = np.concatenate([i[np.frombuffer(r.who, np.int32)] for i, r in zip(ids, rows, strict=True)])
+            before = np.concatenate([np.frombuffer(r.before, np.uint16) for r in rows])
+            n = np.concatenate([np.frombuffer(r.n, np.uint32) for r in rows])
+            order = np.argsort(who, kind="stable")
+            who, before, n = who[order], before[order], n[order]
+            best = np.zeros(len(number), np.int16)
+            for low in range(0, len(number), 20_000):
+                high = min(low + 20_000, len(number))
+                i, j = np.searchsorted(who, [low, high])
+                seen = np.bincount((who[i:j] - low) * width + before[i:j], n[i:j], (high - low) * width).reshape(-1, width)
+                best[low:high] = np.argmax(seen @ predicts, 1)
+            for w in core.keys() & number.keys():
+                best[number[w]] = core_class[core[w]]
+            best[counts == 0] = -1
+            for i, r in zip(ids, rows, strict=True):
+                yield pd.DataFrame({"block": [r.block], "at": [r.at], "c": [counts[i].tobytes()], "class": [best[i].tobytes()]})
+
+    def collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list] = {}
         for batch in batches:
-            for block, g in batch.groupby("block", sort=False):
-                found.setdefault(int(block), []).append((g["at"].to_numpy(), g["c"].to_numpy(), g["class"].to_numpy()))
-        while found:
-            block, parts_ = found.popitem()
-            at, c, cls = (np.concatenate(x) for x in zip(*parts_, strict=True))
-            counts, kinds = np.zeros(at.max() + 1, np.int64), np.full(at.max() + 1, -1, np.int16)
-            counts[at], kinds[at] = c, cls
-            yield pd.DataFrame({"block": [block], "c": [counts.tobytes()], "class": [kinds.tobytes()]})
+            for row in batch.itertuples(index=False):
+                held.setdefault(row[0], []).append([np.frombuffer(x, t) for x, t in zip(row[1:], (np.int32, np.int64, np.int16), strict=True)])
+        while held:
+            block, answers = held.popitem()
+            at, c, cls = (np.concatenate(x) for x in zip(*answers, strict=True))
+            order = np.argsort(at)
+            yield pd.DataFrame({"block": [block], "c": [c[order].tobytes()], "class": [cls[order].tobytes()]})
 
     spark = blocks.sparkSession
-    asked = blocks.select("block", F.posexplode("words").alias("at", "word"))
-    told = asked.join(classes, "word").select("block", "at", "c", "class").repartition(parts(spark), "block")
-    return blocks.drop("words", "counts").join(told.mapInPandas(run, "block long, c binary, class binary"), "block", "left")
+    sent = blocks.select("block", "lens", "tokens", "held_out", "words", "counts").mapInPandas(send, "task int, block long, words string, at binary, c binary, who binary, before binary, n binary")
+    told = sent.repartition(tasks, "task").mapInPandas(settle, "block long, at binary, c binary, class binary")
+    answers = told.repartition(parts(spark), "block").mapInPandas(collect, "block long, c binary, class binary")
+    return blocks.drop("words", "counts").join(answers, "block")
 
 
-def _words_of(row, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Count and class of each word of a block; words beyond the last known one are unknown."""
-    size = int(tokens.max(initial=0)) + 1
-    c, cls = np.zeros(size, np.int64), np.full(size, -1, np.int64)
-    if row.c is not None:
-        known, kinds = np.frombuffer(row.c, np.int64)[:size], np.frombuffer(row.kind, np.int16)[:size]
-        c[: len(known)], cls[: len(kinds)] = known, kinds
-    return c, cls
+def _words_of(row) -> tuple[np.ndarray, np.ndarray]:
+    """Count and class of each word of a block."""
+    return np.frombuffer(row.c, np.int64), np.frombuffer(row.kind, np.int16).astype(np.int64)
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", core_words: int = CORE, n_classes: int = CLASSES, weight: float = WEIGHT) -> DataFrame:
@@ -256,14 +263,16 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", core
     width = n_classes + 2
     table = np.zeros((width, width))
     np.add.at(table, (core_class[:, None].repeat(size, 1), core_class[None, :].repeat(size, 0)), bigrams)
-    classes = word_classes(blocks, core, core_class, table)
-    full = materialise(informed(blocks, classes), "informed")
+    tasks = max(1, -(-v // WORDS_PER_TASK), parts(docs.sparkSession))
+    full = materialise(informed(blocks, core, core_class, table, tasks), "informed")
+    for used in (blocks, counts):
+        drop_materialised(used)
 
     def class_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(name="Row"):
                 tokens, first, held = _unpack(row)
-                cls = _words_of(row, tokens)[1][tokens]
+                cls = _words_of(row)[1][tokens]
                 before = _before(cls, first)
                 use = ~held
                 yield _pairs(before[use], cls[use], width)
@@ -282,7 +291,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", core
         for batch in batches:
             for row in batch.itertuples(name="Row"):
                 tokens, first, _ = _unpack(row)
-                c, cls = _words_of(row, tokens)
+                c, cls = _words_of(row)
                 c, cls = c[tokens], cls[tokens]
                 before = _before(np.where(cls < 0, width, cls), first)
                 known = c > 0
