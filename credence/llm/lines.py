@@ -4,7 +4,7 @@ Equal lines are one class. A class gets a one-permutation MinHash signature over
 character shingles cut by content: each runs from the start of a word to the end of the
 next, so an edit changes two of them wherever it stands. Their hashes are sorted and the
 least of each of ``BINS`` hash ranges is kept. ``BANDS`` groups of bins name buckets
-(in longer lines only if two bins of the group are filled); in a bucket every class is paired with the
+(only if two bins of the group are filled, but for lines of a few words); in a bucket every class is paired with the
 smallest one, and after these pairs are verified, only buckets whose members lie in
 different components emit their remaining pairs. Verification is exact: the Jaccard
 similarity of all distinct character shingles of both lines. Components come from a
@@ -28,8 +28,8 @@ SHINGLE, THRESHOLD = 9, 0.75
 BINS, BANDS = 64, 16
 #: Words of the signature: runs without white space; a letter of a script without spaces is a word.
 _WORDS = r"\s+|(?<=[\u2E80-\uA4CF\uF900-\uFAFF])"
-#: Up to so many filled bins, bands with a single one name buckets too.
-FEW = 20
+#: Up to so many filled bins, bands of twice the width name buckets too, and up to ``FEW`` bands with a single filled bin.
+SHORT, FEW = 24, 5
 _ALL = rf"(?=([\s\S]{{{SHINGLE}}}))"
 
 
@@ -55,8 +55,8 @@ def band_keys(line: Column) -> Column:
 
         return F.filter(h, is_first)
 
-    def bands(least: Column) -> Column:
-        wide = shift + (BINS // BANDS).bit_length() - 1
+    def bands(least: Column, bins: int) -> Column:
+        wide = shift + bins.bit_length() - 1
         band = lambda i: F.shiftright(F.get(least, i), wide)
 
         def opens(i: Column) -> Column:
@@ -65,9 +65,14 @@ def band_keys(line: Column) -> Column:
             return first & ((F.size(least) <= FEW) | F.coalesce(band(i + 1) == band(i), F.lit(False)))
 
         starts = F.filter(F.sequence(F.lit(0), F.size(least) - 1), opens)
-        return F.transform(starts, lambda i: F.aggregate(F.slice(least, i + 1, BINS // BANDS), F.shiftright(F.get(least, i), wide), lambda acc, x: F.when(F.shiftright(x, wide) == F.shiftright(F.get(least, i), wide), F.xxhash64(acc, x)).otherwise(acc)))
+        name = lambda i: F.aggregate(F.slice(least, i + 1, bins), F.xxhash64(band(i), F.lit(bins)), lambda acc, x: F.when(F.shiftright(x, wide) == band(i), F.xxhash64(acc, x)).otherwise(acc))
+        return F.transform(starts, name)
 
-    return let(let(hashes, least_per_bin), lambda v: F.when(F.size(v) > 0, bands(v)))
+    def all_bands(least: Column) -> Column:
+        narrow, n = bands(least, BINS // BANDS), F.size(least)
+        return F.when(n == 0, None).when(n > SHORT, narrow).otherwise(F.concat(narrow, bands(least, 2 * BINS // BANDS)))
+
+    return let(let(hashes, least_per_bin), all_bands)
 
 
 def let(value: Column, body) -> Column:
