@@ -47,7 +47,9 @@ PER_TASK = 1_500_000
 #: Parts of the universe whose counts bound the difference of two sets from below.
 LANES = 128
 FINE = 1024
-_WORDS = 1_000_000
+_WORDS = 300_000
+#: Shingles whose signatures are made at once, which bounds a task's arrays.
+STRIP = 800_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -217,9 +219,19 @@ def buckets(docs: DataFrame, text_col: str, tasks: int, width: int = WIDTH) -> D
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            distinct = {class_of(s): s for s in _row_sets(batch, width) if len(s)}
-            if not distinct:
-                continue
+            strip: dict[int, np.ndarray] = {}
+            size = 0
+            for text in [*batch["text"], None]:
+                s = shingles(None if text is None or text is pd.NA else text, width)
+                if strip and (size + len(s) > STRIP or not len(s)):
+                    yield from deal(strip)
+                    strip, size = {}, 0
+                if len(s):
+                    strip[class_of(s)] = s
+                    size += len(s)
+
+    def deal(distinct: dict[int, np.ndarray]) -> Iterator[pd.DataFrame]:
+        if distinct:
             sig, cls, role = signatures(list(distinct.values()), np.fromiter(distinct, np.int64, len(distinct)))
             to = (sig % np.uint64(tasks)).astype(np.int64)
             order = np.argsort(to, kind="stable")
