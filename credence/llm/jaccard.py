@@ -221,14 +221,16 @@ def buckets(docs: DataFrame, text_col: str, tasks: int, width: int = WIDTH) -> D
         for batch in batches:
             strip: dict[int, np.ndarray] = {}
             size = 0
-            for text in [*batch["text"], None]:
+            for text in batch["text"]:
                 s = shingles(None if text is None or text is pd.NA else text, width)
-                if strip and (size + len(s) > STRIP or not len(s)):
+                if not len(s):
+                    continue
+                if strip and size + len(s) > STRIP:
                     yield from deal(strip)
                     strip, size = {}, 0
-                if len(s):
-                    strip[class_of(s)] = s
-                    size += len(s)
+                strip[class_of(s)] = s
+                size += len(s)
+            yield from deal(strip)
 
     def deal(distinct: dict[int, np.ndarray]) -> Iterator[pd.DataFrame]:
         if distinct:
