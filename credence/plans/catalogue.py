@@ -437,9 +437,6 @@ def write_decisions(spark, sf):
     return writes.decide(m.filter("id % 10 = 0"), m.filter("id % 10 <> 0"), 0.1, 0.40, 0.45, dims=64)
 
 
-_NEG = r"(?i)\b(le|ent|onst)\b"
-
-
 @query(rf"{M}, p AS (SELECT a.id AS a, b.id AS b, a.text AS x, b.text AS y, round({DOT(a='a.embedding', b='b.embedding')}, 6) AS cos FROM memories a JOIN memories b ON a.domain = b.domain AND a.id < b.id WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL) SELECT a, b FROM p WHERE cos > 0.3 AND length(x) % 2 <> length(y) % 2")
 def contradiction_pairs(spark, sf):
     m = memories(spark, sf)
