@@ -372,7 +372,11 @@ def sets_of(docs: DataFrame, rows: DataFrame, text_col: str, width: int = WIDTH)
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """One row per document: row (of the input), the id, n_shingles, component_id."""
-    docs = stable(docs)
+    return rooted_groups(stable(docs), id_col, text_col, width).drop("root")
+
+
+def rooted_groups(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
+    """``similar_groups`` of a stable table, with the root class that tells its groups apart (null without shingles)."""
     table = materialise(set_table(docs, id_col, text_col, width), "sets")
     classes = table.filter("n > 0").groupBy("class").agg(F.min("id").alias("id"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("lanes").alias("lanes"), F.first("fine").alias("fine"))
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first().t
@@ -391,18 +395,18 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     roots = components(links.unionByName(more)).withColumnRenamed("node", "class")
     whole = classes.select("class", "id").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = whole.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = whole.join(least, "root").select("class", "component_id")
-    full = table.filter("n > 0").join(named, "class").select("row", F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
-    alone = table.filter("n = 0").select("row", F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+    named = whole.join(least, "root").select("class", "component_id", "root")
+    full = table.filter("n > 0").join(named, "class").select("row", F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "root")
+    alone = table.filter("n = 0").select("row", F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(None).cast("long").alias("root"))
     return full.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with one of each group kept: the first row that has the group's smallest id."""
     docs = stable(docs)
-    groups = similar_groups(docs, id_col, text_col).withColumnRenamed(id_col, "__id")
+    groups = rooted_groups(docs, id_col, text_col).withColumnRenamed(id_col, "__id")
     linked = groups.filter("n_shingles > 0")
-    first = linked.groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "row")).alias("k")).select(F.col("k.row").alias("row"))
+    first = linked.groupBy("root").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "row")).alias("k")).select(F.col("k.row").alias("row"))
     kept = first.unionByName(groups.filter("n_shingles = 0").select("row"))
     columns = docs.columns
     numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), F.monotonically_increasing_id().alias("row"))

@@ -102,6 +102,12 @@ def test_nulls_repeats_clashing_names_and_empty_tables(spark):
     assert jaccard.similar_groups(df.limit(0)).count() == 0
 
 
+def test_unlike_texts_under_null_or_repeated_ids_all_stay(spark):
+    rows = [(None, "a b c", 1), (None, "d e f", 2), (None, "d e f", 3), (7, "g h i", 4), (7, "j k l", 5), (7, "g h i", 6), (8, "m n o", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, at int").coalesce(1)
+    assert sorted(r["at"] for r in jaccard.keep_one(df).collect()) == [1, 2, 4, 5, 7]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(50)] + [(300, 299), (299, 305), (305, 290)]
     df = spark.createDataFrame(edges, "a long, b long")
