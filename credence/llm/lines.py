@@ -1,8 +1,7 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
-Equal lines are one class. A class gets a one-permutation MinHash signature over
-character shingles cut by content: each runs from the start of a word to the end of the
-next, so an edit changes two of them wherever it stands. Their hashes are sorted and the
+Equal lines are one class. A class gets a one-permutation MinHash signature over the
+character shingles that verification compares. Their hashes are sorted and the
 least of each of ``BINS`` hash ranges is kept. ``BANDS`` groups of bins name buckets
 (only if two bins of the group are filled, but for lines of a few words); in a bucket every class is paired with the
 smallest one, and after these pairs are verified, only buckets whose members lie in
@@ -26,8 +25,6 @@ from credence.llm.components import components
 #: Characters of a shingle and the similarity from which lines are duplicates.
 SHINGLE, THRESHOLD = 9, 0.75
 BINS, BANDS = 64, 16
-#: Words of the signature: runs without white space; a letter of a script without spaces is a word.
-_WORDS = r"\s+|(?<=[\u2E80-\uA4CF\uF900-\uFAFF])"
 #: Up to so many filled bins, bands of twice the width name buckets too, and up to ``FEW`` bands with a single filled bin.
 SHORT, FEW = 24, 5
 _ALL = rf"(?=([\s\S]{{{SHINGLE}}}))"
@@ -46,8 +43,7 @@ def band_keys(line: Column) -> Column:
     first of each bin is the least one; a band is named by its bins and their hashes.
     """
     shift = 64 - BINS.bit_length() + 1
-    words = F.array_remove(F.split(line, _WORDS), "")
-    hashes = let(words, lambda w: F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 2, F.lit(0))), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1)))))
+    hashes = F.sort_array(shingle_set(line))
 
     def least_per_bin(h: Column) -> Column:
         def is_first(x: Column, i: Column) -> Column:

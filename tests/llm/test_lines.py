@@ -83,3 +83,31 @@ def test_query_over_the_smallest_tables(spark):
     kept = {(r.doc_id, r.line_no) for r in got.filter(F.col("kept")).collect()}
     right = {k for k in want if want[k] == k}
     assert right <= kept and len(kept - right) <= 0.03 * (len(want) - len(right)) and got.count() == len(want)
+
+
+def found_together(spark, pairs):
+    """Which of the pairs of lines share a bucket."""
+    df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(pairs)], "i long, x string, y string")
+    return [r.found for r in df.select("i", F.arrays_overlap(lines.band_keys(F.col("x")), lines.band_keys(F.col("y"))).alias("found")).orderBy("i").collect()]
+
+
+def near_pairs(rng, make, n):
+    """``n`` pairs of different lines that are duplicates: ``make`` gives a line, some of its last or first letters are replaced."""
+    shingles = lambda x: {x[i : i + 9] for i in range(max(1, len(x) - 8))}
+    out = []
+    while len(out) < n:
+        x = make()
+        k = rng.randint(1, max(1, len(x) // 8))
+        new = "".join(rng.choices("abcdefgh", k=k))
+        y = x[:-k] + new if rng.random() < 0.5 else new + x[k:]
+        a, b = shingles(x), shingles(y)
+        if x != y and len(a & b) >= lines.THRESHOLD * len(a | b):
+            out.append((x, y))
+    return out
+
+
+def test_lines_of_few_long_words_are_found(spark):
+    rng = random.Random(2)
+    for words in (1, 2, 3):
+        pairs = near_pairs(rng, lambda: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(40, 60))) for _ in range(words)), 150)
+        assert sum(found_together(spark, pairs)) >= 0.97 * len(pairs)
