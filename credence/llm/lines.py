@@ -2,8 +2,8 @@
 
 Equal lines are one class. A class gets a one-permutation MinHash signature over the
 character shingles that verification compares. Their hashes are sorted and the
-least of each of ``BINS`` hash ranges is kept. ``BANDS`` groups of bins name buckets
-(only if two bins of the group are filled, but for lines of a few words); in a bucket every class is paired with the
+least of each of ``BINS`` hash ranges is kept; empty ranges borrow from filled ones.
+``BANDS`` groups of bins name buckets; in a bucket every class is paired with the
 smallest one, and after these pairs are verified, only buckets whose members lie in
 different components emit their remaining pairs. Verification is exact: the Jaccard
 similarity of all distinct character shingles of both lines. Components come from a
@@ -25,8 +25,6 @@ from credence.llm.components import components
 #: Characters of a shingle and the similarity from which lines are duplicates.
 SHINGLE, THRESHOLD = 9, 0.75
 BINS, BANDS = 64, 16
-#: Up to so many filled bins, bands of twice the width name buckets too, and up to ``FEW`` bands with a single filled bin.
-SHORT, FEW = 24, 5
 _ALL = rf"(?=([\s\S]{{{SHINGLE}}}))"
 
 
@@ -37,38 +35,35 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def band_keys(line: Column) -> Column:
-    """Names of the buckets of a line, one per band that has a filled bin.
+    """Names of the buckets of a line, one per band; sets of at most two shingles, which only equal sets resemble, need one.
 
     The bin of a hash is its place in the order of hashes, so in the sorted hashes the
-    first of each bin is the least one; a band is named by its bins and their hashes.
+    first of each bin is the least one. An empty bin takes the value of a filled one, the
+    first in an order of bins of its own, so any two lines agree in a bin with the
+    probability of their similarity, however short they are.
     """
     shift = 64 - BINS.bit_length() + 1
-    hashes = F.sort_array(shingle_set(line))
+    bin_of = lambda h: (F.shiftright(h, shift) + BINS // 2).cast("int")
 
-    def least_per_bin(h: Column) -> Column:
-        def is_first(x: Column, i: Column) -> Column:
-            return (i == 0) | (F.shiftright(F.get(h, i - 1), shift) != F.shiftright(x, shift))
+    def is_first(h: Column) -> Column:
+        return F.filter(h, lambda x, i: (i == 0) | (F.shiftright(F.get(h, i - 1), shift) != F.shiftright(x, shift)))
 
-        return F.filter(h, is_first)
+    def all_bins(least: Column) -> Column:
+        def borrowed(i: Column) -> Column:
+            ranks = F.transform(least, lambda x, j: F.xxhash64(i, F.shiftright(x, shift)).bitwiseAND(F.lit(-BINS)).bitwiseOR(j.cast("long")))
+            return F.get(least, F.array_min(ranks).bitwiseAND(F.lit(BINS - 1)).cast("int"))
 
-    def bands(least: Column, bins: int) -> Column:
-        wide = shift + bins.bit_length() - 1
-        band = lambda i: F.shiftright(F.get(least, i), wide)
+        def value(own: Column) -> Column:
+            return F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: let(F.array_position(own, i).cast("int"), lambda p: F.when(p > 0, F.get(least, p - 1)).otherwise(borrowed(i))))
 
-        def opens(i: Column) -> Column:
-            """The first bin of a band, alone in it only where bins are few."""
-            first = (i == 0) | (band(i - 1) != band(i))
-            return first & ((F.size(least) <= FEW) | F.coalesce(band(i + 1) == band(i), F.lit(False)))
+        return F.when(F.size(least) == BINS, least).otherwise(let(F.transform(least, bin_of), value))
 
-        starts = F.filter(F.sequence(F.lit(0), F.size(least) - 1), opens)
-        name = lambda i: F.aggregate(F.slice(least, i + 1, bins), F.xxhash64(band(i), F.lit(bins)), lambda acc, x: F.when(F.shiftright(x, wide) == band(i), F.xxhash64(acc, x)).otherwise(acc))
-        return F.transform(starts, name)
+    def bands(hashes: Column) -> Column:
+        last = F.when(F.size(hashes) <= 2, F.lit(0)).otherwise(F.lit(BANDS - 1))
+        dense = let(is_first(hashes), all_bins)
+        return let(dense, lambda d: F.transform(F.sequence(F.lit(0), last), lambda b: F.xxhash64(b, *[F.get(d, b + k * BANDS) for k in range(BINS // BANDS)])))
 
-    def all_bands(least: Column) -> Column:
-        narrow, n = bands(least, BINS // BANDS), F.size(least)
-        return F.when(n == 0, None).when(n > SHORT, narrow).otherwise(F.concat(narrow, bands(least, 2 * BINS // BANDS)))
-
-    return let(let(hashes, least_per_bin), all_bands)
+    return let(F.sort_array(shingle_set(line)), bands)
 
 
 def let(value: Column, body) -> Column:

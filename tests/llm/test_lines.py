@@ -111,3 +111,10 @@ def test_lines_of_few_long_words_are_found(spark):
     for words in (1, 2, 3):
         pairs = near_pairs(rng, lambda: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(40, 60))) for _ in range(words)), 150)
         assert sum(found_together(spark, pairs)) >= 0.97 * len(pairs)
+
+
+def test_short_lines_are_found(spark):
+    rng = random.Random(4)
+    for n in (16, 17, 25, 40):
+        pairs = near_pairs(rng, lambda: "".join(rng.choices("abcdefghij klmnop", k=n)), 200)
+        assert sum(found_together(spark, pairs)) >= 0.97 * len(pairs)
