@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from credence.functions import kernels, text
-from credence.operators.similarity import knn
+from credence.operators.similarity import with_later
 
 
 def decay_pass(rows: DataFrame, clock: Column, limit: int | None = None, prune_above: float = 2.0) -> DataFrame:
@@ -68,27 +68,22 @@ def normalised_keepers(rows: DataFrame) -> DataFrame:
     return exact_keepers(rows, text.exact_key(F.col("text")))
 
 
-def near_duplicates_to_drop(rows: DataFrame, threshold: float, newest_first: bool, k: int = 2, limit: int | None = None) -> DataFrame:
-    """Ids that go because an earlier scanned or later row of their project is alike; of a pair one always stays.
+def near_duplicates_to_drop(rows: DataFrame, scanned: Column, threshold: float, newest_first: bool, limit: int | None = None) -> DataFrame:
+    """Ids of scanned rows that go because a live row of their project is alike; of a group one always stays.
 
-    The scan is an ordered fold, so its links (a bounded list under ``limit``) are folded in one Arrow task.
+    Neighbours are looked for among all rows. The scan goes by time and id; ``limit``
+    takes only its first rows, as a nightly run may. A scanned row goes if a neighbour is
+    not scanned or comes later in the scan: earlier neighbours of a row that has no such
+    neighbour are gone by then, as that row is a later neighbour of theirs. So no fold is needed.
     """
-    import pandas as pd
-
-    order = F.desc("ts") if newest_first else F.asc("ts")
-    held = rows.filter(F.col("embedding").isNotNull())
-    scanned = held.orderBy(order, "id").limit(limit) if limit else held
-    links = knn(held, "project", k, threshold).join(scanned.select("id", "ts"), "id").select("id", "other", "ts")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        gone: set[int] = set()
-        pdf = pdf.sort_values(["ts", "id"], ascending=[not newest_first, True])
-        for id_, g in pdf.groupby("id", sort=False):
-            if any(o not in gone for o in g["other"]):
-                gone.add(id_)
-        return pd.DataFrame({"id": sorted(gone)}, dtype="int64")
-
-    return links.withColumn("project", F.lit(0)).groupBy("project").applyInPandas(fold, "id long")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    place = F.coalesce(-micros if newest_first else micros, F.lit((1 << 63) - 2))  # rows without time come last
+    held = rows.filter(F.col("embedding").isNotNull()).select("id", F.coalesce("project", F.lit("default")).alias("project"), "embedding", place.alias("place"), F.coalesce(scanned, F.lit(False)).alias("scanned"))
+    if limit is not None:
+        first = held.filter("scanned").orderBy("place", "id").limit(limit).select("id", F.lit(True).alias("first"))
+        held = held.join(first, "id", "left").withColumn("scanned", F.coalesce("first", F.lit(False)))
+    placed = held.withColumn("place", F.when(F.col("scanned"), F.col("place")).otherwise(F.lit((1 << 63) - 1)))
+    return with_later(placed, "project", "place", threshold).join(placed.filter("scanned").select("id"), "id", "left_semi")
 
 
 def singleton_domains(rows: DataFrame, least: int = 3) -> DataFrame:

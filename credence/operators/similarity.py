@@ -18,18 +18,20 @@ from pyspark.sql.window import Window
 BLOCK = 1024
 
 
-def _blocks(rows: DataFrame, group: str, block: int) -> DataFrame:
-    """Blocks of a group: g, b, n (blocks of the group), ids, data (float64 rows)."""
-    held = rows.filter(F.col("embedding").isNotNull()).select("id", F.col(group).alias("g"), "embedding")
+def _blocks(rows: DataFrame, group: str, block: int, place: str | None = None) -> DataFrame:
+    """Blocks of a group: g, b, n (blocks of the group), ids, data (float64 rows), and the longs of ``place`` if one is named."""
+    extra = [] if place is None else [F.col(place).alias("place")]
+    held = rows.filter(F.col("embedding").isNotNull()).select("id", F.col(group).alias("g"), "embedding", *extra)
     counts = held.groupBy("g").agg(F.ceil(F.count("*") / block).cast("long").alias("n"))
     dealt = held.join(counts, "g").withColumn("b", F.pmod(F.xxhash64("id"), F.col("n")))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         data = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-        return pd.DataFrame({"g": pdf["g"].iloc[:1], "b": pdf["b"].iloc[:1], "n": pdf["n"].iloc[:1], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "data": [data.tobytes()]})
+        out = pd.DataFrame({"g": pdf["g"].iloc[:1], "b": pdf["b"].iloc[:1], "n": pdf["n"].iloc[:1], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "data": [data.tobytes()]})
+        return out.assign(places=[pdf["place"].to_numpy(np.int64).tobytes()]) if place else out
 
     kind = rows.schema[group].dataType.simpleString()
-    return dealt.groupBy("g", "b").applyInPandas(lambda pdf: pack(pdf), f"g {kind}, b long, n long, ids binary, data binary")
+    return dealt.groupBy("g", "b").applyInPandas(lambda pdf: pack(pdf), f"g {kind}, b long, n long, ids binary, data binary" + (", places binary" if place else ""))
 
 
 def _block_pairs(rows: DataFrame, group: str, block: int, ordered: bool) -> DataFrame:
@@ -79,6 +81,27 @@ def knn(rows: DataFrame, group: str, k: int, floor: float = -2.0, block: int = B
     return near.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("id", "rank", "other", "cos")
 
 
+def with_later(rows: DataFrame, group: str, place: str, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Ids of rows with a row at or above a threshold in their group whose (place, id) is larger; ``place`` is a long.
+
+    A pair is computed once, and two blocks send each of their ids once at most, so a
+    group of very many copies costs no more rows than others.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                a, b, cos = _products(row)
+                p, q = np.frombuffer(row.places, np.int64)[:, None], np.frombuffer(row.places2, np.int64)[None, :]
+                near = (cos >= threshold) & (a[:, None] != b[None, :])
+                later = (q > p) | ((q == p) & (b[None, :] > a[:, None]))
+                yield pd.DataFrame({"id": np.concatenate([a[(near & later).any(1)], b[(near & ~later).any(0)]])})
+
+    blocks = _blocks(rows, group, block, place)
+    left = blocks.withColumn("other", F.explode(F.sequence("b", F.col("n") - 1)))
+    right = blocks.select("g", F.col("b").alias("other"), F.col("ids").alias("ids2"), F.col("data").alias("data2"), F.col("places").alias("places2"))
+    return left.join(right, ["g", "other"]).mapInPandas(run, "id long").distinct()
+
+
 def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """Smallest id reachable over edges (a, b): id, root. Minimum labels spread until none changes; each round is checkpointed."""
     both = edges.select(F.col("a").alias("id"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("to"))).distinct().checkpoint()

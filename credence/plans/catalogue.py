@@ -288,13 +288,13 @@ def knn_same_project(spark, sf):
 
 @query()
 def recent_dedup(spark, sf):
-    recent = memories(spark, sf).filter(F.col("ts") >= F.lit("2024-01-25").cast("timestamp"))
-    return maintenance.near_duplicates_to_drop(recent, 0.3, True, 2, 200)
+    recent = F.col("ts") >= F.lit("2024-01-25").cast("timestamp")
+    return maintenance.near_duplicates_to_drop(memories(spark, sf), recent, 0.3, True)
 
 
 @query()
 def cold_dedup(spark, sf):
-    return maintenance.near_duplicates_to_drop(memories(spark, sf).filter("access_count = 0"), 0.3, False, 3, 500)
+    return maintenance.near_duplicates_to_drop(memories(spark, sf), F.col("access_count") == 0, 0.3, False)
 
 
 _CENT = "c AS (SELECT label, d, sum(x) AS s, count(*) AS n FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS d FROM embeddings) GROUP BY 1, 2), l AS (SELECT label, sqrt(sum(s * s)) AS norm FROM c GROUP BY label), a AS (SELECT 'c' || label AS name, list(s / norm ORDER BY d) AS emb FROM c JOIN l USING (label) GROUP BY label)"
