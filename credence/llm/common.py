@@ -1,54 +1,83 @@
-"""Shared folder, materialised steps and table access for the operators."""
+"""Shared folder, materialised steps, row identity and table access for the operators."""
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a private one only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a private folder is made if driver and executors are one
+    process; on a cluster that is an error, since executors could not read it.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: the steps need a folder that all executors share")
         named = tempfile.mkdtemp(prefix="credence-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+@contextmanager
+def _shuffles_end_with_the_step(spark: SparkSession):
+    """Shuffle files of the steps inside go as soon as each has ended: what they made is in the shared folder."""
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN, before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
-    Cuts the lineage: later steps survive a lost executor without the work above,
-    and row ids taken from the reread table stay the same for all of them.
+    Cuts the lineage: later steps survive a lost executor without the work above.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/credence/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # the cleaner then drops the shuffle files of the finished step
-    return out
+    with _shuffles_end_with_the_step(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """A table whose rows come in the same order each time it is read: itself if read from files, else a written copy.
+    """A table whose rows have a lasting place: itself if it is a Parquet scan, else a written copy.
 
-    Operators that read their input twice tell its rows apart by
-    ``monotonically_increasing_id``; the splits of a file scan do not depend on the
-    columns read, a shuffle may deal rows differently when columns are pruned.
+    Operators that read their input twice tell its rows apart by ``row_of``: the file
+    and the place in it, which do not depend on how a scan is cut into tasks, on the
+    columns read or on the executors at hand.
     """
-    plan = df._jdf.queryExecution().analyzed().getClass().getSimpleName()
-    return df if plan == "LogicalRelation" else materialise(df, "input")
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() == "LogicalRelation" and _format_of(plan) == "ParquetFileFormat":
+        return df
+    return materialise(df, "input")
+
+
+def _format_of(plan) -> str:
+    relation = plan.relation()
+    return relation.fileFormat().getClass().getSimpleName() if relation.getClass().getSimpleName() == "HadoopFsRelation" else ""
+
+
+def row_of(df: DataFrame) -> Column:
+    """The lasting identity of a row of a ``stable`` table, in the order of its files: struct of file and place."""
+    meta = df.metadataColumn("_metadata")
+    return F.struct(F.xxhash64(meta.getField("file_path")).alias("file"), meta.getField("row_index").alias("place"))
 
 
 def drop_materialised(df: DataFrame) -> None:

@@ -1,7 +1,9 @@
-"""Connected components of an edge table by alternating stars, all in shuffles."""
+"""Links between the members of buckets, and connected components, all in shuffles."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +38,52 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+
+#: From one round to the next a bucket has so many times more stars.
+_MORE_STARS = 8
+
+
+def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Verified links (a, b) that connect all similar members of each bucket.
+
+    ``members`` is a written table: bucket, class, star (the bucket's smallest class),
+    n (members of the bucket). ``verify`` keeps the similar ones of pairs (a, b).
+    First each bucket's star is compared with its members. While a bucket's members
+    lie in different components, more members are made stars, eight times as many in
+    every round, and compared with the members of other components; in the last round
+    every member has been a star. So pairs are only made where links have not yet
+    joined a bucket, and no two similar members stay apart.
+    """
+    links = materialise(verify(members.filter("class != star").select(F.col("star").alias("a"), F.col("class").alias("b")).distinct()), "links")
+    stars, roots, opened = 1, None, None
+    while True:
+        before, roots = roots, materialise(components(links), "roots").withColumnRenamed("node", "class")
+        known = members if opened is None else opened.drop("root")
+        rooted = known.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+        mixed = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("bucket")
+        now_open = materialise(rooted.join(mixed, "bucket", "left_semi"), "open")
+        _drop(before, opened)
+        opened = now_open
+        most = opened.agg(F.max("n")).first()[0]
+        if not most or stars >= most:
+            break
+        # a member's share in [0, 1): stars are those below stars / n, so earlier ones stay stars
+        share = F.shiftrightunsigned(F.xxhash64("bucket", "class"), 11) / F.lit(2.0**53)
+        leads = lambda k: F.when(F.col("class") == F.col("star"), True).otherwise((F.lit(k) >= F.col("n")) | (share * F.col("n") < k) if k > 1 else F.lit(False))
+        ranked = opened.select("bucket", "class", "root", leads(stars).alias("was"), leads(stars * _MORE_STARS).alias("leads")).filter("not was")
+        left = ranked.filter("leads").select("bucket", F.col("class").alias("a"), F.col("root").alias("ra"))
+        right = ranked.select("bucket", F.col("class").alias("b"), F.col("root").alias("rb"), "leads")
+        pairs = left.join(right, "bucket").filter((F.col("ra") != F.col("rb")) & (~F.col("leads") | (F.col("a") < F.col("b"))))
+        found = materialise(verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "links")
+        both = materialise(links.unionByName(found), "links")
+        _drop(links, found)
+        links, stars = both, stars * _MORE_STARS
+    _drop(opened, roots)
+    return links
+
+
+def _drop(*tables: DataFrame | None) -> None:
+    for table in tables:
+        if table is not None:
+            drop_materialised(table)

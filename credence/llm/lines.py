@@ -1,17 +1,19 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
-Equal lines are one class. A class gets a one-permutation MinHash signature over the
-character shingles that verification compares. Their hashes are sorted and the
-least of each of ``BINS`` hash ranges is kept; empty ranges borrow from filled ones.
-``BANDS`` groups of bins name buckets; in a bucket every class is paired with the
-smallest one, and after these pairs are verified, only buckets whose members lie in
-different components emit their remaining pairs. Verification is exact: the Jaccard
-similarity of all distinct character shingles of both lines. Components come from a
-distributed union-find; the first line of each component stays (by id, then place).
+Equal lines are one class, known by two 64-bit hashes. A class has a MinHash signature
+over the character shingles that verification compares: for each of ``BANDS *
+BAND_ROWS`` orders of the shingles' hashes, the least one. Lines are cut into chunks of
+16 shingles, whose hashes and minima are plain generated code; the minima of a line's
+chunks are aggregated. The minima of a band name a bucket. In a bucket every class is
+compared with the smallest one, and only buckets that links have not joined go on
+(``bucket_links``). Verification is exact: the Jaccard similarity of all distinct
+character shingles of both lines. Components come from a distributed union-find; the
+first line of each component stays (by id, then place).
 
 Defined cases: null texts have no lines; lines without a word are never duplicates;
 lines shorter than a shingle are one shingle; the order of repeated rows and of equal
-ids is that of the rows; an empty table gives no rows; further columns stay.
+ids is that of the rows in their files; an empty table gives no rows; further columns
+stay, whatever their names; a line may be as long as a text can be.
 """
 
 from __future__ import annotations
@@ -19,51 +21,55 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm.common import materialise, stable
-from credence.llm.components import components
+from credence.llm.common import drop_materialised, materialise, row_of, stable
+from credence.llm.components import bucket_links, components
 
-#: Characters of a shingle and the similarity from which lines are duplicates.
+#: Characters of a shingle and the similarity from which lines are duplicates. With
+#: nine, lines that have nothing to do with each other stay below 0.04; with five,
+#: long ones of one language come to 0.23 and share buckets in the square of their number.
 SHINGLE, THRESHOLD = 9, 0.75
-BINS, BANDS = 64, 16
-_ALL = rf"(?=([\s\S]{{{SHINGLE}}}))"
+#: A pair at the threshold shares a bucket with probability 1 - (1 - 0.75 ** 3) ** 9 = 0.993.
+BANDS, BAND_ROWS = 9, 3
+#: Shingles of a chunk, and of the blocks that are cut into chunks.
+CHUNK, BLOCK = 16, 128
+_MASK = (1 << 31) - 1
+_SHINGLES = rf"(?s)(?=(.{{{SHINGLE}}}))."
+_BLOCKS = rf"(?s)(?=(.{{{SHINGLE},{BLOCK + SHINGLE - 1}}})).{{1,{BLOCK}}}"
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row, id, at (from 0), line and its 128-bit key, for lines that hold a word."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.split(F.col(text_col), "\n", -1).alias("lines"))
-    return rows.select("row", "id", F.posexplode("lines").alias("at", "line")).filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("key", F.unhex(F.md5(F.encode("line", "UTF-8"))))
+    """row, id, at (from 0), line and its two hashes k1 and k2, for lines that hold a word, of a ``stable`` table."""
+    rows = docs.select(row_of(docs).alias("row"), F.col(id_col).alias("id"), F.split(F.col(text_col), "\n", -1).alias("lines"))
+    kept = rows.select("row", "id", F.posexplode("lines").alias("at", "line")).filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    return kept.withColumn("k1", F.xxhash64("line")).withColumn("k2", F.xxhash64(F.lit(SHINGLE), "line"))
 
 
-def band_keys(line: Column) -> Column:
-    """Names of the buckets of a line, one per band; sets of at most two shingles, which only equal sets resemble, need one.
+def signatures(lines: DataFrame, keys: list[str], line: str = "line") -> DataFrame:
+    """The keys and ``bands``, one bucket name per band, of each line (equal keys: equal lines)."""
+    text = F.col(line)
+    short = F.char_length(text) <= BLOCK + SHINGLE - 1
+    blocks = lines.select(*keys, F.explode(F.when(short, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(_BLOCKS), F.lit(1)))).alias("block"))
+    last = F.greatest(F.lit(0), F.floor((F.char_length("block") - SHINGLE) / CHUNK).cast("int"))
+    starts = blocks.select(*keys, "block", F.explode(F.sequence(F.lit(0), last)).alias("__i"))
+    chunks = starts.select(*keys, F.substring("block", F.col("__i") * CHUNK + 1, F.lit(CHUNK + SHINGLE - 1)).alias("chunk"))
+    left = F.char_length("chunk") - (SHINGLE - 1)  # a short chunk repeats its last shingle
 
-    The bin of a hash is its place in the order of hashes, so in the sorted hashes the
-    first of each bin is the least one. An empty bin takes the value of a filled one, the
-    first in an order of bins of its own, so any two lines agree in a bin with the
-    probability of their similarity, however short they are.
-    """
-    shift = 64 - BINS.bit_length() + 1
-    bin_of = lambda h: (F.shiftright(h, shift) + BINS // 2).cast("int")
+    def hash_at(k: int) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(F.substring("chunk", F.greatest(F.lit(1), F.least(F.lit(k + 1), left)), F.lit(SHINGLE))), 33)
 
-    def is_first(h: Column) -> Column:
-        return F.filter(h, lambda x, i: (i == 0) | (F.shiftright(F.get(h, i - 1), shift) != F.shiftright(x, shift)))
+    hashed = chunks.select(*keys, *[hash_at(k).alias(f"h{k}") for k in range(CHUNK)])
+    # a lambda keeps this projection out of whole-stage code, whose one method would be too large to be compiled
+    zero = F.get(F.transform(F.array(F.lit(0).cast("long")), lambda x: x), 0)
 
-    def all_bins(least: Column) -> Column:
-        def borrowed(i: Column) -> Column:
-            ranks = F.transform(least, lambda x, j: F.xxhash64(i, F.shiftright(x, shift)).bitwiseAND(F.lit(-BINS)).bitwiseOR(j.cast("long")))
-            return F.get(least, F.array_min(ranks).bitwiseAND(F.lit(BINS - 1)).cast("int"))
+    def least(j: int) -> Column:
+        odd = ((j + 1) * 0x9E3779B97F4A7C15 % (1 << 64) >> 33) | 1
+        orders = [(F.col(f"h{k}") * F.lit(odd)).bitwiseAND(F.lit(_MASK)) for k in range(CHUNK)]
+        return F.least(*orders) if j else F.least(*orders).bitwiseOR(zero)
 
-        def value(own: Column) -> Column:
-            return F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: let(F.array_position(own, i).cast("int"), lambda p: F.when(p > 0, F.get(least, p - 1)).otherwise(borrowed(i))))
-
-        return F.when(F.size(least) == BINS, least).otherwise(let(F.transform(least, bin_of), value))
-
-    def bands(hashes: Column) -> Column:
-        last = F.when(F.size(hashes) <= 2, F.lit(0)).otherwise(F.lit(BANDS - 1))
-        dense = let(is_first(hashes), all_bins)
-        return let(dense, lambda d: F.transform(F.sequence(F.lit(0), last), lambda b: F.xxhash64(b, *[F.get(d, b + k * BANDS) for k in range(BINS // BANDS)])))
-
-    return let(F.sort_array(shingle_set(line)), bands)
+    minima = range(BANDS * BAND_ROWS)
+    signed = hashed.select(*keys, *[least(j).alias(f"m{j}") for j in minima]).groupBy(*keys).agg(*[F.min(f"m{j}").alias(f"m{j}") for j in minima])
+    band = lambda b: F.xxhash64(F.lit(b), *[f"m{b * BAND_ROWS + r}" for r in range(BAND_ROWS)])
+    return signed.select(*keys, F.array(*[band(b) for b in range(BANDS)]).alias("bands"))
 
 
 def let(value: Column, body) -> Column:
@@ -73,7 +79,7 @@ def let(value: Column, body) -> Column:
 
 def shingle_set(line: Column) -> Column:
     """Hashes of all distinct character shingles of a line."""
-    all_ = F.when(F.char_length(line) <= SHINGLE, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(_ALL), F.lit(1)))
+    all_ = F.when(F.char_length(line) <= SHINGLE, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(_SHINGLES), F.lit(1)))
     return F.array_distinct(F.transform(all_, lambda s: F.xxhash64(s)))
 
 
@@ -87,34 +93,28 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Every line with a word: row, the id, at, component (a class number), kept."""
+    """Every line with a word: row (file and place), the id, at, component (a class number), kept."""
     docs = stable(docs)
     lines = lines_of(docs, id_col, text_col)
-    places = lines.groupBy("key").agg(F.min(F.struct(F.col("id").isNull(), "id", "row", "at")).alias("first"))
-    classes = materialise(places, "lines").withColumn("class", F.monotonically_increasing_id())
-    named = lines.join(classes.select("class", F.col("first.row").alias("row"), F.col("first.at").alias("at")), ["row", "at"])
-    members = named.select("class", F.explode(band_keys(F.col("line"))).alias("bucket"))
-    members = materialise(members.distinct(), "bands")
-    stars = members.groupBy("bucket").agg(F.min("class").alias("star"), F.count("*").alias("n")).filter("n > 1").select("bucket", "star")
+    signed = materialise(signatures(lines, ["k1", "k2"]).withColumn("class", F.monotonically_increasing_id()), "signatures")
+    members = signed.select("class", F.explode("bands").alias("bucket"))
+    stars = members.groupBy("bucket").agg(F.min("class").alias("star"), F.count("*").alias("n")).filter("n > 1")
     shared = materialise(members.join(stars, "bucket"), "shared")
-    involved = shared.select("class").distinct()
-    texts = materialise(named.join(involved, "class").select("class", "line"), "texts")
-
-    first_pairs = shared.filter("class != star").select(F.col("star").alias("a"), F.col("class").alias("b")).distinct()
-    links = materialise(verified(first_pairs, texts, threshold), "links")
+    places = lines.groupBy("k1", "k2").agg(F.min(F.struct(F.col("id").isNull(), "id", "row", "at")).alias("first"))
+    classes = materialise(places.join(signed.select("k1", "k2", "class"), ["k1", "k2"]), "classes")
+    drop_materialised(signed)
+    involved = classes.join(shared.select("class").distinct(), "class", "left_semi").select("class", F.col("first.row").alias("row"), F.col("first.at").alias("at"))
+    texts = materialise(lines.select("row", "at", "line").join(involved.hint("shuffle_hash"), ["row", "at"]).select("class", "line"), "texts")
+    links = bucket_links(shared, lambda pairs: verified(pairs, texts, threshold))
+    drop_materialised(shared)
+    drop_materialised(texts)
     roots = materialise(components(links), "roots").withColumnRenamed("node", "class")
-    rooted = shared.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("bucket")
-    open_ = rooted.join(mixed, "bucket")
-    left = open_.select("bucket", F.col("class").alias("a"), F.col("root").alias("ra"), "star")
-    right = open_.select("bucket", F.col("class").alias("b"), F.col("root").alias("rb"))
-    rest = left.join(right, "bucket").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.col("a") != F.col("star"))).select("a", "b").distinct()
-    all_links = links.unionByName(materialise(verified(rest, texts, threshold), "links"))
-
-    whole = classes.join(components(all_links).withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    drop_materialised(links)
+
+    whole = classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     first = whole.groupBy("root").agg(F.min("first").alias("kept"))
-    decided = whole.join(first, "root").select("key", F.col("root").alias("component"), F.col("kept.row").alias("kept_row"), F.col("kept.at").alias("kept_at"))
-    out = lines.select("row", F.col("id").alias(id_col), "at", "key").join(decided, "key")
+    decided = whole.join(first, "root").select("k1", "k2", F.col("root").alias("component"), F.col("kept.row").alias("kept_row"), F.col("kept.at").alias("kept_at"))
+    out = lines.select("row", F.col("id").alias(id_col), "at", "k1", "k2").join(decided, ["k1", "k2"])
     return out.select("row", id_col, "at", "component", ((F.col("row") == F.col("kept_row")) & (F.col("at") == F.col("kept_at"))).alias("kept"))
 
 
@@ -123,7 +123,7 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = stable(docs)
     dropped = line_classes(docs, id_col, text_col, threshold).filter(~F.col("kept")).groupBy("row").agg(F.collect_set("at").alias("__drop")).withColumnRenamed("row", "__row")
     columns = docs.columns
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__doc"), F.monotonically_increasing_id().alias("__row")).join(dropped, "__row", "left")
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__doc"), row_of(docs).alias("__row")).join(dropped, "__row", "left")
     text = F.col("__doc").getField(text_col)
     kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains("__drop", i)), "\n")
     new = marked.withColumn("__text", F.when(F.col("__drop").isNull(), text).otherwise(kept))

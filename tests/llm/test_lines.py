@@ -87,8 +87,9 @@ def test_query_over_the_smallest_tables(spark):
 
 def found_together(spark, pairs):
     """Which of the pairs of lines share a bucket."""
-    df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(pairs)], "i long, x string, y string")
-    return [r.found for r in df.select("i", F.arrays_overlap(lines.band_keys(F.col("x")), lines.band_keys(F.col("y"))).alias("found")).orderBy("i").collect()]
+    df = spark.createDataFrame([(i, side, line) for i, pair in enumerate(pairs) for side, line in enumerate(pair)], "i long, side int, line string")
+    x, y = (lines.signatures(df.filter(F.col("side") == k), ["i"]).withColumnRenamed("bands", f"b{k}") for k in (0, 1))
+    return [r.found for r in x.join(y, "i").select("i", F.arrays_overlap("b0", "b1").alias("found")).orderBy("i").collect()]
 
 
 def near_pairs(rng, make, n):
@@ -118,3 +119,90 @@ def test_short_lines_are_found(spark):
     for n in (16, 17, 25, 40):
         pairs = near_pairs(rng, lambda: "".join(rng.choices("abcdefghij klmnop", k=n)), 200)
         assert sum(found_together(spark, pairs)) >= 0.97 * len(pairs)
+
+
+def edited_pairs(rng, make, letters, n=200):
+    """``n`` pairs of different lines at the threshold or above: some letters, at any place, are replaced."""
+    shingles = lambda x: {x[i : i + 9] for i in range(max(1, len(x) - 8))}
+    out = []
+    for _ in range(100_000):
+        x = make()
+        y = list(x)
+        for _ in range(rng.randint(1, max(1, len(x) // 60))):
+            at = rng.choice([rng.randrange(len(y)), len(y) - 1, 0])
+            y[at] = rng.choice(letters)
+        y = "".join(y)
+        a, b = shingles(x), shingles(y)
+        if x != y and len(a & b) >= lines.THRESHOLD * len(a | b):
+            out.append((x, y))
+            if len(out) == n:
+                break
+    return out
+
+
+def test_every_kind_of_line_is_found(spark):
+    rng = random.Random(6)
+    latin, thai, han = "abcdefghijklmnoprstuvwy", "".join(map(chr, range(0x0E01, 0x0E2F))), "".join(map(chr, range(0x4E00, 0x4F00)))
+    word = lambda: "".join(rng.choices(latin, k=rng.randint(3, 8)))
+    kinds = {f"{n} words": (lambda n=n: " ".join(word() for _ in range(n)), latin) for n in (2, 3, 7, 8, 10, 20, 100)}
+    kinds |= {"address": (lambda: "https://" + "/".join(word() for _ in range(18)), latin), "Thai": (lambda: "".join(rng.choices(thai, k=100)), thai), "Han": (lambda: "".join(rng.choices(han, k=80)), han)}
+    for kind, (make, letters) in kinds.items():
+        pairs = edited_pairs(rng, make, letters)
+        assert len(pairs) == 200 and sum(found_together(spark, pairs)) >= 0.95 * len(pairs), kind
+
+
+def test_rows_keep_their_place_when_the_executors_change(spark, tmp_path, monkeypatch):
+    rows = corpus(3)
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    want = {(r.doc_id, r.at): r.kept for r in lines.line_classes(docs).collect()}
+    step = iter(range(1000))
+    materialise = lines.materialise
+
+    def other_parallelism(df, name):
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", 1 + next(step) % 5)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        return materialise(df, name)
+
+    monkeypatch.setattr(lines, "materialise", other_parallelism)
+    try:
+        out = lines.line_classes(docs)
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", 7)
+        assert {(r.doc_id, r.at): r.kept for r in out.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_a_very_long_line_and_clashing_names(spark):
+    rng = random.Random(9)
+    long = "".join(rng.choices("abcdefgh ", k=600_000))
+    rows = [(1, long, "a", 1), (2, long[:300_000] + "Q" + long[300_001:], "b", 2), (3, "x", "c", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, line string, at int")
+    assert sorted(r.doc_id for r in lines.drop_lines(df).collect()) == [1, 3]
+
+
+def test_members_of_a_bucket_that_its_star_does_not_join_are_linked(spark):
+    from credence.llm.components import bucket_links
+
+    n = 300
+    members = spark.createDataFrame([(7, i, 0, n) for i in range(n)] + [(8, i, 0, 3) for i in (0, 5, 6)], "bucket long, class long, star long, n long")
+    seen = []
+
+    def verify(pairs):
+        seen.extend((r.a, r.b) for r in pairs.collect())
+        return pairs.filter((F.col("a") % 10 == F.col("b") % 10) & (F.col("a") > 0))
+
+    links = bucket_links(members, verify)
+    joined = {(r.a, r.b) for r in links.collect()}
+    parent = list(range(n))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in joined:
+        parent[root(a)] = root(b)
+    assert len({root(i) for i in range(1, n)}) == 10 and root(0) == 0
+    assert len(seen) == len(set(seen)) and not any(a == b for a, b in seen)
