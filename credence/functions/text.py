@@ -35,7 +35,13 @@ _DENIED = r"(?i)(\b(not|never)|n't)(\s+\w+){0,3}\s+(fixed|resolved)\b"
 # Words that are no keywords.
 STOPWORDS = ["the", "and", "but", "for", "with", "this", "that", "from", "have", "has", "was", "were", "are", "not", "now", "still", "been", "into", "about", "when", "then", "than", "also"]
 
+# Fixed value: openings of records of file edits.
 FILE_EDIT = r"(?i)^(Edited:|Worked on .+edited|Ran:)"
+# Fixed value: names in a query that the entity graph is asked for.
+ENTITY = r"\b([A-Z][a-zA-Z0-9._-]{2,}|@cf/[^\s]+|CW[0-9]+[A-Z]?)\b"
+# What became of a belief, with the drop of sigma it must exceed.
+DRIFTS = [(0.3, "strongly reinforced — confident belief"), (0.15, "sharpening — belief gaining confidence"), (0.05, "slightly reinforced")]
+FADING, STABLE = "fading — belief losing confidence", "stable — unchanged since storage"
 # Chat filler that is not stored.
 SLANG = r"\b(u|ur|tryna|wanna|gonna|idk|imma|dunno|lemme)\b"
 OPENERS = r"(?i)^(hm+|yea+h?|nah|yo|lol|haha|hmm+|huh|ok so|so yea)\b"
@@ -47,10 +53,19 @@ WEIGHTY = r"\b(important|concerned|struggled|realized|figured out|key insight|di
 CUES = {"today": 0, "this session": 0, "just now": 0, "yesterday": 1, "this week": 5, "last week": 12, "this month": 25, "last month": 55, "recently": 2}
 
 
+# What a text must hold, in lower case, for any of the secret patterns to match.
+SECRET_HINTS = ["-----begin", "eyj", "bearer", "basic", "token", "authorization", "x-api-key", "x-auth-token", "github_pat_", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "xox", "akia", "aiza", "npm_", "hf_", "sk-", "pk-", "rk-", "://", "--password", "--secret", "--api", "--access", "secret", "password", "passwd", "apikey", "api_key", "access_key", "private_key", "credential"]
+
+
 def redact(text: Column) -> Column:
+    """Secrets replaced; texts without a hint of one are not searched any further."""
+    low, clean = F.lower(text), text
+    hinted = F.lit(False)
+    for hint in SECRET_HINTS:
+        hinted = hinted | low.contains(hint)
     for pattern, instead in SECRETS:
-        text = F.regexp_replace(text, pattern, instead)
-    return text
+        clean = F.regexp_replace(clean, pattern, instead)
+    return F.when(hinted, clean).otherwise(text)
 
 
 def terms(text: Column) -> Column:
@@ -60,14 +75,22 @@ def terms(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Distinct words of more than three letters, without [marks]."""
-    bare = F.regexp_replace(F.regexp_replace(F.lower(text), r"\[.*?\]", ""), r"[^a-z0-9\s]", " ")
-    return F.array_distinct(F.filter(F.split(bare, r"\s+"), lambda w: F.length(w) > 3))
+    bare = F.regexp_replace(F.regexp_replace(F.lower(text), r"\[[^\]]*\]", " "), "[^a-z0-9 ]", " ")
+    return F.array_distinct(F.filter(F.split(bare, " +"), lambda w: F.length(w) > 3))
 
 
 def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
+def query_terms(query: str) -> list[str]:
+    """Terms of a query text, as ``terms`` has them for a column, quotes and brackets apart; none for fewer than three characters."""
+    import re
+
+    bare = re.sub("['\"*()]", " ", query).strip()
+    return [w for w in re.split("[^a-z0-9]+", bare.lower()) if w] if len(bare) >= 3 else []
+
+
 def keywords(text: Column, limit: int = 20) -> Column:
     """Distinct terms of four letters or more, longest first."""
     found = F.filter(F.array_distinct(terms(text)), lambda w: (F.length(w) >= 4) & ~w.isin(STOPWORDS))
@@ -81,13 +104,17 @@ def exact_key(text: Column) -> Column:
 
 
 def entity_tokens(text: Column, limit: int = 3) -> Column:
-    return F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b([A-Z][A-Za-z0-9]{2,}|[a-z]+[-_]?\d[\w.-]*)\b"), F.lit(1))), 1, limit)
+    return F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(1))), 1, limit)
+
+
+#: White space that is trimmed.
+SPACE = " \t\n\r\f\x0b"
 
 
 def good_result(text: Column) -> Column:
-    """Retrieval gate: thirty characters, no bare URL, four words or more."""
-    t = F.trim(text)
-    return (F.char_length(t) >= 30) & ~t.rlike(r"^https?://\S+$") & ~t.rlike(r"^\S+$") & (F.regexp_count(t, F.lit(r"\s")) >= 3)
+    """Retrieval gate: thirty characters, no link at the start, no single name, four words or more."""
+    t = F.btrim(text, F.lit(SPACE))
+    return (F.char_length(t) >= 30) & ~t.rlike("^https?://") & ~t.rlike("^[a-zA-Z0-9_.-]+$") & (F.regexp_count(t, F.lit(r"\s")) >= 3)
 
 
 def low_signal(text: Column) -> Column:
@@ -168,9 +195,11 @@ def entity_id(kind: Column, name: Column) -> Column:
 
 
 def relative_age(ts: Column, now: Column) -> Column:
-    s = F.unix_timestamp(now) - F.unix_timestamp(ts)
-    unit = lambda n, u: F.concat(F.floor(s / n).cast("string"), F.lit(u))
-    return F.when(s < 3600, unit(60, "m")).when(s < 86400, unit(3600, "h")).when(s < 30 * 86400, unit(86400, "d")).when(s < 365 * 86400, unit(30 * 86400, "mo")).otherwise(unit(365 * 86400, "y"))
+    """Age in the largest unit it fills, one minute at least; nothing for an unknown time."""
+    s = F.greatest(F.lit(0), F.unix_timestamp(now) - F.unix_timestamp(ts))
+    unit = lambda n, u, least=0: F.concat(F.greatest(F.lit(least), F.floor(s / n)).cast("string"), F.lit(f"{u} ago"))
+    age = F.when(s < 3600, unit(60, "m", 1)).when(s < 86400, unit(3600, "h")).when(s < 30 * 86400, unit(86400, "d")).when(s < 365 * 86400, unit(30 * 86400, "mo")).otherwise(unit(365 * 86400, "y"))
+    return F.when(ts.isNull(), "").otherwise(age)
 
 
 def glyph(sigma: Column) -> Column:
@@ -178,7 +207,10 @@ def glyph(sigma: Column) -> Column:
 
 
 def drift_verdict(drop: Column) -> Column:
-    return F.when(drop >= 0.3, "strongly reinforced").when(drop >= 0.15, "reinforced").when(drop >= 0.05, "slightly reinforced").when(drop > -0.1, "stable").otherwise("weakened")
+    verdict = F.when(drop < -0.1, FADING).otherwise(STABLE)
+    for above, label in reversed(DRIFTS):
+        verdict = F.when(drop > above, label).otherwise(verdict)
+    return verdict
 
 
 def decision(text: Column, **parts: Column) -> Column:

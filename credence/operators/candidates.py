@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from credence.functions import kernels, text
+from credence.session import checkpointed
 
 
 def vector_literal(values: list[float]) -> Column:
@@ -29,27 +32,24 @@ def blended_topk(rows: DataFrame, query: list[float], k: int, project: str, defa
     return own.unionByName(other).groupBy("id").agg(F.max("score").alias("score"))
 
 
-def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """Inverted index: term, id, tf, length (terms of the document)."""
-    t = docs.select(F.col(id_col).alias("id"), text.terms(F.col(text_col)).alias("terms"))
-    one = t.select("id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
-    return one.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-
+def bm25(docs: DataFrame, query_terms: list[str], k: int, match_all: bool, id_col: str = "id", text_col: str = "text", k1: float = 1.2, b: float = 0.75, scope: Column | None = None) -> DataFrame:
+    """Ranked keyword hits: id, score.
 
-def bm25(docs: DataFrame, query_terms: list[str], k: int, match_all: bool, id_col: str = "id", text_col: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Ranked keyword hits: id, score. Only the query's terms leave the scan, so the shuffle holds hits alone."""
+    Texts are read once: a narrow table keeps each row's length and its counts of the
+    query's terms, from which the corpus statistics and the hits are taken. ``scope``
+    limits the hits, not the statistics.
+    """
     wanted = sorted(set(query_terms))
-    t = docs.select(F.col(id_col).alias("id"), text.terms(F.col(text_col)).alias("terms"))
-    n, avg = t.agg(F.count("*"), F.avg(F.size("terms"))).first()
-    counts = F.array(*[F.struct(F.lit(w).alias("term"), F.size(F.filter("terms", _equal(w))).alias("tf")) for w in wanted])
-    hits = t.select("id", F.size("terms").alias("length"), F.explode(counts).alias("h")).select("id", "length", "h.*").filter("tf > 0")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))  # one row per query term
-    idf = F.greatest(F.lit(1e-6), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / (avg or 1)))
-    scored = hits.join(F.broadcast(df), "term").groupBy("id").agg(F.round(F.sum(weight), 6).alias("score"), F.count("*").alias("n"))
-    if match_all:
-        scored = scored.filter(F.col("n") == len(wanted))
-    return scored.select("id", "score").orderBy(F.desc("score"), "id").limit(k)
+    seen = F.lit(True) if scope is None else F.coalesce(scope, F.lit(False))
+    t = docs.select(F.col(id_col).alias("id"), text.terms(F.col(text_col)).alias("terms"), seen.alias("seen"))
+    narrow = checkpointed(t.select("id", "seen", F.size("terms").alias("length"), F.array(*[F.size(F.filter("terms", _equal(w))) for w in wanted]).alias("tf")))
+    there = [F.count_if(F.get("tf", n) > 0) for n in range(len(wanted))]
+    n, avg, *df = narrow.agg(F.count("*"), F.avg("length"), *there).first()
+    idf = [max(1e-6, math.log((n - d + 0.5) / (d + 0.5))) for d in df]
+    saturated = lambda tf: tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / (avg or 1)))
+    score = sum((F.when(F.get("tf", i) > 0, idf[i] * saturated(F.get("tf", i))).otherwise(0.0) for i in range(len(wanted))), F.lit(0.0))
+    hit = (F.forall if match_all else F.exists)("tf", lambda x: x > 0)
+    return narrow.filter(F.col("seen") & hit).select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
 def _equal(word: str):
@@ -67,9 +67,9 @@ def rrf(lists: list[DataFrame], k: int = 60) -> DataFrame:
 
 
 def temporal_window(rows: DataFrame, days: int, clock: Column, newest: int = 20, sessions: int = 10) -> DataFrame:
-    """Newest rows, and newest sessions, within two days of a cue."""
-    off = F.abs(kernels.age_days(F.col("ts"), clock) - days)
-    held = rows.filter(off <= 2).select("id", "ts", "memory_type")
+    """Newest rows, and newest sessions, from two days before the day a cue names to one day after it."""
+    age = kernels.age_days(F.col("ts"), clock)
+    held = rows.filter((age <= days + 2) & (age >= max(0, days - 1))).select("id", "ts", "memory_type")
     top = held.orderBy(F.desc("ts"), "id").limit(newest)
     last = held.filter("memory_type = 'session'").orderBy(F.desc("ts"), "id").limit(sessions)
     return top.unionByName(last).distinct()

@@ -39,7 +39,9 @@ def primary(pool: DataFrame, clock: Column, sigma_q: float, days: int | None = N
     have = pool.columns
     known = lambda c: F.coalesce(F.col(c), F.lit(0.0)) if c in have else F.lit(0.0)
     q = F.lit(sigma_q)
-    p = pool.withColumn("norm_cos", min_max(kernels.damped_cosine(F.col("cos"), F.col("sigma"), q)))
+    damped = kernels.damped_cosine(F.col("cos"), F.col("sigma"), q)
+    given = F.col("synthetic") if "synthetic" in have else None  # stands in for a similarity and stays as it is
+    p = pool.withColumn("norm_cos", min_max(damped) if given is None else min_max(F.coalesce(given, damped), given.isNull()))
     p = p.withColumn("norm_bm25", bm25_scaled(known("bm25"))).withColumn("norm_rec", min_max(kernels.recency(F.col("last_accessed"), clock))).withColumn("norm_acc", min_max(kernels.access_frequency(F.col("access_count"))))
     base = kernels.base_score(F.col("norm_cos"), F.col("norm_bm25"), F.col("norm_rec"), F.col("norm_acc"), known("entity"), known("rrf"), known("cohesion"), kernels.temporal_boost(F.col("ts"), days, clock))
     overlap = kernels.distributional_score(F.col("norm_cos"), q, F.col("sigma"))
@@ -48,7 +50,7 @@ def primary(pool: DataFrame, clock: Column, sigma_q: float, days: int | None = N
 
 def activate(scored: DataFrame, clock: Column, sigma_q: float, days: int | None = None, domain: str | None = None) -> DataFrame:
     """Adds ``score``: proximity to the three best rows spreads from sharp, uncontested rows."""
-    three = scored.orderBy(F.desc("primary_score"), "id").limit(3).select(F.col("id").alias("a_id"), F.col("embedding").alias("a_emb"))
+    three = scored.orderBy(F.desc("primary_score"), "id").limit(3).filter(F.col("embedding").isNotNull()).select(F.col("id").alias("a_id"), F.col("embedding").alias("a_emb"))
     near = (
         scored.join(F.broadcast(three), F.col("id") != F.col("a_id"))
         .groupBy("id").agg(F.avg(kernels.dot(F.col("embedding"), F.col("a_emb"))).alias("neighbours"))

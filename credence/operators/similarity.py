@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from credence.session import checkpointed
+
 BLOCK = 1024
 
 
@@ -102,18 +104,26 @@ def with_later(rows: DataFrame, group: str, place: str, threshold: float, block:
     return left.join(right, ["g", "other"]).mapInPandas(run, "id long").distinct()
 
 
-def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """Smallest id reachable over edges (a, b): id, root. Minimum labels spread until none changes; each round is checkpointed."""
-    both = edges.select(F.col("a").alias("id"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("to"))).distinct().checkpoint()
-    labels = both.groupBy("id").agg(F.least(F.first("id"), F.min("to")).alias("root")).checkpoint()
-    for _ in range(rounds):
+def connected(edges: DataFrame) -> DataFrame:
+    """Smallest id reachable over edges (a, b): id, root.
+
+    Minimum labels spread and jump until none changes; each round is checkpointed.
+    """
+    both = checkpointed(edges.select(F.col("a").alias("id"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("to"))).distinct())
+    labels = checkpointed(both.groupBy("id").agg(F.least(F.first("id"), F.min("to")).alias("root")))
+    state = _digest(labels)
+    while True:
         spread = both.join(labels.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.min("root").alias("near"))
         jump = labels.select(F.col("id").alias("root"), F.col("root").alias("beyond"))
-        new = labels.join(spread, "id").join(jump, "root", "left").select("id", F.least("root", "near", F.coalesce("beyond", "root")).alias("root")).checkpoint()
-        if new.agg(F.sum("root")).first() == labels.agg(F.sum("root")).first():
-            break
-        labels = new
-    return labels
+        labels = checkpointed(labels.join(spread, "id").join(jump, "root", "left").select("id", F.least("root", "near", F.coalesce("beyond", "root")).alias("root")))
+        before, state = state, _digest(labels)
+        if before == state:
+            return labels
+
+
+def _digest(labels: DataFrame) -> tuple:
+    """Tells two label tables apart: how many rows, and the exclusive or of their hashes, which cannot overflow."""
+    return tuple(labels.agg(F.count("*"), F.bit_xor(F.xxhash64("id", "root"))).first())
 
 
 def nearest_anchor(rows: DataFrame, anchors: DataFrame) -> DataFrame:

@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credence.functions import kernels, text
-from credence.operators import analytics, candidates, clustering, maintenance, scoring, similarity, tail, writes
+from credence.operators import analytics, candidates, clustering, maintenance, retrieval, scoring, similarity, writes
 from credence.operators.binding import NOW, NOW_MAINT, in_scope, is_valid, memories, memories_cte, now, table
 from credence.sources import text_sources
 from credence.streaming import state
 
 #: The query that ``entry`` runs.
-FLAGSHIP = "baseline_topk"
+FLAGSHIP = "retrieve_full"
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -100,7 +100,7 @@ def rrf_fusion(spark, sf):
     return candidates.rrf([near, candidates.access_top(m).select("id", F.col("access_count").cast("double").alias("score"))])
 
 
-@query(f"""{M}, h AS (SELECT id, ts, memory_type FROM memories WHERE abs({AGE.format(ts='ts')} - 5) <= 2)
+@query(f"""{M}, h AS (SELECT id, ts, memory_type FROM memories WHERE {AGE.format(ts='ts')} BETWEEN 4 AND 7)
  (SELECT * FROM h ORDER BY ts DESC, id LIMIT 20) UNION (SELECT * FROM h WHERE memory_type = 'session' ORDER BY ts DESC, id LIMIT 10)""")
 def temporal_window_candidates(spark, sf):
     return candidates.temporal_window(memories(spark, sf), text.temporal_cue("what changed this week?"), now())
@@ -116,7 +116,13 @@ def hot_list_topn(spark, sf):
     return candidates.hot_list(table(spark, sf, "events"), "user_id", "ts")
 
 
-@query(r"SELECT doc_id, length(trim(text)) >= 30 AND NOT regexp_matches(trim(text), '^https?://\S+$') AND NOT regexp_matches(trim(text), '^\S+$') AND len(regexp_extract_all(trim(text), '\s')) >= 3 AS good FROM documents")
+_TRIMMED = "trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+_GOOD_SQL = rf"(length({_TRIMMED}) >= 30 AND NOT starts_with({_TRIMMED}, 'http://') AND NOT starts_with({_TRIMMED}, 'https://') AND NOT regexp_full_match({_TRIMMED}, '[a-zA-Z0-9_.-]+') AND len(regexp_extract_all({_TRIMMED}, '\s')) >= 3)"
+
+
+@query(f"SELECT doc_id, {_GOOD_SQL} AS good FROM documents")
 def quality_gate(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.good_result(F.col("text")).alias("good"))
 
@@ -209,14 +215,95 @@ def entity_cohesion(spark, sf):
     return scoring.cohesion_bonus(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.explode(found).alias("entity")))
 
 
+#: A query with a time cue and a name, and a vague one with neither; vectors stand in for an embedder.
+ASK = "what did Ofonrereer change this week?"
+ASK_VAGUE = "that thing with the tables again"
+
+
+def _ask(spark, sf, sentence: str, names: list[str], project: str) -> retrieval.Ask:
+    return retrieval.Ask(sentence, query_vector(spark, sf), 8, project, default=_DEFAULT, names=names, name_vectors=[query_vector(spark, sf, 1 + n) for n in range(len(names))], keywords=_TERMS, link_floor=0.3)
+
+
+def _entities(spark, sf) -> DataFrame:
+    found = F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Z][a-z]{8,})"), F.lit(1)))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("memory_id"), F.explode(found).alias("name"))
+
+
+def _hot(spark, sf) -> DataFrame:
+    return candidates.hot_list(table(spark, sf, "events"), "user_id", "ts")
+
+
+def _hybrid_sql(sentence: str, names: list[str], project: str) -> str:
+    """All six sources, their fusion and the score of every row of the pool."""
+    sigma_q, days = kernels.query_sigma(sentence, len(names)), text.temporal_cue(sentence)
+    k = kernels.pool_size(8, sigma_q)
+    scope = "true" if project == _DEFAULT else f"project IN ('{project}', '{_DEFAULT}')"
+
+    def near(name: str, vec_id: int, k: int) -> str:
+        vector = f"(SELECT embedding FROM embeddings WHERE vec_id = {vec_id})"
+        top = lambda where, n: f"(SELECT id, round({DOT(a='embedding', b=vector)}, 6) AS score FROM memories WHERE embedding IS NOT NULL AND {where} ORDER BY score DESC, id LIMIT {n})"
+        both = top("true", k) if project == _DEFAULT else top(f"project = '{project}'", k) + " UNION ALL " + top(f"project = '{_DEFAULT}'", max(3, int(0.3 * k + 0.5)))
+        return f"{name} AS (SELECT id, max(score) AS score FROM ({both}) GROUP BY id)"
+
+    named = [near(f"name{n}", 1 + n, retrieval.ENTITY_MATCHES) for n in range(len(names))]
+    boosts = " UNION ALL ".join(f"SELECT id, least(0.25, 0.5 / greatest(1, (SELECT count(*) FROM name{n}))) AS b FROM name{n}" for n in range(len(names))) or "SELECT 0 AS id, 0.0 AS b WHERE false"
+    window = f"{AGE.format(ts='ts')} BETWEEN {max(0, (days or 0) - 1)} AND {(days or 0) + 2}" if days is not None else "false"
+    accessed = "true" if sigma_q > 0.35 or not names else "false"
+    listed = ", ".join(f"'{n}'" for n in names) or "''"
+    boost = f"CASE WHEN abs({AGE.format(ts='ts')} - {days}) <= 2 THEN 0.35 * (1 - abs({AGE.format(ts='ts')} - {days}) / 2) ELSE 0 END" if days is not None else "0.0"
+    return f"""{M}, {near('near', 0, k)}{''.join(', ' + n for n in named)},
+ bt AS (SELECT id, project, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS terms FROM memories),
+ bc AS (SELECT count(*) AS n, avg(len(terms)) AS avg_len FROM bt), bp AS (SELECT id, project, len(terms) AS length, unnest(terms) AS term FROM bt),
+ bh AS (SELECT id, project, length, term, count(*) AS tf FROM bp WHERE term IN ('the', 'of', 'and') GROUP BY 1, 2, 3, 4), bd AS (SELECT term, count(*) AS df FROM bh GROUP BY term),
+ words AS (SELECT id, round(sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avg_len))), 6) AS score FROM bh JOIN bd USING (term), bc WHERE {scope} GROUP BY id HAVING count(*) = 3 ORDER BY score DESC, id LIMIT 32),
+ rr AS (SELECT id, sum(1.0 / (60 + r)) AS rrf FROM (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM near UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM words) GROUP BY id),
+ fused AS (SELECT id, row_number() OVER (ORDER BY round(rrf, 12) DESC, id) AS r FROM rr QUALIFY r <= 32),
+ th AS (SELECT id, ts, memory_type FROM memories WHERE {scope} AND {window}),
+ tt AS (SELECT DISTINCT id, ts FROM ((SELECT * FROM th ORDER BY ts DESC, id LIMIT 20) UNION ALL (SELECT * FROM th WHERE memory_type = 'session' ORDER BY ts DESC, id LIMIT 10))),
+ hot AS (SELECT user_id AS id, max(ts) AS seen FROM events GROUP BY user_id ORDER BY seen DESC, id LIMIT 100),
+ only_hot AS (SELECT id, row_number() OVER (ORDER BY seen DESC, id) AS r FROM hot WHERE id NOT IN (SELECT id FROM fused) QUALIFY r <= 10),
+ only_time AS (SELECT id, row_number() OVER (ORDER BY ts DESC, id) AS r FROM tt WHERE id NOT IN (SELECT id FROM fused)),
+ only_access AS (SELECT id, row_number() OVER (ORDER BY access_count DESC, id) AS r FROM (SELECT id, access_count FROM memories WHERE {scope} AND {accessed} ORDER BY access_count DESC, id LIMIT 20) WHERE id NOT IN (SELECT id FROM near)),
+ placed AS (SELECT id, min(p) AS p FROM (SELECT id, r AS p FROM only_hot UNION ALL SELECT id, 100 + r FROM only_time WHERE r <= 15 UNION ALL SELECT id, 200 + row_number() OVER (ORDER BY score DESC, id) FROM near
+   UNION ALL SELECT id, 400 + r FROM fused WHERE id NOT IN (SELECT id FROM near) UNION ALL SELECT id, 600 + r FROM only_access) GROUP BY id ORDER BY p LIMIT 120),
+ edges AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(text, '[A-Z][a-z]{{8,}}')) AS entity FROM documents WHERE doc_id IN (SELECT id FROM placed)),
+ shared AS (SELECT id, least(0.2, 0.1 * count(*)) AS b FROM edges WHERE entity IN ({listed}) GROUP BY id),
+ ties AS (SELECT id, round(least(0.10, 0.03 * sum((m - 1) / log2(greatest(2, m)))), 6) AS bonus FROM edges JOIN (SELECT entity, count(*) AS m FROM edges GROUP BY entity) USING (entity) GROUP BY id),
+ boosts AS (SELECT id, sum(b) AS b FROM ({boosts} UNION ALL SELECT * FROM shared) GROUP BY id),
+ raw AS (SELECT m.*, coalesce(near.score, 0.0) AS cos, near.id IS NOT NULL AS is_near, coalesce(words.score, 0.0) AS bm25, coalesce(rr.rrf, 0.0) AS rrf, CAST(coalesce(boosts.b, 0.0) AS DOUBLE) AS entity, CAST(coalesce(ties.bonus, 0.0) AS DOUBLE) AS cohesion,
+   CASE WHEN near.id IS NULL AND m.id IN (SELECT id FROM only_time) THEN 0.5 WHEN m.id IN (SELECT id FROM only_access) THEN 0.35 END AS given
+   FROM memories m JOIN placed USING (id) LEFT JOIN near ON near.id = m.id LEFT JOIN words ON words.id = m.id LEFT JOIN rr ON rr.id = m.id LEFT JOIN boosts ON boosts.id = m.id LEFT JOIN ties ON ties.id = m.id
+   WHERE {scope.replace('project', 'm.project')} AND (valid_to IS NULL OR valid_to > {T(NOW)}) AND {_GOOD_SQL}),
+ d AS (SELECT *, cos * greatest(0.75, 1 - 0.25 * greatest(0.0, sigma - {sigma_q!r})) AS dc, greatest(0.0, 1 - {AGE.format(ts='last_accessed')} / 90) AS rec, least(1.0, ln(1 + access_count) / ln(51)) AS acc FROM raw),
+ real AS (SELECT min(dc) AS low, max(dc) AS high FROM d WHERE given IS NULL),
+ n AS (SELECT d.*, CASE WHEN given IS NOT NULL THEN given WHEN high = low THEN 1.0 ELSE (dc - low) / (high - low) END AS nc, {_MM(v='rec')} AS nr, {_MM(v='acc')} AS na, CASE WHEN max(bm25) OVER () = 0 THEN 0.0 ELSE {_MM(v='bm25')} END AS nb FROM d, real)
+ SELECT id, is_near, round(nc, 6) AS norm_cos, round(nb, 6) AS norm_bm25, round(rrf, 8) AS rrf, round(entity, 6) AS entity, cohesion,
+  round((0.50 * nc + 0.15 * nb + 0.27 * nr + 0.08 * na + least(entity, 0.25) + least(6 * rrf, 0.1) + CASE WHEN nc >= 0.4 THEN cohesion ELSE 0 END + {boost})
+  * (1 - CASE WHEN memory_type = 'session' AND length(text) > 500 THEN least(0.15, 0.04 * log2(length(text) / 500.0)) ELSE 0 END)
+  * least(1.4, greatest(0.7, 0.7 + 0.7 * exp(-(2 * (1 - greatest(nc, 0.0)) / ((sigma + {sigma_q!r}) / 2) / 8 + ln(((sigma + {sigma_q!r}) / 2) / sqrt(sigma * {sigma_q!r})) / 2)))), 6) AS primary_score FROM n"""
+
+
+def _hybrid(spark, sf, sentence: str, names: list[str], project: str) -> DataFrame:
+    m, ask = memories(spark, sf), _ask(spark, sf, sentence, names, project)
+    found = retrieval.gather(m, ask, now(), _hot(spark, sf))
+    scored = scoring.primary(retrieval.pool(m, ask, found, now(), _entities(spark, sf)), now(), ask.sigma, ask.days)
+    rounded = lambda c, n=6: F.round(c, n).alias(c)
+    return scored.select("id", "is_near", rounded("norm_cos"), rounded("norm_bm25"), rounded("rrf", 8), rounded("entity"), "cohesion", rounded("primary_score"))
+
+
+@query(_hybrid_sql(ASK, ["Ofonrereer"], _PROJECT))
+def hybrid_pool(spark, sf):
+    return _hybrid(spark, sf, ASK, ["Ofonrereer"], _PROJECT)
+
+
+@query(_hybrid_sql(ASK_VAGUE, [], _DEFAULT))
+def hybrid_pool_vague(spark, sf):
+    return _hybrid(spark, sf, ASK_VAGUE, [], _DEFAULT)
+
+
 @query()
 def retrieve_full(spark, sf):
-    m = memories(spark, sf).filter(is_valid() & text.good_result(F.col("text")))
-    scored = scoring.activate(scoring.primary(scoring.candidate_pool(m, query_vector(spark, sf), POOL), now(), SIGMA_Q, 5), now(), SIGMA_Q, 5)
-    scored = scored.checkpoint()  # 60 rows, read again by the hops and the tail
-    start = [r.id for r in scored.orderBy(F.desc("score"), "id").limit(3).collect()]
-    hops = scoring.two_hops(m, start, floor=0.3).join(m, "id").withColumn("primary_score", F.lit(0.0))
-    return tail.apply_tail(scored, hops, 8, SIGMA_Q, temporal=True)
+    return retrieval.retrieve(memories(spark, sf), _ask(spark, sf, ASK, ["Ofonrereer"], _PROJECT), now(), _entities(spark, sf), _hot(spark, sf))
 
 
 @query(f"""{M}, u AS ((SELECT id, round({COS0}, 6) AS score FROM memories WHERE embedding IS NOT NULL ORDER BY score DESC, id LIMIT 10)
@@ -392,7 +479,8 @@ _HIST = "h AS (SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORD
 
 
 @query(f"""WITH {_HIST}, g AS (SELECT id, round(arg_min(sigma, n), 6) AS first_sigma, round(arg_max(sigma, n), 6) AS last_sigma, count(*) AS steps FROM s GROUP BY id), d AS (SELECT *, round(first_sigma - last_sigma, 6) AS drop FROM g)
- SELECT *, CASE WHEN drop >= 0.3 THEN 'strongly reinforced' WHEN drop >= 0.15 THEN 'reinforced' WHEN drop >= 0.05 THEN 'slightly reinforced' WHEN drop > -0.1 THEN 'stable' ELSE 'weakened' END AS verdict FROM d""")
+ SELECT *, CASE WHEN drop > 0.3 THEN 'strongly reinforced — confident belief' WHEN drop > 0.15 THEN 'sharpening — belief gaining confidence' WHEN drop > 0.05 THEN 'slightly reinforced'
+ WHEN drop < -0.1 THEN 'fading — belief losing confidence' ELSE 'stable — unchanged since storage' END AS verdict FROM d""")
 def belief_drift(spark, sf):
     return analytics.drift(analytics.history(table(spark, sf, "events")))
 
@@ -463,8 +551,8 @@ def _redact_sql(column: str) -> str:
 
 @query(f"SELECT doc_id, md5({_redact_sql('text')}) AS redacted, {_redact_sql('text')} <> text AS changed FROM documents")
 def redact_documents(spark, sf):
-    red = text.redact(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", F.md5(red).alias("redacted"), (red != F.col("text")).alias("changed"))
+    once = table(spark, sf, "documents").select("doc_id", "text", text.redact(F.col("text")).alias("red"))
+    return once.select("doc_id", F.md5("red").alias("redacted"), (F.col("red") != F.col("text")).alias("changed"))
 
 
 @query("""WITH s AS (SELECT conv_id, turn, upper(substr(role, 1, 1)) || substr(role, 2) || ': ' || substr(text, 1, 500) AS s FROM conversations WHERE role IN ('user', 'assistant')),

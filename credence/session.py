@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -18,3 +20,17 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder all executors share (``spark.checkpoint.dir``), so that it is computed once.
+
+    Where the setting is missing, a private folder is made in local mode; on a cluster that is an error.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder they all share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="credence-"))
+    return df.checkpoint()

@@ -22,18 +22,22 @@ def markdown_items(docs: DataFrame, id_col: str = "id", text_col: str = "text")
     l = l.filter(~F.col("fence") & (F.col("fences") % 2 == 0) & ~F.col("line").startswith("|") & ~F.trim("line").rlike(r"^[-*_]{3,}$"))
     head = F.when(F.col("line").rlike(r"^#{1,4}\s"), F.trim(F.regexp_replace("line", r"^#+\s*", "")))
     l = l.withColumn("is_head", head.isNotNull()).withColumn("head", F.last(head, ignorenulls=True).over(upto)).filter(~F.col("is_head"))
-    mark = r"(?i)^([-*]\s+\[[ x]\]\s+|\s{2,}[-*]\s+|[-*]\s+|\d+\.\s+)"
-    bullet = F.trim(F.regexp_replace("line", mark, ""))
+    bullet = F.trim(F.regexp_replace("line", LIST_MARK, ""))
     has_head = F.coalesce(F.length("head") > 0, F.lit(False))
     item = (
-        F.when(F.col("line").rlike(mark), F.when(F.char_length(bullet) >= 20, F.when(has_head, F.concat_ws(": ", "head", bullet)).otherwise(bullet)))
+        F.when(F.col("line").rlike(LIST_MARK), F.when(F.char_length(bullet) >= 20, F.when(has_head, F.concat_ws(": ", "head", bullet)).otherwise(bullet)))
         .when((F.char_length(F.trim("line")) > 40) & has_head & ~F.col("line").startswith("#"), F.trim("line"))
     )
     return l.select("id", "n", item.alias("item")).filter(F.col("item").isNotNull())
 
 
-#: Headers that open a section of notes.
-SECTIONS = r"(?i)^#{1,3}\s*((key\s+)?learnings?|decisions?|problems?(\s+solved)?|insights?|takeaways?|todo|action\s*items?|next\s*steps?|context|notes?|summary)"
+# Headers that open a section of notes.
+SECTIONS = r"(?i)^#{1,3}\s*(key\s*learnings?|learnings?|decisions?(\s+made)?|problems?\s*(solved|fixed|resolved)|insights?|takeaways?|todo|action\s*items?|next\s*steps?|context|notes?|summary)"
+# Words in a header that name the kind of its items.
+PROCEDURAL_HEADER, SEMANTIC_HEADER = "(?i)preference|style|habit|always|never", "(?i)belief|value|insight|principle"
+# List marks of notes, and what is dropped from transcripts.
+LIST_MARK = r"(?i)^([-*]\s+\[[ x]\]\s+|\s{2,}[-*]\s+|[-*]\s+|\d+\.\s+)"
+TRANSCRIPT_NOISE = [r"^(SPAWNED|MERGED|SKIP|ERROR|Extracted \d)", r"^/(?:Users|home)/\S*$", r"^\S+\.(csv|jsonl|pdf|png|ts|py|sh|json)$"]
 
 
 def section_items(docs: DataFrame, id_col: str = "id", text_col: str = "text", sections: str = SECTIONS, header: str = r"^#{1,3}\s", least: int = 20, most: int = 20) -> DataFrame:
@@ -41,7 +45,7 @@ def section_items(docs: DataFrame, id_col: str = "id", text_col: str = "text", s
     upto = Window.partitionBy("id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     l = lines(docs, id_col, text_col).withColumn("line", F.trim("line")).filter("line != ''")
     opens, is_head = F.col("line").rlike(sections), F.col("line").rlike(header) | F.col("line").rlike(sections)
-    kind = F.when(F.col("line").rlike("(?i)preference|style|habit|always|never"), "procedural").when(F.col("line").rlike("(?i)belief|value|insight|principle"), "semantic").otherwise("episodic")
+    kind = F.when(F.col("line").rlike(PROCEDURAL_HEADER), "procedural").when(F.col("line").rlike(SEMANTIC_HEADER), "semantic").otherwise("episodic")
     l = l.withColumn("is_head", is_head).withColumn("state", F.last(F.when(is_head, F.struct(opens.alias("open"), kind.alias("kind"))), ignorenulls=True).over(upto))
     bullet = F.trim(F.regexp_replace(F.regexp_replace("line", r"^[-*+•]\s+", ""), r"^\d+[.)]\s+", ""))
     items = l.filter(~F.col("is_head") & F.col("state.open")).select("id", "n", bullet.alias("item"), F.col("state.kind").alias("kind"))
@@ -59,7 +63,8 @@ def transcript(raw: DataFrame, key: str = "session", most: int = 300) -> DataFra
     plain = ~F.col("content").startswith("[{")
     texts = F.when(plain, F.array(F.struct(F.lit("plain").alias("type"), F.col("content").alias("text")))).otherwise(F.filter(blocks, lambda b: b["type"] == "text"))
     one = parsed.select(key, "n", "role", F.posexplode(texts).alias("k", "b")).withColumn("t", F.trim("b.text"))
-    skip = F.col("t").rlike(r"^(SPAWNED|MERGED|SKIP|ERROR|Extracted \d)") | F.col("t").rlike(r"^/(?:Users|home)/\S*$") | F.col("t").rlike(r"^\S+\.(csv|jsonl|pdf|png|ts|py|sh|json)$") | (F.col("t").startswith("```") & (F.size(F.split("t", "\n")) > 4))
+    code = F.col("t").startswith("```") & (F.size(F.split("t", "\n")) > 4)
+    skip = code | F.col("t").rlike("|".join(TRANSCRIPT_NOISE))
     kept = one.filter((F.char_length("t") >= 25) & (F.col("t") != "[REDACTED]") & ((F.col("b.type") == "plain") | ~skip))
     label = F.concat(F.lit("["), F.when(F.col("role") == "user", "User").otherwise("Assistant"), F.lit("]: "))
     clip = F.when(F.col("b.type") == "plain", F.substring(text.redact(F.col("t")), 1, 300)).otherwise(F.substring(text.redact(F.col("t")), 1, 400))

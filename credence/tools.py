@@ -7,6 +7,7 @@ store, since plain tables have no transactions: the caller writes the snapshot.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from credence import ai
 from credence.functions import kernels, text
-from credence.operators import analytics, candidates, clustering, maintenance, scoring, similarity, tail, writes
+from credence.operators import analytics, candidates, clustering, maintenance, retrieval, scoring, similarity, writes
 from credence.operators.binding import in_scope, is_valid
 from credence.sources import text_sources
 
@@ -84,16 +85,17 @@ def memory_store_diff(store: Store, rows: DataFrame, project: str | None = None)
 
 
 def memory_retrieve(store: Store, query: str, top_k: int = 8, project: str | None = None, strict_project: bool = False, domain: str | None = None, baseline: bool = False) -> DataFrame:
-    """Ranked rows for a query text; no side effects (see ``reinforce``)."""
-    rows = store["memories"].filter(in_scope(project or store.default, strict_project, store.default) & (F.col("valid_to").isNull() | (F.col("valid_to") > store.clock)))
-    vec = store.embedder([query])[0].tolist()
+    """Ranked rows for a query text from all sources; no side effects (see ``reinforce``)."""
+    rows = store["memories"]
+    vec = store.embedder([query])[0].tolist() if query.strip() else []
     if baseline:
-        return candidates.cosine_topk(rows, vec, top_k)
-    found = rows.sparkSession.createDataFrame([(query,)], "q string").select(F.size(text.entity_tokens(F.col("q")))).first()[0]
-    sigma_q, days = kernels.query_sigma(query, found), text.temporal_cue(query)
-    pool = scoring.candidate_pool(rows.filter(text.good_result(F.col("text"))), vec, kernels.pool_size(top_k, sigma_q))
-    scored = scoring.activate(scoring.primary(pool, store.clock, sigma_q, days), store.clock, sigma_q, days, domain)
-    return tail.apply_tail(scored, scored.limit(0), top_k, sigma_q, days is not None)
+        valid = rows.filter(in_scope(project or store.default, strict_project, store.default) & (F.col("valid_to").isNull() | (F.col("valid_to") > store.clock)))
+        return candidates.cosine_topk(valid, vec, top_k)
+    found = rows.sparkSession.createDataFrame([(query,)], "q string").select(text.entity_tokens(F.col("q"))).first()[0]
+    names = [re.sub("[^a-z0-9]+", "_", f"ent_term_{n.strip().lower()}") for n in found]
+    ask = retrieval.Ask(query, vec, top_k, project or store.default, strict_project, store.default, domain, names, [v.tolist() for v in store.embedder(list(found))] if found else [])
+    entities = store["entities"].select("memory_id", F.col("entity_id").alias("name")) if "entities" in store.tables else None
+    return retrieval.retrieve(rows, ask, store.clock, entities, store.tables.get("hot"), store.tables.get("relations"))
 
 
 def reinforce(store: Store, hits: DataFrame) -> Store:
