@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credence.llm.common import drop_materialised, materialise
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Root (smallest node) of every node that has an edge: columns node, root.
+    """Root (smallest node) of every node that has an edge, as a written table: columns node, root.
 
     Each round hangs all neighbours of a node on the smallest one, first the larger
     neighbours of every node, then the smaller ones. A node's smallest neighbour is
@@ -33,7 +33,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         kept, before, state = new, state, _digest(new)
         if before == state:
             break
-    return kept.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(kept.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    hung = kept.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    roots = materialise(hung.unionByName(hung.select(F.col("root").alias("node"), "root").distinct()), "roots")
+    drop_materialised(kept)
+    return roots
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -49,16 +52,18 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -
 
     ``members`` is a written table: bucket, class, star (the bucket's smallest class),
     n (members of the bucket). ``verify`` keeps the similar ones of pairs (a, b).
-    First each bucket's star is compared with its members. While a bucket's members
-    lie in different components, more members are made stars, eight times as many in
-    every round, and compared with the members of other components; in the last round
+    First each class is compared with one star. While a bucket's members lie in
+    different components, its star and then other members, eight times as many in
+    every round, are compared with the members of other components; in the last round
     every member has been a star. So pairs are only made where links have not yet
-    joined a bucket, and no two similar members stay apart.
+    joined a bucket, and no two similar members stay apart. No pair is verified twice.
     """
-    links = materialise(verify(members.filter("class != star").select(F.col("star").alias("a"), F.col("class").alias("b")).distinct()), "links")
-    stars, roots, opened = 1, None, None
+    first = members.filter("class != star").groupBy("class").agg(F.min("star").alias("star"))
+    seen = materialise(first.select(F.col("star").alias("a"), F.col("class").alias("b")), "pairs")
+    links = materialise(verify(seen), "links")
+    stars, roots, opened = 0, None, None
     while True:
-        before, roots = roots, materialise(components(links), "roots").withColumnRenamed("node", "class")
+        before, roots = roots, components(links).withColumnRenamed("node", "class")
         known = members if opened is None else opened.drop("root")
         rooted = known.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
         mixed = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("bucket")
@@ -68,21 +73,31 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -
         most = opened.agg(F.max("n")).first()[0]
         if not most or stars >= most:
             break
-        # a member's share in [0, 1): stars are those below stars / n, so earlier ones stay stars
-        share = F.shiftrightunsigned(F.xxhash64("bucket", "class"), 11) / F.lit(2.0**53)
-        leads = lambda k: F.when(F.col("class") == F.col("star"), True).otherwise((F.lit(k) >= F.col("n")) | (share * F.col("n") < k) if k > 1 else F.lit(False))
-        ranked = opened.select("bucket", "class", "root", leads(stars).alias("was"), leads(stars * _MORE_STARS).alias("leads")).filter("not was")
+        more = max(1, stars * _MORE_STARS)
+        ranked = opened.select("bucket", "class", "root", _leads(stars).alias("was"), _leads(more).alias("leads")).filter("not was")
         left = ranked.filter("leads").select("bucket", F.col("class").alias("a"), F.col("root").alias("ra"))
         right = ranked.select("bucket", F.col("class").alias("b"), F.col("root").alias("rb"), "leads")
         pairs = left.join(right, "bucket").filter((F.col("ra") != F.col("rb")) & (~F.col("leads") | (F.col("a") < F.col("b"))))
-        found = materialise(verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "links")
-        both = materialise(links.unionByName(found), "links")
-        _drop(links, found)
-        links, stars = both, stars * _MORE_STARS
-    _drop(opened, roots)
+        new = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
+        found = materialise(verify(new), "links")
+        both, all_seen = materialise(links.unionByName(found), "links"), materialise(seen.unionByName(new), "pairs")
+        _drop(links, found, seen, new)
+        links, seen, stars = both, all_seen, more
+    _drop(opened, roots, seen)
     return links
 
 
+def _leads(stars: int) -> Column:
+    """Whether a member is one of about so many stars of its bucket; who was one stays one when there are more."""
+    if stars < 1:
+        return F.lit(False)
+    first = F.col("class") == F.col("star")
+    if stars == 1:
+        return first
+    share = F.shiftrightunsigned(F.xxhash64("bucket", "class"), 11) / F.lit(2.0**53)
+    return first | (F.col("n") <= stars) | (share * F.col("n") < stars)
+
+
 def _drop(*tables: DataFrame | None) -> None:
     for table in tables:
         if table is not None:

@@ -7,7 +7,8 @@ BAND_ROWS`` orders of the shingles' hashes, the least one. Lines are cut into ch
 chunks are aggregated. The minima of a band name a bucket. In a bucket every class is
 compared with the smallest one, and only buckets that links have not joined go on
 (``bucket_links``). Verification is exact: the Jaccard similarity of all distinct
-character shingles of both lines. Components come from a distributed union-find; the
+character shingles of both lines, after the same over shorter hashes, with some slack,
+has ruled out most pairs. Components come from a distributed union-find; the
 first line of each component stays (by id, then place).
 
 Defined cases: null texts have no lines; lines without a word are never duplicates;
@@ -32,7 +33,6 @@ SHINGLE, THRESHOLD = 9, 0.75
 BANDS, BAND_ROWS = 9, 3
 #: Shingles of a chunk, and of the blocks that are cut into chunks.
 CHUNK, BLOCK = 16, 128
-_MASK = (1 << 31) - 1
 _SHINGLES = rf"(?s)(?=(.{{{SHINGLE}}}))."
 _BLOCKS = rf"(?s)(?=(.{{{SHINGLE},{BLOCK + SHINGLE - 1}}})).{{1,{BLOCK}}}"
 
@@ -44,34 +44,48 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return kept.withColumn("k1", F.xxhash64("line")).withColumn("k2", F.xxhash64(F.lit(SHINGLE), "line"))
 
 
-def signatures(lines: DataFrame, keys: list[str], line: str = "line") -> DataFrame:
-    """The keys and ``bands``, one bucket name per band, of each line (equal keys: equal lines)."""
+def chunks_of(lines: DataFrame, keys: list[str], line: str) -> DataFrame:
+    """The hashes of all shingles of each line: rows of the keys and h0 to h15; a line's last chunk repeats its last shingle."""
     text = F.col(line)
     short = F.char_length(text) <= BLOCK + SHINGLE - 1
-    blocks = lines.select(*keys, F.explode(F.when(short, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(_BLOCKS), F.lit(1)))).alias("block"))
-    last = F.greatest(F.lit(0), F.floor((F.char_length("block") - SHINGLE) / CHUNK).cast("int"))
-    starts = blocks.select(*keys, "block", F.explode(F.sequence(F.lit(0), last)).alias("__i"))
-    chunks = starts.select(*keys, F.substring("block", F.col("__i") * CHUNK + 1, F.lit(CHUNK + SHINGLE - 1)).alias("chunk"))
-    left = F.char_length("chunk") - (SHINGLE - 1)  # a short chunk repeats its last shingle
+    blocks = lines.select(*keys, F.explode(F.when(short, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(_BLOCKS), F.lit(1)))).alias("__block"))
+    last = F.greatest(F.lit(0), F.floor((F.char_length("__block") - SHINGLE) / CHUNK).cast("int"))
+    starts = blocks.select(*keys, "__block", F.explode(F.sequence(F.lit(0), last)).alias("__i"))
+    chunks = starts.select(*keys, F.substring("__block", F.col("__i") * CHUNK + 1, F.lit(CHUNK + SHINGLE - 1)).alias("__chunk"))
+    left = F.char_length("__chunk") - (SHINGLE - 1)
+    at = lambda k: F.greatest(F.lit(1), F.least(F.lit(k + 1), left))
+    return chunks.select(*keys, *[F.xxhash64(F.substring("__chunk", at(k), F.lit(SHINGLE))).alias(f"h{k}") for k in range(CHUNK)])
+
 
-    def hash_at(k: int) -> Column:
-        return F.shiftrightunsigned(F.xxhash64(F.substring("chunk", F.greatest(F.lit(1), F.least(F.lit(k + 1), left)), F.lit(SHINGLE))), 33)
+def signatures(lines: DataFrame, keys: list[str], line: str = "line") -> DataFrame:
+    """The keys and ``bands``, one bucket name per band, of each line (equal keys: equal lines).
 
-    hashed = chunks.select(*keys, *[hash_at(k).alias(f"h{k}") for k in range(CHUNK)])
+    An order of the shingles is that of their hashes from another bit on, turned by a
+    constant of its own; the upper 32 bits of the least one are kept.
+    """
+    hashed = chunks_of(lines, keys, line)
+    minima = range(BANDS * BAND_ROWS)
     # a lambda keeps this projection out of whole-stage code, whose one method would be too large to be compiled
     zero = F.get(F.transform(F.array(F.lit(0).cast("long")), lambda x: x), 0)
 
     def least(j: int) -> Column:
-        odd = ((j + 1) * 0x9E3779B97F4A7C15 % (1 << 64) >> 33) | 1
-        orders = [(F.col(f"h{k}") * F.lit(odd)).bitwiseAND(F.lit(_MASK)) for k in range(CHUNK)]
-        return F.least(*orders) if j else F.least(*orders).bitwiseOR(zero)
+        turn = ((j + 1) * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64) - (1 << 63)
+        orders = [F.shiftleft(f"h{k}", j % 32).bitwiseXOR(F.lit(turn)) for k in range(CHUNK)]
+        return F.shiftright(F.least(*orders) if j else F.least(*orders).bitwiseOR(zero), 32)
 
-    minima = range(BANDS * BAND_ROWS)
     signed = hashed.select(*keys, *[least(j).alias(f"m{j}") for j in minima]).groupBy(*keys).agg(*[F.min(f"m{j}").alias(f"m{j}") for j in minima])
-    band = lambda b: F.xxhash64(F.lit(b), *[f"m{b * BAND_ROWS + r}" for r in range(BAND_ROWS)])
+    band = lambda b: F.xxhash64(F.lit(b), *[f"m{b + r * BANDS}" for r in range(BAND_ROWS)])
     return signed.select(*keys, F.array(*[band(b) for b in range(BANDS)]).alias("bands"))
 
 
+def short_sets(lines: DataFrame) -> DataFrame:
+    """class, the 32-bit hashes of all its shingles, and their number, of lines (class, line)."""
+    hashed = chunks_of(lines, ["class"], "line")
+    chunk = F.array(*[F.shiftright(f"h{k}", 32).cast("int") for k in range(CHUNK)])
+    whole = hashed.groupBy("class").agg(F.array_distinct(F.flatten(F.collect_list(chunk))).alias("set"))
+    return whole.select("class", "set", F.size("set").alias("n"))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once."""
     return F.get(F.transform(F.array(value), body), 0)
@@ -83,6 +97,19 @@ def shingle_set(line: Column) -> Column:
     return F.array_distinct(F.transform(all_, lambda s: F.xxhash64(s)))
 
 
+#: So many shingles short sets may miss by hashes that fall together.
+SLACK = 4
+
+
+def likely(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) that sizes and short sets do not rule out; all that are similar stay."""
+    size = lambda c: sets.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"))
+    side = lambda c: sets.select(F.col("class").alias(c), F.col("set").alias(f"set_{c}"))
+    sized = pairs.join(size("a"), "a").join(size("b"), "b").filter(F.least("n_a", "n_b") + SLACK >= threshold * F.greatest("n_a", "n_b"))
+    counted = sized.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", F.size(F.array_intersect("set_a", "set_b")).alias("k"))
+    return counted.filter(F.col("k") + SLACK >= threshold * (F.col("n_a") + F.col("n_b") - F.col("k") - SLACK)).select("a", "b")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) whose shingle sets are similar enough; ``texts`` holds class and line."""
     side = lambda c: texts.select(F.col("class").alias(c), F.col("line").alias(f"line_{c}"))
@@ -105,10 +132,11 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     drop_materialised(signed)
     involved = classes.join(shared.select("class").distinct(), "class", "left_semi").select("class", F.col("first.row").alias("row"), F.col("first.at").alias("at"))
     texts = materialise(lines.select("row", "at", "line").join(involved.hint("shuffle_hash"), ["row", "at"]).select("class", "line"), "texts")
-    links = bucket_links(shared, lambda pairs: verified(pairs, texts, threshold))
-    drop_materialised(shared)
-    drop_materialised(texts)
-    roots = materialise(components(links), "roots").withColumnRenamed("node", "class")
+    sets = materialise(short_sets(texts), "sets")
+    links = bucket_links(shared, lambda pairs: verified(likely(pairs, sets, threshold), texts, threshold))
+    for step in (shared, texts, sets):
+        drop_materialised(step)
+    roots = components(links).withColumnRenamed("node", "class")
     drop_materialised(links)
 
     whole = classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
