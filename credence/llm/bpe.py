@@ -26,6 +26,9 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from credence.llm.common import whole_ids
 
 #: Fixed value: the pattern that splits text before merging (public byte-level BPE vocabularies).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -339,8 +342,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 out |= {"ids": [x.tolist() for x in ids], "decoded": texts}
             yield pd.DataFrame(out)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = f"`{id_col}` string, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if with_ids:
         schema += ", ids array<int>, decoded string"
-    return docs.select(id_col, text_col).mapInPandas(run, schema)
+    return whole_ids(docs, id_col, docs.select(F.col(id_col).cast("string"), F.col(text_col)).mapInPandas(run, schema))

@@ -8,10 +8,11 @@ once per word and block:
 2. the ``CORE`` most frequent words are clustered: words are exchanged between classes
    as long as the class bigram likelihood grows, on bigram counts of the whole corpus
    (a table whose size ``CORE`` bounds);
-3. every other word makes one exchange step where it is counted: it joins the class
-   that its left contexts, counted over the corpus, predict best;
-4. counts and classes go back to the blocks, class bigrams are counted over the
-   corpus, and each text is scored.
+3. every other word is exchanged in ``ROUNDS`` rounds over the whole corpus: its left
+   and right contexts are counted by class, and it joins the class for which the class
+   bigram likelihood grows most, to first order, with all other words where they were.
+   In the first round only the core has classes; after that all words have;
+4. class bigrams are counted over the corpus, and each text is scored.
 
 A known word has probability ``(1 - u) * (L * P(class | class before) * c / n(class) +
 (1 - L) * c / N)``; all unknown words together are one event of probability ``u``, the
@@ -32,14 +33,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm.common import drop_materialised, materialise, parts
+from credence.llm.common import drop_materialised, materialise, parts, whole_ids
 
 #: Words that are clustered, classes they are clustered into.
 CORE, CLASSES = 1000, 48
 #: Characters of a block, which bound what a task holds at once.
 BLOCK = 6_000_000
-#: Distinct words a task settles, on average.
-WORDS_PER_TASK = 200_000
+#: Rounds in which the words outside the core are exchanged.
+ROUNDS = 2
+#: Distinct words, and training tokens, that a task settles on average.
+WORDS_PER_TASK, TOKENS_PER_TASK = 200_000, 4_000_000
 #: Weight of the class model against word frequencies.
 WEIGHT = 0.95
 _END = ""  # no word is empty
@@ -79,10 +82,9 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             "tokens": [zlib.compress(tokens.tobytes(), 1)], "words": [[w.decode() for w in number]], "counts": [counts.tolist()],
         })
 
-    kind = docs.schema[id_col].dataType.simpleString()
     checksum = F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (checksum % 5 == 1).alias("held_out"))
-    return rows.mapInPandas(run, f"block long, ids array<{kind}>, held_out array<boolean>, lens binary, tokens binary, words array<string>, counts array<long>")
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), (checksum % 5 == 1).alias("held_out"))
+    return rows.mapInPandas(run, "block long, ids array<string>, held_out array<boolean>, lens binary, tokens binary, words array<string>, counts array<long>")
 
 
 def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
@@ -154,37 +156,53 @@ def exchange(counts: np.ndarray, classes: int, rounds: int = 5) -> np.ndarray:
     return own
 
 
+def attraction(table: np.ndarray) -> np.ndarray:
+    """Pointwise mutual information of classes that follow each other; no word joins the first two."""
+    smooth = table + 0.1
+    value = np.log(smooth / smooth.sum(1, keepdims=True)) - np.log(smooth.sum(0) / smooth.sum())
+    return value
+
+
+def joined(left: np.ndarray, right: np.ndarray, pull: np.ndarray) -> np.ndarray:
+    """The class that words with these counts of classes before and after them join."""
+    gain = left @ pull + right @ pull.T
+    gain[:, :2] = -np.inf
+    return np.argmax(gain, 1).astype(np.int16)
+
+
 def informed(blocks: DataFrame, core: dict[str, int], core_class: np.ndarray, table: np.ndarray, tasks: int) -> DataFrame:
     """Blocks with ``c`` (int64) and ``class`` (int16, -1: unknown) of each of their words, as bytes.
 
-    A block sends each task the words it deals with, their counts and the classes before
+    A block sends each task the words it deals with, their counts and the classes next to
     them, in one row; the task adds them up, lets the words outside the core make their
     exchange step, and answers every block in one row. A word's count and class cross the
-    network once per block that holds it, however often it stands there.
+    network once per block that holds it, however often it stands there. Words have the
+    classes of the round before, if ``blocks`` has them.
     """
     width = len(table)
-    smooth = table + 0.1
-    predicts = np.log(smooth / smooth.sum(1, keepdims=True)) - np.log(smooth.sum(0) / smooth.sum())
-    predicts[:, :2] = -1e9  # neither with the end nor left over
+    pull = attraction(table)
+    again = "class" in blocks.columns
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.itertuples():
+            for row in batch.itertuples(name="Row"):
                 tokens, first, held = _unpack(row)
                 known = np.fromiter((core.get(w, _OTHER) for w in row.words), np.int64, len(row.words))
-                before = _before(core_class[known][tokens], first)
-                use = ~held & (known[tokens] == _OTHER)
-                keys, n = np.unique(tokens[use].astype(np.int64) * width + before[use], return_counts=True)
+                cls = np.frombuffer(row.kind, np.int16).astype(np.int64) if again else core_class[known]
+                cls = np.where(cls < 0, _OTHER, cls)[tokens]
+                use = np.flatnonzero(~held & (known[tokens] == _OTHER))  # such a token has a next one: its document's end is in the core
+                contexts = np.concatenate([tokens[use].astype(np.int64) * 2 * width + _before(cls, first)[use], tokens[use].astype(np.int64) * 2 * width + width + cls[use + 1]])
+                keys, n = np.unique(contexts, return_counts=True)
                 to = np.fromiter((zlib.crc32(w.encode()) % tasks for w in row.words), np.int64, len(row.words))
                 counts = np.asarray(row.counts, np.int64)
                 order = np.argsort(to, kind="stable")
                 for at in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
                     place = np.full(len(to), -1)
                     place[at] = np.arange(len(at))
-                    mine = place[keys // width] >= 0
+                    mine = place[keys // (2 * width)] >= 0
                     yield pd.DataFrame({
                         "task": [int(to[at[0]])], "block": [row.block], "words": ["\n".join([row.words[i] for i in at])], "at": [at.astype(np.int32).tobytes()], "c": [counts[at].astype(np.int64).tobytes()],
-                        "who": [place[keys[mine] // width].astype(np.int32).tobytes()], "before": [(keys[mine] % width).astype(np.uint16).tobytes()], "n": [n[mine].astype(np.uint32).tobytes()],
+                        "who": [place[keys[mine] // (2 * width)].astype(np.int32).tobytes()], "next": [(keys[mine] % (2 * width)).astype(np.uint16).tobytes()], "n": [n[mine].astype(np.uint32).tobytes()],
                     })
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -200,16 +218,16 @@ def informed(blocks: DataFrame, core: dict[str, int], core_class: np.ndarray, ta
             for i, r in zip(ids, rows, strict=True):
                 counts[i] += np.frombuffer(r.c, np.int64)
             who = np.concatenate([i[np.frombuffer(r.who, np.int32)] for i, r in zip(ids, rows, strict=True)])
-            before = np.concatenate([np.frombuffer(r.before, np.uint16) for r in rows])
+            near = np.concatenate([np.frombuffer(r.next, np.uint16) for r in rows])
             n = np.concatenate([np.frombuffer(r.n, np.uint32) for r in rows])
             order = np.argsort(who, kind="stable")
-            who, before, n = who[order], before[order], n[order]
+            who, near, n = who[order], near[order], n[order]
             best = np.zeros(len(number), np.int16)
             for low in range(0, len(number), 20_000):
                 high = min(low + 20_000, len(number))
                 i, j = np.searchsorted(who, [low, high])
-                seen = np.bincount((who[i:j] - low) * width + before[i:j], n[i:j], (high - low) * width).reshape(-1, width)
-                best[low:high] = np.argmax(seen @ predicts, 1)
+                seen = np.bincount((who[i:j] - low) * 2 * width + near[i:j], n[i:j], (high - low) * 2 * width).reshape(-1, 2 * width)
+                best[low:high] = joined(seen[:, :width], seen[:, width:], pull)
             for w in core.keys() & number.keys():
                 best[number[w]] = core_class[core[w]]
             best[counts == 0] = -1
@@ -228,10 +246,11 @@ def informed(blocks: DataFrame, core: dict[str, int], core_class: np.ndarray, ta
             yield pd.DataFrame({"block": [block], "c": [c[order].tobytes()], "class": [cls[order].tobytes()]})
 
     spark = blocks.sparkSession
-    sent = blocks.select("block", "lens", "tokens", "held_out", "words", "counts").mapInPandas(send, "task int, block long, words string, at binary, c binary, who binary, before binary, n binary")
+    known = [F.col("class").alias("kind")] if again else []
+    sent = blocks.select("block", "lens", "tokens", "held_out", "words", "counts", *known).mapInPandas(send, "task int, block long, words string, at binary, c binary, who binary, next binary, n binary")
     told = sent.repartition(tasks, "task").mapInPandas(settle, "block long, at binary, c binary, class binary")
     answers = told.repartition(parts(spark), "block").mapInPandas(collect, "block long, c binary, class binary")
-    return blocks.drop("words", "counts").join(answers, "block")
+    return blocks.drop("c", "class").join(answers, "block")
 
 
 def _words_of(row) -> tuple[np.ndarray, np.ndarray]:
@@ -239,7 +258,26 @@ def _words_of(row) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(row.c, np.int64), np.frombuffer(row.kind, np.int16).astype(np.int64)
 
 
-def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", core_words: int = CORE, n_classes: int = CLASSES, weight: float = WEIGHT) -> DataFrame:
+def _class_bigrams(full: DataFrame, width: int) -> np.ndarray:
+    """How often class follows class in training texts; the last row would be that of unknown words, which they do not hold."""
+
+    def class_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(name="Row"):
+                tokens, first, held = _unpack(row)
+                cls = _words_of(row)[1][tokens]
+                before = _before(cls, first)
+                use = ~held
+                yield _pairs(before[use], cls[use], width)
+
+    counted = full.select("held_out", "lens", "tokens", "c", F.col("class").alias("kind")).mapInPandas(class_pairs, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
+    follow = np.zeros((width + 1, width))
+    for r in counted.toLocalIterator():  # width squared at most
+        follow[r.i, r.j] = r.n
+    return follow
+
+
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", core_words: int = CORE, n_classes: int = CLASSES, weight: float = WEIGHT, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: the id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     blocks = materialise(blocks_of(docs, id_col, text_col), "blocks")
     counts = materialise(blocks.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy("w.words").agg(F.sum("w.counts").alias("c")).filter("c > 0"), "counts")
@@ -263,25 +301,15 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", core
     width = n_classes + 2
     table = np.zeros((width, width))
     np.add.at(table, (core_class[:, None].repeat(size, 1), core_class[None, :].repeat(size, 0)), bigrams)
-    tasks = max(1, -(-v // WORDS_PER_TASK), parts(docs.sparkSession))
-    full = materialise(informed(blocks, core, core_class, table, tasks), "informed")
-    for used in (blocks, counts):
-        drop_materialised(used)
-
-    def class_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(name="Row"):
-                tokens, first, held = _unpack(row)
-                cls = _words_of(row)[1][tokens]
-                before = _before(cls, first)
-                use = ~held
-                yield _pairs(before[use], cls[use], width)
-
+    tasks = max(1, -(-v // WORDS_PER_TASK), -(-n // TOKENS_PER_TASK), parts(docs.sparkSession))
+    drop_materialised(counts)
+    for left in range(rounds, 0, -1):
+        made = informed(blocks, core, core_class, table, tasks)
+        full = materialise(made if left > 1 else made.drop("words", "counts"), "informed")
+        drop_materialised(blocks)
+        follow = _class_bigrams(full, width)
+        blocks, table = full, follow[:width]
     fields = ["ids", "held_out", "lens", "tokens", "c", F.col("class").alias("kind")]
-    counted = full.select(*fields).drop("ids").mapInPandas(class_pairs, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
-    follow = np.zeros((width + 1, width))  # the last row: after an unknown word
-    for r in counted.toLocalIterator():  # (n_classes + 2) squared at most
-        follow[r.i, r.j] = r.n
     in_class = follow.sum(0)
     share = in_class / max(in_class.sum(), 1)
     transition = (follow + share) / (follow.sum(1, keepdims=True) + 1)
@@ -305,8 +333,8 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", core
                     "score": np.add.reduceat(np.log10(np.where(known, (1 - unseen) * p, unseen)), starts),
                 })
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return full.select(*fields).mapInPandas(score, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scored = full.select(*fields).mapInPandas(score, f"`{id_col}` string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return whole_ids(docs, id_col, scored)
 
 
 def perplexity(scored: DataFrame) -> DataFrame:

@@ -91,6 +91,11 @@ def drop_materialised(df: DataFrame) -> None:
             folder.getFileSystem(conf).delete(folder, True)
 
 
+def whole_ids(docs: DataFrame, id_col: str, made: DataFrame) -> DataFrame:
+    """``made`` by a Python step that was given the ids as strings, with the ids as they were: pandas would turn longs next to a null into floats."""
+    return made.withColumn(id_col, F.col(f"`{id_col}`").cast(docs.schema[id_col].dataType))
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from credence.llm.bpe import gather
-from credence.llm.common import materialise
+from credence.llm.common import materialise, whole_ids
 
 #: Distinct white-space-free chunks kept per task before the pool starts anew.
 POOL = 500_000
@@ -179,12 +179,11 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, closing_id: i
                     piece = ids[start : start + capacity]
                     row = (doc, start, len(piece), zlib.crc32(piece.tobytes()), len(ids))
                     rows.append((*row, piece.astype(np.int32).tolist()) if with_ids else row)
-            yield pd.DataFrame(rows, columns=names).astype({id_col: batch.dtypes.iloc[0]})
+            yield pd.DataFrame(rows, columns=names)
 
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    return docs.select(id_col, text_col).mapInPandas(run, schema)
+    schema = f"`{id_col}` string, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
+    return whole_ids(docs, id_col, docs.select(F.col(id_col).cast("string"), F.col(text_col)).mapInPandas(run, schema))
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, group: int = GROUP) -> DataFrame:
@@ -193,7 +192,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, group: int = GROUP) -> DataFra
     The pieces are written once, so that the row numbers which draw the groups stay
     the same. Full pieces are sequences of their own (negative ids).
     """
-    kept = materialise(pieces, "pieces").withColumn("__row", F.monotonically_increasing_id())
+    kept = materialise(pieces.withColumn("__row", F.monotonically_increasing_id()), "pieces")
     rest = kept.filter(F.col("length") < capacity)
     groups = max(1, -(-rest.count() // group))
 

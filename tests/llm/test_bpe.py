@@ -69,3 +69,9 @@ def test_nulls_repeats_and_empty_tables(spark):
     out = bpe.encode_decode(df, queries.BYTE_BPE, with_ids=True)
     assert sorted((r.doc_id or 0, r.n_tokens, r.decoded) for r in out.collect()) == [(0, 0, ""), (1, 2, "two words"), (1, 2, "two words")]
     assert bpe.encode_decode(df.limit(0), queries.BYTE_BPE).count() == 0
+
+
+def test_large_ids_next_to_null_ids_stay_whole(spark):
+    rows = [(2**53 + 1, "a b"), (None, "a"), (2**62 + 3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in bpe.encode_decode(df, queries.BYTE_BPE).collect()} == {2**53 + 1, None, 2**62 + 3}

@@ -76,3 +76,9 @@ def test_nulls_repeats_groups_and_sequences(spark, library):
     made = packing.sequences(packed).collect()
     assert sum(s.length for s in made) == sum(len(library.encode(t or "").ids) + 1 for _, t in rows) and max(s.length for s in made) <= 64
     assert packing.pack_documents(df.limit(0), queries.WORD_BPE).count() == 0
+
+
+def test_large_ids_next_to_null_ids_stay_whole(spark):
+    rows = [(2**53 + 1, "a b"), (None, "a"), (2**62 + 3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in packing.pack_documents(df, queries.WORD_BPE).collect()} == {2**53 + 1, None, 2**62 + 3}
