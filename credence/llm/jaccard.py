@@ -9,12 +9,14 @@ the cheapest: segments that hold something, with the fewest equal ones among the
 documents at hand. Small bands, where too many segments are empty, also index the
 segments short of one element.
 
+There are some more segments than a set may have to choose (``SPARE``), so that none has
+to take empty ones or those of a passage that many documents share.
+
 Equal sets are one class before anything is joined. Classes with a common signature
-form a bucket. A bucket first emits one star of pairs; after these are verified, only
-buckets whose members lie in different components look at their remaining pairs. A
-pair is dropped unseen only where that is certain: by the sizes, or because counts of
-the elements in ``LANES`` parts of the universe differ by more than linked sets can.
-Verification intersects the whole sets. Nothing is capped.
+form a bucket, whose members are linked star by star (``bucket_links``). A pair is
+dropped unseen only where that is certain: by the sizes, or because counts of the
+elements in parts of the universe (a sketch of about ``n / 8`` bytes) differ by more
+than linked sets can. Verification intersects the whole sets. Nothing is capped.
 
 Defined cases: null, empty and white-space texts have the empty set and are linked
 with nothing; texts shorter than a shingle are one shingle; ids may be null (a
@@ -34,19 +36,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm.common import materialise, parts, stable
-from credence.llm.components import components
+from credence.llm.common import drop_materialised, materialise, row_of, stable
+from credence.llm.components import bucket_links, components
 
 WIDTH = 5
 #: Similarity as a fraction: linked when DEN * intersection >= NUM * union.
 NUM, DEN = 75, 100
 #: Largest size of the bands that also index segments short of one element.
 SMALL = 96
-#: Signatures per task of the index.
-PER_TASK = 1_500_000
-#: Parts of the universe whose counts bound the difference of two sets from below.
-LANES = 128
-FINE = 1024
+#: Shingles per task of the index.
+PER_TASK = 3_000_000
+#: Segments of a band over those that its largest set must choose.
+SPARE = 1.15
+#: Elements per part of the universe in a sketch, on average, and the fewest and most parts.
+LOAD, LEAST_LANES, MOST_LANES = 4, 32, 8192
 _WORDS = 300_000
 #: Shingles whose signatures are made at once, which bounds a task's arrays.
 STRIP = 800_000
@@ -110,7 +113,7 @@ def difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def segments_of_band(low: np.ndarray, k: np.ndarray) -> np.ndarray:
     high = low[k + 1] - 1
-    return difference(high, DEN * high // NUM) + 1
+    return np.ceil((difference(high, DEN * high // NUM) + 1) * SPARE).astype(np.int64)
 
 
 def signatures(sets: list[np.ndarray], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,42 +181,59 @@ def _in_band(tokens, owner, sizes, k, low, classes, own: bool) -> tuple:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def lanes_of(s: np.ndarray, lanes: int = LANES) -> bytes:
-    """How many elements lie in each part of the universe, up to 255."""
-    return np.minimum(np.bincount((s % np.uint64(lanes)).astype(np.int64), minlength=lanes), 255).astype(np.uint8).tobytes()
+def sketch_of(s: np.ndarray) -> bytes:
+    """How many elements lie in each part of the universe, up to 15, as half bytes; the more elements, the more parts."""
+    lanes = 1 << max(0, round(np.log2(max(len(s), 1) / LOAD)))
+    lanes = min(max(lanes, LEAST_LANES), MOST_LANES)
+    counts = np.minimum(np.bincount((s % np.uint64(lanes)).astype(np.int64), minlength=lanes), 15).astype(np.uint8)
+    return (counts[: lanes // 2] | (counts[lanes // 2 :] << 4)).tobytes()
 
 
-def may_link(n_a, lanes_a, n_b, lanes_b) -> np.ndarray:
-    """False where sizes or lane counts (int16 rows) rule out that two sets are linked."""
-    n_a, n_b = np.asarray(n_a, np.int64), np.asarray(n_b, np.int64)
-    apart = np.abs(lanes_a - lanes_b).sum(-1, dtype=np.int64)
-    return (DEN * np.minimum(n_a, n_b) >= NUM * np.maximum(n_a, n_b)) & (apart <= difference(n_a, n_b))
+def _counts(sketches: list[bytes], lanes: int) -> np.ndarray:
+    """Rows of counts in ``lanes`` parts from sketches of one length; parts are powers of two, so two halves add up to a smaller one."""
+    packed = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+    counts = np.concatenate([packed & 15, packed >> 4], 1).astype(np.int16)
+    while counts.shape[1] > lanes:
+        half = counts.shape[1] // 2
+        counts = np.minimum(counts[:, :half] + counts[:, half:], 15)
+    return counts
 
 
-def _lanes(column, lanes: int = LANES) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, lanes).astype(np.int16)
+def may_link(n_a: np.ndarray, a: list[bytes], n_b: np.ndarray, b: list[bytes]) -> np.ndarray:
+    """False where sizes or sketches rule out that two sets are linked."""
+    out = DEN * np.minimum(n_a, n_b) >= NUM * np.maximum(n_a, n_b)
+    most = difference(n_a, n_b)
+    kinds = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)]).reshape(-1, 2)
+    for x, y in {*map(tuple, kinds[out].tolist())}:
+        at = np.flatnonzero(out & (kinds[:, 0] == x) & (kinds[:, 1] == y))
+        for some in np.array_split(at, max(1, len(at) * max(x, y) // 4_000_000)):
+            left, right = (_counts([z[i] for i in some], 2 * min(x, y)) for z in (a, b))
+            out[some] = np.abs(left - right).sum(1, dtype=np.int64) <= most[some]
+    return out
 
 
-def _row_sets(batch: pd.DataFrame, width: int) -> list[np.ndarray]:
-    return [shingles(None if t is None or t is pd.NA else t, width) for t in batch["text"]]
+def _row_sets(texts: pd.Series, width: int) -> list[np.ndarray]:
+    return [shingles(None if t is None or t is pd.NA else t, width) for t in texts]
 
 
 def set_table(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
-    """row, id, n (size of the set), class, and coarse and fine lane counts of every document."""
+    """row, id, n (size of the set), class and sketch of every document of a ``stable`` table."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = _row_sets(batch, width)
-            yield pd.DataFrame({"row": batch["row"], "id": batch["id"], "n": list(map(len, sets)), "class": list(map(class_of, sets)), "lanes": list(map(lanes_of, sets)), "fine": [lanes_of(s, FINE) for s in sets]})
+            sets = _row_sets(batch["text"], width)
+            yield batch.drop(columns="text").assign(n=[*map(len, sets)], **{"class": [*map(class_of, sets)]}, sketch=[*map(sketch_of, sets)])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"row long, id {kind}, n long, class long, lanes binary, fine binary")
+    rows = docs.select(row_of(docs).alias("row"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    made = rows.select("row.file", "row.place", "id", "text").mapInPandas(run, "file long, place long, id string, n long, class long, sketch binary")
+    return made.select(F.struct("file", "place").alias("row"), F.col("id").cast(docs.schema[id_col].dataType).alias("id"), "n", "class", "sketch")
 
 
 def buckets(docs: DataFrame, text_col: str, tasks: int, width: int = WIDTH) -> DataFrame:
-    """Members (class and size) of every bucket with more than one class: bucket, class, star.
+    """Members of every bucket with more than one class: bucket, class, star, n (members).
 
-    Tasks send one block of signatures to each index task instead of one row each.
+    Tasks send one block of signatures to each index task instead of one row each; the
+    signatures of a class stand together, so that a class is named once in a block.
     Buckets with the same members are one; ``star`` is the smallest class of the bucket.
     """
 
@@ -236,25 +256,31 @@ def buckets(docs: DataFrame, text_col: str, tasks: int, width: int = WIDTH) -> D
         if distinct:
             sig, cls, role = signatures(list(distinct.values()), np.fromiter(distinct, np.int64, len(distinct)))
             to = (sig % np.uint64(tasks)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
+            order = np.lexsort((cls, to))
             cuts = np.searchsorted(to[order], np.arange(tasks + 1))
-            sig, cls, role = sig[order], cls[order], role[order].astype(np.uint8)
+            sig, cls, role = sig[order] // np.uint64(tasks), cls[order], role[order].astype(np.uint8)
             for p in range(tasks):
                 i, j = cuts[p], cuts[p + 1]
                 if i < j:
-                    yield pd.DataFrame({"task": [p], "sig": [sig[i:j].tobytes()], "cls": [cls[i:j].tobytes()], "role": [role[i:j].tobytes()]})
+                    names, counts = np.unique(cls[i:j], return_counts=True)
+                    yield pd.DataFrame({
+                        "task": [p], "low": [sig[i:j].astype(np.uint32).tobytes()], "high": [(sig[i:j] >> np.uint64(32)).astype(np.uint8).tobytes()],
+                        "names": [names.tobytes()], "counts": [counts.astype(np.uint32).tobytes()], "role": [role[i:j].tobytes()],
+                    })
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         blocks: dict[int, list] = {}
+        kinds = (np.uint32, np.uint8, np.int64, np.uint32, np.uint8)
         for batch in batches:
             for task, *columns in batch.itertuples(index=False):
-                blocks.setdefault(task, []).append([np.frombuffer(x, t) for x, t in zip(columns, (np.uint64, np.int64, np.uint8), strict=True)])
+                low, high, names, counts, role = (np.frombuffer(x, t) for x, t in zip(columns, kinds, strict=True))
+                blocks.setdefault(task, []).append([low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32)), np.repeat(names, counts), role])
         while blocks:
             _, parts = blocks.popitem()
             yield from _groups(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
-    sent = docs.select(F.col(text_col).alias("text")).mapInPandas(send, "task int, sig binary, cls binary, role binary")
-    return sent.repartition(tasks, "task").mapInPandas(gather, "bucket long, class long, star long")
+    sent = docs.select(F.col(text_col).alias("text")).mapInPandas(send, "task int, low binary, high binary, names binary, counts binary, role binary")
+    return sent.repartition(tasks, "task").mapInPandas(gather, "bucket long, class long, star long, n long")
 
 
 def _groups(sig: np.ndarray, cls: np.ndarray, role: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -277,67 +303,21 @@ def _groups(sig: np.ndarray, cls: np.ndarray, role: np.ndarray) -> Iterator[pd.D
     chosen = np.zeros(len(starts), bool)
     chosen[kept] = True
     rows = np.repeat(chosen, size)
-    yield pd.DataFrame({"bucket": np.repeat(name.astype(np.int64), size)[rows], "class": cls[rows], "star": np.repeat(cls[starts], size)[rows]})
+    yield pd.DataFrame({"bucket": np.repeat(name.astype(np.int64), size)[rows], "class": cls[rows], "star": np.repeat(cls[starts], size)[rows], "n": np.repeat(size, size)[rows]})
 
 
-def likely(pairs: DataFrame, classes: DataFrame, column: str = "lanes", lanes: int = LANES) -> DataFrame:
-    """The pairs (a, b) of classes that sizes and the lane counts of a column do not rule out."""
+def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that sizes and sketches do not rule out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                yield batch.loc[may_link(batch["n_a"], _lanes(batch["lanes_a"], lanes), batch["n_b"], _lanes(batch["lanes_b"], lanes)), ["a", "b"]]
-
-    side = lambda c: classes.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col(column).alias(f"lanes_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long")
-
-
-def cross_pairs(members: DataFrame) -> DataFrame:
-    """Likely pairs (a, b) of a bucket whose roots differ; members: bucket, class, root, n, lanes, fine.
-
-    A task streams its buckets in order and compares a bucket's members in memory, in
-    strips; only pairs that may be linked become rows.
-    """
+                yield batch.loc[may_link(batch["n_a"].to_numpy(), batch["s_a"].tolist(), batch["n_b"].to_numpy(), batch["s_b"].tolist()), ["a", "b"]]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for batch in batches:
-            if not len(batch):
-                continue
-            held.append(batch)
-            last = batch["bucket"].iloc[-1]
-            if held[0]["bucket"].iloc[0] != last:
-                rows = pd.concat(held)
-                yield from pairs_of(rows[rows["bucket"] != last])
-                held = [rows[rows["bucket"] == last]]
-        if held:
-            yield from pairs_of(pd.concat(held))
-
-    def pairs_of(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        bucket, cls, root = (rows[c].to_numpy() for c in ("bucket", "class", "root"))
-        n, lanes, fine = rows["n"].to_numpy(), _lanes(rows["lanes"]), rows["fine"].to_numpy()
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for low, high in zip(cuts[:-1], cuts[1:]):
-            order = low + np.argsort(n[low:high], kind="stable")
-            sizes = n[order]
-            until = np.searchsorted(sizes, DEN * sizes // NUM, "right")  # linked sets are not much larger
-            for i in range(len(order)):
-                j = order[i + 1 : until[i]]
-                j = j[root[j] != root[order[i]]]
-                if len(j):
-                    j = j[may_link(n[order[i]], lanes[order[i]], n[j], lanes[j])]
-                if len(j):
-                    j = j[may_link(n[order[i]], _lanes([fine[order[i]]], FINE), n[j], _lanes(fine[j], FINE))]
-                    if len(j):
-                        found.append((np.full(len(j), cls[order[i]]), cls[j]))
-        if found:
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-    spark = members.sparkSession
-    dealt = members.select("bucket", "class", "root", "n", "lanes", "fine").repartition(parts(spark), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInPandas(run, "a long, b long").distinct()
+    size = lambda c: classes.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"))
+    sized = pairs.join(size("a"), "a").join(size("b"), "b").filter(DEN * F.least("n_a", "n_b") >= NUM * F.greatest("n_a", "n_b"))
+    side = lambda c: classes.select(F.col("class").alias(c), F.col("sketch").alias(f"s_{c}"))
+    return sized.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: str, width: int = WIDTH) -> DataFrame:
@@ -353,9 +333,11 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: st
             yield batch.loc[keep, ["a", "b"]]
 
     named = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    sets = materialise(sets_of(docs, classes.join(named, "class").select("row"), text_col, width), "compared")
+    sets = materialise(sets_of(docs, classes.join(named, "class", "left_semi").select("row"), text_col, width), "compared")
     side = lambda c: sets.select(F.col("class").alias(c), F.col("set").alias(f"set_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInPandas(run, "a long, b long")
+    links = materialise(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInPandas(run, "a long, b long"), "links")
+    drop_materialised(sets)
+    return links
 
 
 def sets_of(docs: DataFrame, rows: DataFrame, text_col: str, width: int = WIDTH) -> DataFrame:
@@ -363,10 +345,10 @@ def sets_of(docs: DataFrame, rows: DataFrame, text_col: str, width: int = WIDTH)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = _row_sets(batch, width)
+            sets = _row_sets(batch["text"], width)
             yield pd.DataFrame({"class": list(map(class_of, sets)), "set": [s.tobytes() for s in sets]})
 
-    named = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text")).join(rows, "row", "left_semi")
+    named = docs.select(row_of(docs).alias("row"), F.col(text_col).alias("text")).join(rows.hint("shuffle_hash"), "row", "left_semi")
     return named.select("text").mapInPandas(run, "class long, set binary")
 
 
@@ -378,21 +360,20 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def rooted_groups(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
     """``similar_groups`` of a stable table, with the root class that tells its groups apart (null without shingles)."""
     table = materialise(set_table(docs, id_col, text_col, width), "sets")
-    classes = table.filter("n > 0").groupBy("class").agg(F.min("id").alias("id"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("lanes").alias("lanes"), F.first("fine").alias("fine"))
+    classes = materialise(table.filter("n > 0").groupBy("class").agg(F.min("id").alias("id"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first().t
     members = materialise(buckets(docs, text_col, max(1, -(-total // PER_TASK)), width), "buckets")
-    stars = members.filter("star != class").select(F.col("star").alias("a"), F.col("class").alias("b")).distinct()
-    pairs = materialise(likely(stars, classes), "pairs")
-    close = materialise(likely(pairs, classes, "fine", FINE), "pairs")
-    links = materialise(verified(close, classes, docs, text_col, width), "links")
-    first = materialise(components(links), "roots").withColumnRenamed("node", "class")
-    rooted = members.join(first, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("bucket")
-    open_ = rooted.join(mixed, "bucket").join(classes.select("class", "n", "lanes", "fine"), "class")
-    rest = materialise(cross_pairs(open_).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    more = materialise(verified(rest, classes, docs, text_col, width), "links")
-
-    roots = components(links.unionByName(more)).withColumnRenamed("node", "class")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        close = materialise(likely(pairs, classes), "close")
+        linked = verified(close, classes, docs, text_col, width)
+        drop_materialised(close)
+        return linked
+
+    links = bucket_links(members, verify)
+    drop_materialised(members)
+    roots = components(links).withColumnRenamed("node", "class")
+    drop_materialised(links)
     whole = classes.select("class", "id").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = whole.groupBy("root").agg(F.min("id").alias("component_id"))
     named = whole.join(least, "root").select("class", "component_id", "root")
@@ -409,5 +390,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     first = linked.groupBy("root").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "row")).alias("k")).select(F.col("k.row").alias("row"))
     kept = first.unionByName(groups.filter("n_shingles = 0").select("row"))
     columns = docs.columns
-    numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), row_of(docs).alias("row"))
     return numbered.join(kept, "row", "left_semi").select(*[F.col("doc").getField(c).alias(c) for c in columns])
