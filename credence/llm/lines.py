@@ -49,12 +49,11 @@ def chunks_of(lines: DataFrame, keys: list[str], line: str) -> DataFrame:
     text = F.col(line)
     short = F.char_length(text) <= BLOCK + SHINGLE - 1
     blocks = lines.select(*keys, F.explode(F.when(short, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(_BLOCKS), F.lit(1)))).alias("__block"))
-    last = F.greatest(F.lit(0), F.floor((F.char_length("__block") - SHINGLE) / CHUNK).cast("int"))
-    starts = blocks.select(*keys, "__block", F.explode(F.sequence(F.lit(0), last)).alias("__i"))
-    chunks = starts.select(*keys, F.substring("__block", F.col("__i") * CHUNK + 1, F.lit(CHUNK + SHINGLE - 1)).alias("__chunk"))
-    left = F.char_length("__chunk") - (SHINGLE - 1)
-    at = lambda k: F.greatest(F.lit(1), F.least(F.lit(k + 1), left))
-    return chunks.select(*keys, *[F.xxhash64(F.substring("__chunk", at(k), F.lit(SHINGLE))).alias(f"h{k}") for k in range(CHUNK)])
+    wide = blocks.select(*keys, F.encode("__block", "UTF-32").alias("__wide"))  # four bytes a character, so a shingle is found by its place
+    count = F.shiftright(F.octet_length("__wide"), 2) - (SHINGLE - 1)
+    starts = wide.select(*keys, "__wide", count.alias("__count"), F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), count - 1), F.lit(CHUNK))).alias("__i"))
+    at = lambda k: 4 * F.greatest(F.lit(0), F.least(F.col("__i") + k, F.col("__count") - 1)) + 1
+    return starts.select(*keys, *[F.xxhash64(F.substring("__wide", at(k), F.lit(4 * SHINGLE))).alias(f"h{k}") for k in range(CHUNK)])
 
 
 def signatures(lines: DataFrame, keys: list[str], line: str = "line") -> DataFrame:

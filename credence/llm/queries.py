@@ -67,5 +67,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')".format
+_ASCII_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP4 = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest FROM p),
+ o AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS original FROM d)
+ SELECT page_id, payload_bytes, payload_digest, CASE WHEN original = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN original <> page_id THEN original END AS refers_to FROM o"""
+
+_OP6 = f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS(f"coalesce({_ASCII_LOWER}, '')")} AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM w, unnest(range(1, greatest(len(w) - 4, CASE WHEN len(w) > 0 THEN 1 ELSE 0 END) + 1)) AS u(i)),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ k AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ l AS (SELECT a, b FROM k JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+ r AS (SELECT a AS id, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id),
+ c AS (SELECT id, min(root) AS root FROM r GROUP BY id)
+ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.root, d.doc_id)) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.id = d.doc_id"""
+
+_OP9 = f"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS("coalesce(text, '')")} AS w, row_number() OVER () AS r FROM documents),
+ g AS (SELECT r, i, w[i : i + 2] AS k FROM w, unnest(range(1, len(w) - 1)) AS u(i)), twice AS (SELECT r, k FROM g GROUP BY r, k HAVING count(*) > 1),
+ hit AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM g JOIN twice USING (r, k)) GROUP BY r),
+ l AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS dup FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+ m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+   coalesce(l.dup, 0) AS n_dup_lines, coalesce(hit.n, 0) AS n_repeat_words, coalesce(l.n_lines, 0) AS n_lines FROM w LEFT JOIN l USING (r) LEFT JOIN hit USING (r)),
+ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT
+   + 8 * (100 * n_dup_lines > 30 * n_lines)::INT + 16 * (2 * word_chars < 5 * n_words)::INT + 32 * (word_chars > 12 * n_words)::INT AS BIGINT) AS failures FROM m)
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (failures & {quality.POLICIES[quality.DEFAULT_POLICY]}) = 0 AS kept, failures FROM f"""
+
+_OP10 = """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 20"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL of the queries that SQL can express; the others are held against brute force in the tests."""
+    return {"op4_warc_revisits": _OP4, "op6_jaccard_components": _OP6, "op9_quality_rules": _OP9, "op10_vantage_points": _OP10}

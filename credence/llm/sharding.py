@@ -18,26 +18,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from credence.llm.common import materialise, parts
+from credence.llm.common import drop_materialised, materialise, parts
 
 BITS = 5
 
 
 def number_of(col: Column, kind: str) -> Column:
-    """A number in the order of the values: strings by their first six bytes."""
+    """A number, or a string as it is, in the order of the values."""
     if kind == "string":
-        head = F.rpad(F.hex(F.substring(F.encode(col, "UTF-8"), 1, 6)), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
+        return col
     if kind in ("timestamp", "date"):
         return F.unix_timestamp(col).cast("double")
     return col.cast("double")
 
 
-def quantised(numbers: list[Column], edges: list[list[float]], bits: int) -> list[Column]:
+def string_edges(df: DataFrame, name: str, cells: int) -> list[str]:
+    """The values at which equal counts of rows are cut, over the whole strings; at most ``cells - 1``.
+
+    Rows are counted per value before the values are sorted; the running count is one
+    per partition plus the counts of the partitions before it.
+    """
+    counts = df.filter(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n"))
+    dealt = counts.repartitionByRange(parts(df.sparkSession), name).withColumn("part", F.spark_partition_id())
+    kept = materialise(dealt, "values")
+    sums = kept.groupBy("part").agg(F.sum("n").alias("part_n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("part", F.coalesce(F.sum("part_n").over(before), F.lit(0)).alias("start"), F.sum("part_n").over(Window.partitionBy(F.lit(0))).alias("total"))
+    within = Window.partitionBy("part").orderBy(name)
+    placed = kept.join(F.broadcast(starts), "part").withColumn("upto", F.col("start") + F.sum("n").over(within))  # one row per partition
+    share = lambda x: F.floor((x) * cells / F.col("total"))
+    cuts = placed.filter(share(F.col("upto")) > share(F.col("upto") - F.col("n"))).select(name).orderBy(name).limit(cells).collect()
+    drop_materialised(kept)
+    return [r[0] for r in cuts][: cells - 1]
+
+
+def quantised(numbers: list[Column], edges: list[list], bits: int) -> list[Column]:
     """The cell of each number between the edges of its dimension, nulls in cell 0."""
 
-    def cell(x: Column, cuts: list[float]) -> Column:
-        inner = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
+    def cell(x: Column, cuts: list) -> Column:
+        if not cuts:
+            return F.lit(0)
+        inner = F.array(*[F.lit(c) for c in cuts])
         return F.coalesce(F.least(F.size(F.filter(inner, lambda c: c < x)), F.lit((1 << bits) - 1)), F.lit(0))
 
     return [cell(x, cuts) for x, cuts in zip(numbers, edges, strict=True)]
@@ -94,8 +115,11 @@ def with_curve(df: DataFrame, dims: list[str], bits: int = BITS) -> DataFrame:
     kinds = dict(df.dtypes)
     numbers = [number_of(F.col(f"`{d}`"), kinds[d]) for d in dims]
     shares = [i / (1 << bits) for i in range(1, 1 << bits)]
-    cuts = df.agg(*[F.percentile_approx(x, shares, 10_000).alias(f"c{i}") for i, x in enumerate(numbers)]).first()
-    edges = [sorted(set(c or [])) for c in cuts]  # at most 2**bits - 1 numbers per dimension
+    measured = [i for i, d in enumerate(dims) if kinds[d] != "string"]
+    cuts = df.agg(F.count("*"), *[F.percentile_approx(numbers[i], shares, 10_000).alias(f"c{i}") for i in measured]).first()
+    edges: list[list] = [[] for _ in dims]  # at most 2**bits - 1 values per dimension
+    for i, d in enumerate(dims):
+        edges[i] = sorted(set(map(float, cuts[f"c{i}"] or []))) if i in measured else string_edges(df.select(F.col(f"`{d}`").alias("value")), "value", 1 << bits)
     cells = F.array(*quantised(numbers, edges, bits))
     return df.withColumn("__cells", cells).withColumn("__curve", hilbert_index(F.col("__cells"), len(dims), bits)).drop("__cells")
 
@@ -123,13 +147,13 @@ def cut_runs(df: DataFrame, order: list[str], n_shards: int) -> DataFrame:
 def assign(docs: DataFrame, n_shards: int, dims: list[str], id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
     """Shard of every document: the id, size, text_crc32, law ('rows'), shard, slot, grown_shard (null), curve.
 
-    Only these columns travel; the text stays where it is read.
+    The text is read once; only these columns and the dimensions are written and travel.
     """
     raw = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     size = (F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) + 8).cast("long")
     kinds = dict(docs.dtypes)
     keys = [number_of(size if d == "__size" else F.col(f"`{d}`"), "long" if d == "__size" else kinds[d]).alias(f"__d{i}") for i, d in enumerate(dims)]
-    narrow = docs.select(F.col(id_col), size.alias("size"), F.crc32(raw).alias("text_crc32"), F.monotonically_increasing_id().alias("__row"), *keys)
+    narrow = materialise(docs.select(F.col(id_col), size.alias("size"), F.crc32(raw).alias("text_crc32"), F.monotonically_increasing_id().alias("__row"), *keys), "narrow")
     curved = with_curve(narrow, [f"__d{i}" for i in range(len(dims))], bits).drop(*[f"__d{i}" for i in range(len(dims))])
     cut = cut_runs(curved, ["__curve", "text_crc32", "__row"], n_shards)
     return cut.select(id_col, "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("__curve").alias("curve"))
@@ -137,7 +161,7 @@ def assign(docs: DataFrame, n_shards: int, dims: list[str], id_col: str = "doc_i
 
 def curve_shards(df: DataFrame, n_shards: int, dims: list[str], bits: int = BITS) -> DataFrame:
     """Whole rows with ``shard`` and ``slot``, ready for ``write.partitionBy('shard')``."""
-    row = df.withColumn("__row", F.monotonically_increasing_id())
+    row = materialise(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
     return cut_runs(with_curve(row, dims, bits), ["__curve", "__row"], n_shards).drop("__curve", "__row")
 
 

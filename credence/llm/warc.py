@@ -18,21 +18,23 @@ smallest; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm.common import materialise, shared_dir, stable
+from credence.llm.common import materialise, row_of, shared_dir, stable
 
 #: Payload bytes from which equal payloads are stored once.
 LEAST = 1000
-#: Records per archive at most, which bounds the memory a reader needs.
-PER_FILE = 20_000
+#: Bytes of records that an archive should hold, before compression, and records at most.
+ARCHIVE_BYTES, PER_FILE = 64_000_000, 20_000
+#: Bytes that a reader inflates at once.
+_PART = 1 << 20
 _EOL = "\r\n"
 #: Fixed value: the profile of revisit records that have the same payload digest.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -41,7 +43,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 def with_headers(pages: DataFrame) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit(""))
     return pages.select(
-        F.monotonically_increasing_id().alias("row"), F.col("page_id"), F.col("url"), payload.alias("payload"),
+        row_of(pages).alias("row"), F.col("page_id"), F.col("url"), payload.alias("payload"),
         F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(F.encode(payload, "UTF-8")).alias("digest"),
     )
 
@@ -95,27 +97,58 @@ def records(pages: DataFrame, least: int = LEAST, date: str = "2024-01-01T00:00:
 
 
 def write_archives(pages: DataFrame, path: str, least: int = LEAST) -> None:
-    """Write deduplicated archives under ``path`` (gzip)."""
-    records(stable(pages), least).write.option("lineSep", _EOL).option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(path)
+    """Write deduplicated archives under ``path`` (gzip), of about ``ARCHIVE_BYTES`` each."""
+    pages = stable(pages)
+    n, size = pages.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()
+    per_file = max(1, min(PER_FILE, ARCHIVE_BYTES * n // (size + 600 * n))) if n else PER_FILE
+    records(pages, least).write.option("lineSep", _EOL).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+
+
+def inflated(data: bytes) -> Iterator[bytes]:
+    """The bytes of an archive in parts of bounded size, plain or of any number of gzip members."""
+    if data[:2] != b"\x1f\x8b":
+        yield from (data[i : i + _PART] for i in range(0, len(data), _PART))
+        return
+    while data:
+        member = zlib.decompressobj(31)
+        part = member.decompress(data, _PART)
+        while part or member.unconsumed_tail:
+            yield part
+            part = member.decompress(member.unconsumed_tail, _PART)
+        if not member.eof:
+            raise ValueError("a gzip member is cut off")
+        data = member.unused_data
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-case names) and block of each record of an archive, plain or gzip."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode().split(_EOL)
+    """Headers (lower-case names) and block of each record of an archive, plain or gzip; one record is held at a time."""
+    parts, held, at = inflated(data), bytearray(), 0
+
+    def more() -> bool:
+        part = next(parts, None)
+        held.extend(part or b"")
+        return part is not None
+
+    while True:
+        while (end := held.find(b"\r\n\r\n")) < 0 and more():
+            pass
+        if not held:
+            return
+        if end < 0:
+            raise ValueError(f"no WARC record at byte {at}")
+        version, *lines = held[:end].decode().split(_EOL)
         if not version.startswith("WARC/1."):
             raise ValueError(f"no WARC record at byte {at}")
         head = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines)}
         start = end + 4
-        at = start + int(head["content-length"])
-        yield head, data[start:at]
-        if data[at : at + 4] != b"\r\n\r\n":
-            raise ValueError(f"a record doesn't end at byte {at}")
-        at += 4
+        stop = start + int(head["content-length"])
+        while len(held) < stop + 4 and more():
+            pass
+        if held[stop : stop + 4] != b"\r\n\r\n":
+            raise ValueError(f"a record doesn't end at byte {at + stop}")
+        yield head, bytes(held[start:stop])
+        del held[: stop + 4]
+        at += stop + 4
 
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
@@ -123,9 +156,10 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = False) ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["record_id", "page_id", "url", "type", "digest", "refers", "payload_bytes"] + ["payload"] * with_payload
+        made = lambda rows: pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "payload_bytes": "Int64"})
         for batch in batches:
             for data in batch["content"]:
-                rows = []
+                rows, size = [], 0
                 for head, block in parse(bytes(data)):
                     digest = head["warc-payload-digest"].removeprefix("sha1:")
                     payload = None
@@ -136,7 +170,11 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = False) ->
                     page = head.get("page-id")
                     row = (head["warc-record-id"], None if page is None else int(page), head.get("warc-target-uri"), head["warc-type"], digest, head.get("warc-refers-to"), None if payload is None else len(payload))
                     rows.append((*row, payload) if with_payload else row)
-                yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "payload_bytes": "Int64"})
+                    size += len(payload or b"") * with_payload
+                    if size > 16 * _PART or len(rows) >= 10_000:
+                        yield made(rows)
+                        rows, size = [], 0
+                yield made(rows)
 
     schema = "record_id string, page_id long, url string, type string, digest string, refers string, payload_bytes long" + ", payload binary" * with_payload
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
