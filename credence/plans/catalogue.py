@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.functions import kernels, text
-from credence.operators import analytics, candidates, clustering, maintenance, retrieval, scoring, similarity, writes
+from credence.functions import client, kernels, text
+from credence.operators import analytics, candidates, clustering, domains, maintenance, retrieval, scoring, similarity, tail, writes
 from credence.operators.binding import NOW, NOW_MAINT, in_scope, is_valid, memories, memories_cte, now, table
-from credence.sources import text_sources
+from credence.sources import state_tables, text_sources
 from credence.streaming import state
 
 #: The query that ``entry`` runs.
@@ -373,13 +373,19 @@ def knn_same_project(spark, sf):
     return similarity.knn(memories(spark, sf), "project", 3)
 
 
-@query()
+def _dedup_sql(scanned: str, place: str) -> str:
+    """Scanned rows with a neighbour that is not scanned or comes later in the scan."""
+    return f"""{M}, p AS (SELECT id, project, embedding, {scanned} AS scanned, CASE WHEN {scanned} THEN {place} ELSE 9223372036854775807 END AS place FROM memories WHERE embedding IS NOT NULL)
+ SELECT DISTINCT a.id FROM p a JOIN p b ON a.project = b.project AND a.id <> b.id AND a.scanned AND (b.place > a.place OR (b.place = a.place AND b.id > a.id)) WHERE round({DOT(a='a.embedding', b='b.embedding')}, 6) >= 0.3"""
+
+
+@query(_dedup_sql("ts >= TIMESTAMP '2024-01-08'", "-epoch_us(ts)"))
 def recent_dedup(spark, sf):
-    recent = F.col("ts") >= F.lit("2024-01-25").cast("timestamp")
+    recent = F.col("ts") >= F.lit("2024-01-08").cast("timestamp")
     return maintenance.near_duplicates_to_drop(memories(spark, sf), recent, 0.3, True)
 
 
-@query()
+@query(_dedup_sql("access_count = 0", "epoch_us(ts)"))
 def cold_dedup(spark, sf):
     return maintenance.near_duplicates_to_drop(memories(spark, sf), F.col("access_count") == 0, 0.3, False)
 
@@ -411,10 +417,11 @@ def targeted_reclass(spark, sf):
     return maintenance.remap(similarity.nearest_anchor(memories(spark, sf), _anchors(spark, sf)), 0.15)
 
 
-@query(f"{M}, {_CENT}, s AS (SELECT project FROM memories GROUP BY project HAVING count(*) < 45), {_NEAR} SELECT id, cos, CASE WHEN cos >= 0.15 THEN name ELSE 'general' END AS target FROM b WHERE id IN (SELECT id FROM memories WHERE project IN (SELECT project FROM s))")
+@query(f"""{M}, {_CENT}, g AS (SELECT id, CASE WHEN id % 7 = 0 THEN project || '-new' ELSE project END AS g FROM memories), few AS (SELECT g FROM g GROUP BY g HAVING count(*) < (SELECT count(*) // 40 FROM memories)), {_NEAR}
+ SELECT id, cos, CASE WHEN cos >= 0.15 THEN name ELSE 'general' END AS target FROM b WHERE id IN (SELECT id FROM g WHERE g IN (SELECT g FROM few))""")
 def singleton_remap(spark, sf):
-    m = memories(spark, sf).drop("domain").withColumnRenamed("project", "domain")
-    few = m.join(F.broadcast(maintenance.singleton_domains(m, 45)), "domain", "left_semi")  # names of small groups
+    m = memories(spark, sf).withColumn("domain", F.when(F.col("id") % 7 == 0, F.concat("project", F.lit("-new"))).otherwise(F.col("project")))
+    few = m.join(maintenance.singleton_domains(m, m.count() // 40), "domain", "left_semi")
     return maintenance.remap(similarity.nearest_anchor(few, _anchors(spark, sf)), 0.15)
 
 
@@ -428,6 +435,145 @@ def upgma_curve(spark, sf):
     return clustering.curve(memories(spark, sf), 0.3, 0.10, [0.10, 0.12, 0.15, 0.18, 0.20])
 
 
+# -- domains ---------------------------------------------------------------------------------
+
+_SIMS = f"sims AS (SELECT m.id, m.project, name, round({DOT(a='m.embedding', b='emb')}, 6) AS sim FROM memories m, a WHERE m.embedding IS NOT NULL)"
+#: Stands in for a classifier: every third record asks for a domain of its own, the others for the second nearest offered.
+_CHOICE = lambda said, offered: F.when(F.char_length(said) % 3 == 0, "own-domain").otherwise(F.get(offered, 1))
+
+
+def _counted_anchors(spark, sf):
+    c = similarity.centroids(table(spark, sf, "embeddings"), "label")
+    return c.select(F.concat(F.lit("c"), F.col("label")).alias("name"), "emb", F.col("cnt").alias("memory_count"))
+
+
+@query(f"""{M}, {_CENT}, {_SIMS}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, name) AS r FROM sims),
+ k AS (SELECT id, max(sim) FILTER (r = 1) AS best, max(name) FILTER (r = 1) AS first, max(name) FILTER (r = 2 AND sim >= 0.15) AS second FROM r GROUP BY id)
+ SELECT k.id, CASE WHEN best >= 0.25 THEN first WHEN length(text) % 3 = 0 THEN 'own-domain' WHEN second IS NOT NULL THEN second WHEN best >= 0.15 THEN first ELSE 'general' END AS domain,
+  best < 0.25 AND length(text) % 3 = 0 AS mint FROM k JOIN memories USING (id)""")
+def domain_choice(spark, sf):
+    return domains.classify(memories(spark, sf), _anchors(spark, sf), _CHOICE, 0.25, 0.15)
+
+
+@query(f"""{M}, {_CENT}, {_SIMS}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, name) AS r FROM sims),
+ k AS (SELECT id, max(sim) FILTER (r = 1) AS best, max(name) FILTER (r = 1) AS first, max(name) FILTER (r = 2) AS second FROM r GROUP BY id)
+ SELECT k.id, CASE WHEN best < 0.15 THEN 'general' WHEN best >= 0.25 OR length(text) % 3 = 0 THEN first ELSE second END AS domain FROM k JOIN memories USING (id)""")
+def domain_batch(spark, sf):
+    return domains.classify_batch(memories(spark, sf), _anchors(spark, sf), _CHOICE, 0.25, 0.15)
+
+
+@query(f"""{M}, {_CENT}, {_NEAR}, n AS (SELECT label, 'c' || label AS name, count(*) AS n FROM embeddings GROUP BY label),
+ h AS (SELECT name, d, sum(x) AS s, count(*) AS k FROM (SELECT b.name, unnest(CAST(m.embedding AS DOUBLE[])) AS x, generate_subscripts(m.embedding, 1) AS d FROM b JOIN memories m USING (id) WHERE m.project = '{_PROJECT}') GROUP BY 1, 2),
+ v AS (SELECT n.name, c.d, CASE WHEN h.k IS NULL THEN c.s / l.norm ELSE (c.s / l.norm * n.n + h.s) / (n.n + h.k) END AS x, n.n + coalesce(h.k, 0) AS m, h.k IS NOT NULL AS moved FROM c JOIN l USING (label) JOIN n USING (label) LEFT JOIN h ON h.name = n.name AND h.d = c.d),
+ z AS (SELECT name, sqrt(sum(x * x)) AS norm FROM v GROUP BY name) SELECT name, d, round(CASE WHEN moved THEN x / norm ELSE x END, 6) AS x, m AS memory_count FROM v JOIN z USING (name)""")
+def centroid_update(spark, sf):
+    m, anchors = memories(spark, sf).filter(F.col("project") == _PROJECT), _counted_anchors(spark, sf)
+    hits = similarity.nearest_anchor(m, anchors).join(m.select("id", "embedding"), "id").select("id", "name", "embedding")
+    new = domains.update_centroids(anchors, hits)
+    return new.select("name", "memory_count", F.posexplode("emb").alias("d", "x")).select("name", (F.col("d") + 1).cast("long").alias("d"), F.round("x", 6).alias("x"), "memory_count")
+
+
+@query(f"""{M}, {_CENT}, {_NEAR} SELECT id, CASE WHEN cos >= 0.3 THEN name ELSE 'new-' || id END AS cluster_id, cos < 0.3 AS is_new, CASE WHEN cos >= 0.3 THEN cos ELSE -1.0 END AS sim FROM b""")
+def micro_assign(spark, sf):
+    micros = similarity.centroids(table(spark, sf, "embeddings"), "label").select(F.concat(F.lit("c"), F.col("label")).alias("cluster_id"), "sum", F.col("cnt").alias("count"))
+    return domains.assign_micros(memories(spark, sf), micros, 0.3)
+
+
+@query(f"""{M}, h AS (SELECT *, ts > {T(NOW)} - INTERVAL 20 DAY AS recent, max(ts > {T(NOW)} - INTERVAL 20 DAY) OVER (PARTITION BY project) AS has FROM memories),
+ r AS (SELECT project AS domain, id, has, row_number() OVER (PARTITION BY project ORDER BY access_count DESC, CASE WHEN has THEN ts END DESC, id) AS rank FROM h WHERE recent OR NOT has) SELECT domain, CAST(rank AS INTEGER) AS rank, id FROM r WHERE rank <= CASE WHEN has THEN 15 ELSE 10 END""")
+def summary_inputs(spark, sf):
+    m = memories(spark, sf).drop("domain").withColumnRenamed("project", "domain")
+    return domains.summary_inputs(m, now(), 20)
+
+
+@query(f"""{M}, a AS (SELECT project AS name, count(*) AS n, CASE WHEN project < 'src15' THEN count(*) * 4 // 5 ELSE 0 END AS last FROM memories WHERE id % 10 <> 0 GROUP BY project),
+ g AS (SELECT * FROM a WHERE n >= 5 ORDER BY n DESC, name LIMIT 10) SELECT name, count(*) AS actual FROM g JOIN memories ON project = name GROUP BY name, last HAVING last = 0 OR count(*) > last * 1.2""")
+def stale_summaries(spark, sf):
+    m = memories(spark, sf).drop("domain").withColumnRenamed("project", "domain")
+    then = m.filter("id % 10 <> 0").groupBy(F.col("domain").alias("name")).agg(F.count("*").alias("memory_count"))
+    last = F.when(F.col("name") < "src15", F.floor(F.col("memory_count") * 4 / 5)).otherwise(0)
+    return domains.stale_summaries(m, then.withColumn("last_summarized_count", last), most=10)
+
+
+@query(f"{M}, r AS (SELECT id, row_number() OVER (ORDER BY access_count DESC, last_accessed DESC, id) AS rank FROM memories WHERE memory_type = 'semantic') SELECT id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 20")
+def identity_inputs(spark, sf):
+    return domains.identity_inputs(memories(spark, sf)).select("id", "rank")
+
+
+@query(f"{M} SELECT id FROM memories WHERE domain = 'en' OR domain NOT IN ('fr', 'de')")
+def unanchored(spark, sf):
+    m = memories(spark, sf).withColumn("domain", F.when(F.col("domain") == "en", domains.GENERAL).otherwise(F.col("domain")))
+    return domains.unanchored(m, spark.createDataFrame([("fr",), ("de",)], "name string")).select("id")
+
+
+# -- clients ---------------------------------------------------------------------------------
+
+
+@query(r"""SELECT conv_id, turn, coalesce(length(text) < 80 OR regexp_matches(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '(?i)^(call |run |check |show |list |get |what |how |why |do |can |is |ok|yea|nah|hm|sure|nice|done|yes|no|lol|wait|so |and |but )'), true) AS skipped FROM conversations""")
+def chat_skip(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", client.skipped_turn(F.col("text")).alias("skipped"))
+
+
+@query(r"""WITH w AS (SELECT conv_id, turn, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: length(x) > 3) AS w, CASE WHEN turn % 2 = 0 THEN 'default' ELSE 'src3' END AS p FROM conversations WHERE role = 'user'),
+ l AS (SELECT *, array_to_string(w[greatest(1, len(w) - 5):], ' ') AS l FROM w)
+ SELECT conv_id, turn, CASE WHEN length(text) >= 25 THEN text WHEN l <> '' THEN CASE WHEN p = 'default' THEN l ELSE p || ' ' || l END WHEN p = 'default' THEN 'recent context decisions' ELSE p || ' recent work decisions' END AS q1,
+  CASE WHEN p = 'default' THEN trim(l || ' recent context decisions') ELSE p || ' recent decisions outcomes' END AS q2,
+  CASE WHEN p = 'default' THEN trim(l || ' outcomes preferences') ELSE p || ' conventions preferences procedural how to work' END AS q3 FROM l""")
+def routed_queries(spark, sf):
+    asked = table(spark, sf, "conversations").filter("role = 'user'")
+    q = client.routed_queries(F.col("text"), F.when(F.col("turn") % 2 == 0, "default").otherwise("src3"))
+    return asked.select("conv_id", "turn", q.alias("q")).select("conv_id", "turn", *[F.get("q", n).alias(f"q{n + 1}") for n in range(3)])
+
+
+@query(f"{M}, {_POOL_SQL}, {_ACT_SQL} SELECT count_if(score >= 1.10) AS high, count_if(score >= 0.95 AND score < 1.10) AS mid, count_if(score >= 0.70 AND score < 0.95) AS low FROM active")
+def receipt_buckets(spark, sf):
+    return scoring.activate(_primary(spark, sf), now(), SIGMA_Q, 5).agg(*client.score_buckets(F.col("score")))
+
+
+@query(f"""WITH v AS (SELECT user_id % 97 AS key, event_id AS value, ts AS written, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 86400 * (event_id % 40) END AS ttl FROM events),
+ l AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY written DESC, value DESC) AS n FROM v) SELECT key, value FROM l WHERE n = 1 AND (ttl IS NULL OR {T(NOW)} < written + ttl * INTERVAL 1 SECOND)""")
+def live_values(spark, sf):
+    ttl = F.when(F.col("event_id") % 3 != 0, 86400 * (F.col("event_id") % 40))
+    v = table(spark, sf, "events").select((F.col("user_id") % 97).alias("key"), F.col("event_id").alias("value"), F.col("ts").alias("written"), ttl.alias("ttl"))
+    return state_tables.live_values(v, now()).select("key", "value")
+
+
+# -- ordered folds ---------------------------------------------------------------------------
+
+_FOLD_SQL = f"o AS (SELECT id, memory_type AS t, CAST(embedding AS DOUBLE[]) AS e, cluster_id AS c, row_number() OVER (ORDER BY round(cos, 6) DESC, id) AS r FROM pool)"
+
+
+def _fold(spark, sf, keep) -> DataFrame:
+    """Rows of the pool that an ordered fold keeps, in one task (the pool is bounded)."""
+    import pandas as pd
+
+    pool = scoring.candidate_pool(memories(spark, sf), query_vector(spark, sf), POOL).select("id", F.round("cos", 6).alias("score"), "text", F.col("memory_type").alias("type"), "sigma", F.col("cluster_id").cast("string").alias("cluster_id"), F.col("embedding").alias("vector"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(pdf.to_dict("records"), key=lambda r: (-r["score"], r["id"]))
+        return pd.DataFrame({"id": [r["id"] for r in keep(rows)]}, dtype="int64")
+
+    return pool.groupBy(F.lit(0).alias("pool")).applyInPandas(run, "id long")
+
+
+@query(f"""WITH RECURSIVE {memories_cte()}, {_POOL_SQL}, {_FOLD_SQL},
+ f AS (SELECT CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS id, false AS kept, CAST([] AS VARCHAR[]) AS ts, CAST([] AS INTEGER[]) AS cs
+  UNION ALL SELECT o.r, o.id, k, CASE WHEN k THEN list_append(ts, o.t) ELSE ts END, CASE WHEN k THEN list_append(cs, o.c) ELSE cs END
+  FROM (SELECT f.ts, f.cs, o.*, len(list_filter(f.ts, lambda x: x = o.t)) < CASE WHEN o.t = 'session' THEN 2 ELSE 7 END AND (o.c IS NULL OR len(list_filter(f.cs, lambda x: x = o.c)) < 3) AS k FROM f JOIN o ON o.r = f.r + 1) o)
+ SELECT id FROM f WHERE kept""")
+def diversity_cap(spark, sf):
+    return _fold(spark, sf, tail.diversity_cap)
+
+
+@query(f"""WITH RECURSIVE {memories_cte()}, {_POOL_SQL}, {_FOLD_SQL},
+ f AS (SELECT CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS id, false AS kept, CAST([] AS DOUBLE[][]) AS vs
+  UNION ALL SELECT r, id, k, CASE WHEN k THEN list_append(vs, e) ELSE vs END
+  FROM (SELECT f.vs, o.*, len(list_filter(f.vs, lambda v: list_inner_product(v, o.e) >= 0.35)) = 0 AS k FROM f JOIN o ON o.r = f.r + 1))
+ SELECT id FROM f WHERE kept""")
+def greedy_dedup(spark, sf):
+    return _fold(spark, sf, lambda rows: tail.dedup(rows, 0.35))
+
+
 # -- reports ---------------------------------------------------------------------------------
 
 
@@ -504,13 +650,13 @@ def cluster_galaxy(spark, sf):
 # -- writes ----------------------------------------------------------------------------------
 
 
-@query(f"""{M}, b AS (SELECT * FROM memories WHERE id % 10 = 0), s AS (SELECT * FROM memories WHERE id % 10 <> 0),
+@query(f"""{M}, b AS (SELECT * FROM memories WHERE id % 7 = 0), s AS (SELECT * FROM memories WHERE id % 7 <> 0),
  c AS (SELECT b.id AS new_id, s.id AS old_id, round({DOT(a='b.embedding', b='s.embedding')}, 6) AS cos, b.sigma AS x, s.sigma AS y, b.memory_type, b.cluster_id = s.cluster_id AS together FROM b JOIN s ON b.project = s.project WHERE b.embedding IS NOT NULL AND s.embedding IS NOT NULL),
  k AS (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY cos DESC, old_id) AS r FROM c WHERE cos > 0.1 QUALIFY r <= 10)
  SELECT new_id, old_id, cos, (cos >= CASE WHEN coalesce(together, false) THEN -2.0 WHEN memory_type = 'session' THEN 0.40 ELSE 0.45 END) AND 64 / 2.0 * ln(((x + y) / 2 + 1e-7) / (sqrt(x * y) + 1e-7)) < CASE WHEN coalesce(together, false) THEN 0.20 ELSE 0.08 END AS merges FROM k""")
 def merge_decision(spark, sf):
     m = memories(spark, sf)
-    new, old = m.filter("id % 10 = 0"), m.filter("id % 10 <> 0")
+    new, old = m.filter("id % 7 = 0"), m.filter("id % 7 <> 0")
     near = writes.candidates(new, old, 0.1)
     side = lambda d, n, p: d.select(F.col("id").alias(n), *[F.col(c).alias(f"{p}_{c}") for c in ("sigma", "cluster_id", "memory_type")])
     both = near.join(side(new, "new_id", "n"), "new_id").join(side(old, "old_id", "o"), "old_id")
@@ -519,17 +665,41 @@ def merge_decision(spark, sf):
     return both.select("new_id", "old_id", "cos", ((F.col("cos") >= writes.merge_ceiling(F.col("n_memory_type"), together, 0.40, 0.45)) & close).alias("merges"))
 
 
-@query()
+#: Notes that contradict each other, by id; every third record is one of them.
+_NOTES = ["the deploy script is still broken", "the deploy script works now", "we use the old queue", "we no longer use the old queue", "a plain note on the deploy script"]
+_NOTED = "CASE " + " ".join(f"WHEN id % 15 = {3 * n} THEN '{note} ' || id" for n, note in enumerate(_NOTES)) + " ELSE text END"
+_NOTED_SQL = f"{M}, noted AS (SELECT * REPLACE ({_NOTED} AS text) FROM memories)"
+_TORN = "((cos >= {n} AND regexp_matches(x, '\\bno longer\\b') <> regexp_matches(y, '\\bno longer\\b')) OR (cos >= {s} AND ((regexp_matches(x, 'works now') AND regexp_matches(y, 'still broken')) OR (regexp_matches(y, 'works now') AND regexp_matches(x, 'still broken')))))".format
+
+
+def _noted(spark, sf) -> DataFrame:
+    return memories(spark, sf).withColumn("text", F.expr(_NOTED))
+
+
+_KEY_SQL = "trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'))".format
+
+
+@query(f"""{_NOTED_SQL}, b AS (SELECT * FROM noted WHERE id % 7 = 0), s AS (SELECT * FROM noted WHERE id % 7 <> 0),
+ exact AS (SELECT b.id AS new_id, min(s.id) AS old_id FROM b JOIN s ON b.project = s.project AND b.text = s.text GROUP BY b.id),
+ loose AS (SELECT b.id AS new_id, min(s.id) AS old_id FROM b JOIN s ON b.project = s.project AND {_KEY_SQL('b.text')} = {_KEY_SQL('s.text')} GROUP BY b.id),
+ c AS (SELECT b.id AS new_id, s.id AS old_id, round({DOT(a='b.embedding', b='s.embedding')}, 6) AS cos, b.sigma AS sx, s.sigma AS sy, b.text AS x, s.text AS y, b.memory_type, b.cluster_id = s.cluster_id AS together FROM b JOIN s ON b.project = s.project WHERE b.embedding IS NOT NULL AND s.embedding IS NOT NULL),
+ k AS (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY cos DESC, old_id) AS r FROM c WHERE cos > 0.1 QUALIFY r <= 10),
+ j AS (SELECT new_id, arg_min(old_id, r) FILTER ({_TORN(n=0.2, s=0.15)}) AS torn, arg_min(old_id, r) FILTER ((cos >= CASE WHEN coalesce(together, false) THEN -2.0 WHEN memory_type = 'session' THEN 0.40 ELSE 0.45 END)
+   AND 64 / 2.0 * ln(((sx + sy) / 2 + 1e-7) / (sqrt(sx * sy) + 1e-7)) < CASE WHEN coalesce(together, false) THEN 0.20 ELSE 0.08 END) AS fits FROM k GROUP BY new_id)
+ SELECT b.id AS new_id, CASE WHEN coalesce(exact.old_id, loose.old_id) IS NOT NULL THEN 'merged' WHEN torn IS NOT NULL THEN 'contradiction' WHEN fits IS NOT NULL THEN 'merged' ELSE 'spawned' END AS action, coalesce(exact.old_id, loose.old_id, torn, fits) AS old_id
+ FROM b LEFT JOIN exact ON exact.new_id = b.id LEFT JOIN loose ON loose.new_id = b.id LEFT JOIN j ON j.new_id = b.id""")
 def write_decisions(spark, sf):
-    m = memories(spark, sf)
-    return writes.decide(m.filter("id % 10 = 0"), m.filter("id % 10 <> 0"), 0.1, 0.40, 0.45, dims=64)
+    m = _noted(spark, sf)
+    return writes.decide(m.filter("id % 7 = 0"), m.filter("id % 7 <> 0"), 0.1, 0.40, 0.45, negation=0.2, status=0.15, dims=64)
 
 
-@query(rf"{M}, p AS (SELECT a.id AS a, b.id AS b, a.text AS x, b.text AS y, round({DOT(a='a.embedding', b='b.embedding')}, 6) AS cos FROM memories a JOIN memories b ON a.domain = b.domain AND a.id < b.id WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL) SELECT a, b FROM p WHERE cos > 0.3 AND length(x) % 2 <> length(y) % 2")
+@query(f"""{_NOTED_SQL}, p AS (SELECT a.id AS a, b.id AS b, a.text AS x, b.text AS y, round({DOT(a='a.embedding', b='b.embedding')}, 6) AS cos FROM noted a JOIN noted b ON a.domain = b.domain AND a.id < b.id WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL)
+ SELECT a, b FROM p WHERE cos > 0.1 AND {_TORN(n=0.2, s=0.15)}""")
 def contradiction_pairs(spark, sf):
-    m = memories(spark, sf)
-    odd = lambda c: m.select(F.col("id").alias(c), (F.char_length("text") % 2).alias(f"odd_{c}"))
-    return similarity.theta_pairs(m, "domain", 0.3).join(odd("a"), "a").join(odd("b"), "b").filter("odd_a <> odd_b").select("a", "b")
+    m = _noted(spark, sf)
+    side = lambda c: m.select(F.col("id").alias(c), F.col("text").alias(f"t{c}"))
+    both = similarity.theta_pairs(m, "domain", 0.1).join(side("a"), "a").join(side("b"), "b")
+    return both.filter(text.contradicts(F.col("ta"), F.col("tb"), F.col("cos"), 0.2, 0.15)).select("a", "b")
 
 
 @query("SELECT doc_id FROM documents WHERE instr(lower(text), 'and') > 0 AND instr(lower(text), 'the') > 0 AND source = 'src3'")
@@ -576,9 +746,17 @@ def pages_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.md5(text_sources.page_text(F.col("html"))).alias("text_md5"))
 
 
-@query()
+@query(r"""WITH l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE instr(text, '```') = 0),
+ t AS (SELECT *, CASE WHEN n % 3 = 1 THEN line ELSE trim(line) END AS v FROM l)
+ SELECT id, CAST(n + 3 AS INTEGER) AS n, md5(CASE WHEN n % 3 = 1 THEN trim(line) ELSE 'Notes ' || id || ': ' || trim(line) END) AS item FROM t
+ WHERE CASE WHEN n % 3 = 1 THEN length(trim(line)) > 40 AND NOT regexp_matches(line, '^([#|]|\s{2,}[-*]\s|[-*]\s|\d+\.\s)') AND NOT regexp_full_match(trim(line), '[-*_]{3,}') ELSE length(trim(line)) >= 20 END""")
 def markdown_items(spark, sf):
-    return text_sources.markdown_items(table(spark, sf, "documents").withColumnRenamed("doc_id", "id"))
+    """Documents as notes: front matter, a header, and of three lines one as it is, one as a bullet, one as a task."""
+    docs = table(spark, sf, "documents").filter(~F.col("text").contains("```"))
+    mark = lambda x, i: F.when(i % 3 == 0, x).when(i % 3 == 1, F.concat(F.lit("- "), x)).otherwise(F.concat(F.lit("* [x] "), x))
+    lines = F.array_join(F.transform(F.split("text", "\n", -1), mark), "\n")
+    note = F.concat(F.lit("---\ntitle: x\n---\n## Notes "), F.col("doc_id").cast("string"), F.lit("\n| a | b |\n```\n- inside code, not an item of the notes\n```\n"), lines)
+    return text_sources.markdown_items(docs.select(F.col("doc_id").alias("id"), note.alias("text"))).select("id", (F.col("n") - 1).cast("int").alias("n"), F.md5("item").alias("item"))
 
 
 # -- streams ---------------------------------------------------------------------------------
