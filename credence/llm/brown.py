@@ -87,6 +87,19 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInPandas(run, "block long, ids array<string>, held_out array<boolean>, lens binary, tokens binary, words array<string>, counts array<long>")
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers as the differences of their order, deflated: most counts, classes and places are close to the one before."""
+    x = x.astype(np.int64)
+    d = np.diff(x, prepend=0)
+    kind = np.int16 if not len(d) or max(-int(d.min()), int(d.max())) < 1 << 15 else np.int64
+    return kind().itemsize.to_bytes(1, "little") + zlib.compress(d.astype(kind).tobytes(), 1)
+
+
+def _plain(blob: bytes) -> np.ndarray:
+    kind = np.int16 if blob[0] == 2 else np.int64
+    return np.cumsum(np.frombuffer(zlib.decompress(blob[1:]), kind), dtype=np.int64)
+
+
 def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
     """First and last places of the runs of equal keys."""
     cuts = np.flatnonzero(np.diff(keys)) + 1
@@ -171,7 +184,7 @@ def joined(left: np.ndarray, right: np.ndarray, pull: np.ndarray) -> np.ndarray:
 
 
 def informed(blocks: DataFrame, core: dict[str, int], core_class: np.ndarray, table: np.ndarray, tasks: int) -> DataFrame:
-    """Blocks with ``c`` (int64) and ``class`` (int16, -1: unknown) of each of their words, as bytes.
+    """Blocks with ``c`` and ``class`` (-1: unknown) of each of their words, packed.
 
     A block sends each task the words it deals with, their counts and the classes next to
     them, in one row; the task adds them up, lets the words outside the core make their
@@ -188,7 +201,7 @@ def informed(blocks: DataFrame, core: dict[str, int], core_class: np.ndarray, ta
             for row in batch.itertuples(name="Row"):
                 tokens, first, held = _unpack(row)
                 known = np.fromiter((core.get(w, _OTHER) for w in row.words), np.int64, len(row.words))
-                cls = np.frombuffer(row.kind, np.int16).astype(np.int64) if again else core_class[known]
+                cls = _plain(row.kind) if again else core_class[known]
                 cls = np.where(cls < 0, _OTHER, cls)[tokens]
                 use = np.flatnonzero(~held & (known[tokens] == _OTHER))  # such a token has a next one: its document's end is in the core
                 contexts = np.concatenate([tokens[use].astype(np.int64) * 2 * width + _before(cls, first)[use], tokens[use].astype(np.int64) * 2 * width + width + cls[use + 1]])
@@ -201,8 +214,8 @@ def informed(blocks: DataFrame, core: dict[str, int], core_class: np.ndarray, ta
                     place[at] = np.arange(len(at))
                     mine = place[keys // (2 * width)] >= 0
                     yield pd.DataFrame({
-                        "task": [int(to[at[0]])], "block": [row.block], "words": ["\n".join([row.words[i] for i in at])], "at": [at.astype(np.int32).tobytes()], "c": [counts[at].astype(np.int64).tobytes()],
-                        "who": [place[keys[mine] // (2 * width)].astype(np.int32).tobytes()], "next": [(keys[mine] % (2 * width)).astype(np.uint16).tobytes()], "n": [n[mine].astype(np.uint32).tobytes()],
+                        "task": [int(to[at[0]])], "block": [row.block], "words": [zlib.compress("\n".join([row.words[i] for i in at]).encode(), 1)], "at": [_packed(at)], "c": [_packed(counts[at])],
+                        "who": [_packed(place[keys[mine] // (2 * width)])], "next": [zlib.compress((keys[mine] % (2 * width)).astype(np.uint16).tobytes(), 1)], "n": [_packed(n[mine])],
                     })
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -213,13 +226,13 @@ def informed(blocks: DataFrame, core: dict[str, int], core_class: np.ndarray, ta
         while held:
             _, rows = held.popitem()
             number = _Numbered()
-            ids = [np.fromiter(map(number.__getitem__, r.words.split("\n")), np.int64) for r in rows]
+            ids = [np.fromiter(map(number.__getitem__, zlib.decompress(r.words).decode().split("\n")), np.int64) for r in rows]
             counts = np.zeros(len(number), np.int64)
             for i, r in zip(ids, rows, strict=True):
-                counts[i] += np.frombuffer(r.c, np.int64)
-            who = np.concatenate([i[np.frombuffer(r.who, np.int32)] for i, r in zip(ids, rows, strict=True)])
-            near = np.concatenate([np.frombuffer(r.next, np.uint16) for r in rows])
-            n = np.concatenate([np.frombuffer(r.n, np.uint32) for r in rows])
+                counts[i] += _plain(r.c)
+            who = np.concatenate([i[_plain(r.who)] for i, r in zip(ids, rows, strict=True)])
+            near = np.concatenate([np.frombuffer(zlib.decompress(r.next), np.uint16) for r in rows])
+            n = np.concatenate([_plain(r.n) for r in rows])
             order = np.argsort(who, kind="stable")
             who, near, n = who[order], near[order], n[order]
             best = np.zeros(len(number), np.int16)
@@ -232,22 +245,22 @@ def informed(blocks: DataFrame, core: dict[str, int], core_class: np.ndarray, ta
                 best[number[w]] = core_class[core[w]]
             best[counts == 0] = -1
             for i, r in zip(ids, rows, strict=True):
-                yield pd.DataFrame({"block": [r.block], "at": [r.at], "c": [counts[i].tobytes()], "class": [best[i].tobytes()]})
+                yield pd.DataFrame({"block": [r.block], "at": [r.at], "c": [_packed(counts[i])], "class": [_packed(best[i])]})
 
     def collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list] = {}
         for batch in batches:
             for row in batch.itertuples(index=False):
-                held.setdefault(row[0], []).append([np.frombuffer(x, t) for x, t in zip(row[1:], (np.int32, np.int64, np.int16), strict=True)])
+                held.setdefault(row[0], []).append([_plain(x) for x in row[1:]])
         while held:
             block, answers = held.popitem()
             at, c, cls = (np.concatenate(x) for x in zip(*answers, strict=True))
             order = np.argsort(at)
-            yield pd.DataFrame({"block": [block], "c": [c[order].tobytes()], "class": [cls[order].tobytes()]})
+            yield pd.DataFrame({"block": [block], "c": [_packed(c[order])], "class": [_packed(cls[order])]})
 
     spark = blocks.sparkSession
     known = [F.col("class").alias("kind")] if again else []
-    sent = blocks.select("block", "lens", "tokens", "held_out", "words", "counts", *known).mapInPandas(send, "task int, block long, words string, at binary, c binary, who binary, next binary, n binary")
+    sent = blocks.select("block", "lens", "tokens", "held_out", "words", "counts", *known).mapInPandas(send, "task int, block long, words binary, at binary, c binary, who binary, next binary, n binary")
     told = sent.repartition(tasks, "task").mapInPandas(settle, "block long, at binary, c binary, class binary")
     answers = told.repartition(parts(spark), "block").mapInPandas(collect, "block long, c binary, class binary")
     return blocks.drop("c", "class").join(answers, "block")
@@ -255,7 +268,7 @@ def informed(blocks: DataFrame, core: dict[str, int], core_class: np.ndarray, ta
 
 def _words_of(row) -> tuple[np.ndarray, np.ndarray]:
     """Count and class of each word of a block."""
-    return np.frombuffer(row.c, np.int64), np.frombuffer(row.kind, np.int16).astype(np.int64)
+    return _plain(row.c), _plain(row.kind)
 
 
 def _class_bigrams(full: DataFrame, width: int) -> np.ndarray:

@@ -13,7 +13,8 @@ There are some more segments than a set may have to choose (``SPARE``), so that
 to take empty ones or those of a passage that many documents share.
 
 Equal sets are one class before anything is joined. Classes with a common signature
-form a bucket, whose members are linked star by star (``bucket_links``). A pair is
+form a bucket, whose members are compared with its smallest; in buckets that links have
+not joined then, all members of different components are (``bucket_links``). A pair is
 dropped unseen only where that is certain: by the sizes, or because counts of the
 elements in parts of the universe (a sketch of about ``n / 8`` bytes) differ by more
 than linked sets can. Verification intersects the whole sets. Nothing is capped.
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm.common import drop_materialised, materialise, row_of, stable
+from credence.llm.common import drop_materialised, materialise, parts, row_of, stable
 from credence.llm.components import bucket_links, components
 
 WIDTH = 5
@@ -50,6 +51,8 @@ PER_TASK = 3_000_000
 SPARE = 1.15
 #: Elements per part of the universe in a sketch, on average, and the fewest and most parts.
 LOAD, LEAST_LANES, MOST_LANES = 4, 32, 8192
+#: Members of a bucket that are compared in one task at most twice over.
+MEMBERS = 1024
 _WORDS = 300_000
 #: Shingles whose signatures are made at once, which bounds a task's arrays.
 STRIP = 800_000
@@ -320,6 +323,77 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return sized.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long")
 
 
+def cross_pairs(opened: DataFrame, classes: DataFrame, block: int = MEMBERS) -> DataFrame:
+    """Pairs (a, b) of a bucket whose roots differ and that sizes and sketches do not rule out.
+
+    A unit of work holds at most two blocks of about ``block`` members of a bucket; a
+    larger bucket is dealt to one unit for every two of its blocks. Members are
+    compared in memory, and only pairs that may be linked become rows.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            held.append(batch)
+            unit = ["bucket", "low", "high"]
+            last = batch[unit].iloc[-1].tolist()
+            if held[0][unit].iloc[0].tolist() != last:
+                rows = pd.concat(held, ignore_index=True)
+                open_ = (rows[unit] == last).all(axis=1)
+                yield from pairs_of(rows[~open_])
+                held = [rows[open_]]
+        if held:
+            yield from pairs_of(pd.concat(held, ignore_index=True))
+
+    def pairs_of(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        unit = rows[["bucket", "low", "high"]].to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero((unit[1:] != unit[:-1]).any(1)) + 1, [len(rows)]])
+        cls, root, n, own = (rows[c].to_numpy() for c in ("class", "root", "n", "own"))
+        sketches = rows["sketch"].tolist()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            low, high = unit[a][1:]
+            order = a + np.argsort(n[a:b], kind="stable")
+            until = np.searchsorted(n[order], DEN * n[order] // NUM, "right")  # linked sets are not much larger
+            counts: dict[int, np.ndarray] = {}
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            for i in range(len(order)):
+                x = order[i]
+                j = np.arange(i + 1, until[i])
+                j = j[root[order[j]] != root[x]]
+                if low != high:
+                    j = j[own[order[j]] != own[x]]
+                if not len(j):
+                    continue
+                lanes = 2 * len(sketches[x])
+                if lanes not in counts:  # the larger sets of the unit, in as many parts
+                    counts[lanes] = _folded([sketches[y] for y in order[i:]], lanes, i)
+                j = j[np.abs(counts[lanes][j] - counts[lanes][i]).sum(1, dtype=np.int64) <= difference(n[x], n[order[j]])]
+                if len(j):
+                    found.append((np.full(len(j), cls[x]), cls[order[j]]))
+            if found:
+                p, q = (np.concatenate(z) for z in zip(*found, strict=True))
+                yield pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)}).drop_duplicates()
+
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    dealt = opened.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(classes.select("class", F.col("n").alias("size"), "sketch"), "class").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = dealt.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "class", "root", F.col("size").alias("n"), "sketch")
+    sorted_ = units.repartition(parts(opened.sparkSession), "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    return sorted_.mapInPandas(run, "a long, b long")
+
+
+def _folded(sketches: list[bytes], lanes: int, before: int) -> np.ndarray:
+    """Rows of counts in ``lanes`` parts, behind ``before`` empty ones; the sets are at least as large as that of the first."""
+    out = np.zeros((before + len(sketches), lanes), np.int16)
+    sizes = np.fromiter(map(len, sketches), np.int64, len(sketches))
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        out[before + at] = _counts([sketches[i] for i in at], lanes)
+    return out
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: str, width: int = WIDTH) -> DataFrame:
     """The pairs (a, b) of classes whose sets are linked; the sets are made again for the classes of the pairs alone."""
 
@@ -370,7 +444,7 @@ def rooted_groups(docs: DataFrame, id_col: str, text_col: str, width: int = WIDT
         drop_materialised(close)
         return linked
 
-    links = bucket_links(members, verify)
+    links = bucket_links(members, verify, lambda opened: cross_pairs(opened, classes))
     drop_materialised(members)
     roots = components(links).withColumnRenamed("node", "class")
     drop_materialised(links)
