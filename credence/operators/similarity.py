@@ -65,6 +65,21 @@ def theta_pairs(rows: DataFrame, group: str, threshold: float, block: int = BLOC
     return _block_pairs(rows, group, block, True).mapInPandas(run, "a long, b long, cos double")
 
 
+def cross_pairs(left: DataFrame, right: DataFrame, group: str, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Pairs of a left and a right row of a group whose product exceeds the threshold: a, b, cos."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                a, b, cos = _products(row)
+                i, j = np.nonzero(cos > threshold)
+                yield pd.DataFrame({"a": a[i], "b": b[j], "cos": cos[i, j]})
+
+    one = _blocks(left, group, block).select("g", "b", "ids", "data")
+    two = _blocks(right, group, block).select("g", F.col("b").alias("other"), F.col("ids").alias("ids2"), F.col("data").alias("data2"))
+    return one.join(two, "g").mapInPandas(run, "a long, b long, cos double")
+
+
 def knn(rows: DataFrame, group: str, k: int, floor: float = -2.0, block: int = BLOCK) -> DataFrame:
     """The k nearest other rows of each row within its group: id, rank, other, cos."""
 

@@ -7,17 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from credence.functions import kernels, text
-from credence.operators.similarity import theta_pairs
+from credence.operators.similarity import cross_pairs
 
 
 def candidates(batch: DataFrame, corpus: DataFrame, floor: float, k: int = 10) -> DataFrame:
-    """Up to k nearest stored rows per incoming row of the same project: new_id, old_id, cos."""
-    both = batch.select("id", "project", "embedding").unionByName(corpus.select("id", "project", "embedding"))
-    pairs = theta_pairs(both, "project", floor)
-    new = batch.select(F.col("id").alias("new_id"))
-    way = lambda x, y: pairs.join(new.withColumnRenamed("new_id", x), x).join(new.withColumnRenamed("new_id", y), y, "left_anti").select(F.col(x).alias("new_id"), F.col(y).alias("old_id"), "cos")
+    """Up to k nearest stored rows per incoming row of the same project: new_id, old_id, cos. Stored rows are not compared with each other."""
+    pairs = cross_pairs(batch, corpus, "project", floor).select(F.col("a").alias("new_id"), F.col("b").alias("old_id"), "cos")
     by = Window.partitionBy("new_id").orderBy(F.desc("cos"), "old_id")
-    return way("a", "b").unionByName(way("b", "a")).withColumn("n", F.row_number().over(by)).filter(F.col("n") <= k).drop("n")
+    return pairs.withColumn("n", F.row_number().over(by)).filter(F.col("n") <= k).drop("n")
 
 
 def merge_ceiling(kind: Column, same_cluster: Column, session: float = 0.90, other: float = 0.97) -> Column:
@@ -31,9 +28,14 @@ def decide(batch: DataFrame, corpus: DataFrame, floor: float = 0.85, session: fl
     Equal text, then equal text but for case and punctuation, then a contradiction,
     then the nearest row whose confidence is close enough; else the row is inserted.
     """
-    exact = batch.select(F.col("id").alias("new_id"), "project", "text").join(corpus.select(F.col("id").alias("old_id"), "project", "text"), ["project", "text"]).groupBy("new_id").agg(F.min("old_id").alias("exact"))
-    keyed = lambda d, n: d.select(F.col("id").alias(n), "project", text.exact_key(F.col("text")).alias("k"))
-    loose = keyed(batch, "new_id").join(keyed(corpus, "old_id"), ["project", "k"]).groupBy("new_id").agg(F.min("old_id").alias("loose"))
+
+    def equal(key: Column, name: str) -> DataFrame:
+        """The smallest stored id of each key: keys are hashed (two hashes) and reduced to one row each before they are joined."""
+        hashed = lambda d, n: d.select(F.col("id").alias(n), F.xxhash64("project", key).alias("k1"), F.xxhash64(F.lit(1), "project", key).alias("k2"), key.isNotNull().alias("known")).filter("known").drop("known")
+        first = hashed(corpus, "old_id").groupBy("k1", "k2").agg(F.min("old_id").alias(name))
+        return hashed(batch, "new_id").join(first, ["k1", "k2"]).select("new_id", name)
+
+    exact, loose = equal(F.col("text"), "exact"), equal(text.exact_key(F.col("text")), "loose")
     side = lambda d, n, p: d.select(F.col("id").alias(n), *[F.col(c).alias(f"{p}_{c}") for c in ("text", "sigma", "cluster_id", "memory_type")])
     near = candidates(batch, corpus, floor).join(side(batch, "new_id", "n"), "new_id").join(side(corpus, "old_id", "o"), "old_id")
     torn = text.contradicts(F.col("n_text"), F.col("o_text"), F.col("cos"), negation, status)

@@ -762,14 +762,26 @@ def markdown_items(spark, sf):
 # -- streams ---------------------------------------------------------------------------------
 
 
-@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY 1, 2")
 def hourly_events_stream(spark, sf):
-    return state.drain(spark, sf, "events", lambda e: e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("hour"), "event_type", "n"), "complete")
+    """Hours that the watermark has closed."""
+    return state.drain(spark, sf, "events", state.hourly)
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def dedup_stream(spark, sf):
-    return state.drain(spark, sf, "events", lambda e: e.select("user_id", "event_type").dropDuplicates())
+    """State is kept for 60 days of event time, longer than the events last."""
+    return state.drain(spark, sf, "events", lambda e: state.first_writes(e.select("user_id", "event_type", "ts"), ["user_id", "event_type"], keep="60 days")).select("user_id", "event_type")
+
+
+_SESSIONS = """WITH g AS (SELECT *, CASE WHEN date_diff('microsecond', lag(ts) OVER (PARTITION BY user_id ORDER BY ts), ts) < 1800000000 THEN 0 ELSE 1 END AS opens FROM events),
+ s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)"""
+
+
+@query(f"{_SESSIONS} SELECT user_id, min(ts) AS started, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 30 MINUTE")
+def session_events_stream(spark, sf):
+    """Sessions that the watermark has closed."""
+    return state.drain(spark, sf, "events", state.user_sessions)
 
 
 @query("""WITH g AS (SELECT *, CASE WHEN date_diff('microsecond', lag(ts) OVER (PARTITION BY user_id ORDER BY ts), ts) < 1800000000 THEN 0 ELSE 1 END AS opens FROM events),

@@ -22,15 +22,23 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder all executors share (``spark.checkpoint.dir``), so that it is computed once.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share (``spark.checkpoint.dir``).
 
     Where the setting is missing, a private folder is made in local mode; on a cluster that is an error.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and context.master != "local" and not context.master.startswith("local["):
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir is not set: executors need a folder they all share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="credence-"))
+        named = tempfile.mkdtemp(prefix="credence-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, so that it is computed once."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

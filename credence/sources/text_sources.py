@@ -94,6 +94,11 @@ def extraction_filter(log: Column, least: int = 25, most: int = 60_000) -> Colum
     return F.substring(F.array_join(parts, " | "), 1, most)
 
 
+# Openings of what a model says before its facts.
+BOILERPLATE = r"(?i)^(here are|extracted)"
+
+
 def good_fact(fact: Column) -> Column:
-    t = F.trim(fact)
-    return (F.char_length(t) >= 20) & ~t.rlike(r"^[\[{\"]") & (F.size(F.split(t, r"\s+")) >= 4)
+    """Twenty characters and four words or more, neither JSON nor an introduction."""
+    t = F.btrim(fact, F.lit(text.SPACE))
+    return (F.char_length(t) >= 20) & ~t.rlike(r"^[\[{]") & ~t.rlike(BOILERPLATE) & (F.size(F.split(t, " ")) >= 4)

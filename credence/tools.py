@@ -15,10 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credence import ai
-from credence.functions import kernels, text
+from credence.functions import client, kernels, text
 from credence.operators import analytics, candidates, clustering, maintenance, retrieval, scoring, similarity, writes
 from credence.operators.binding import in_scope, is_valid
-from credence.sources import text_sources
+from credence.session import checkpointed
+from credence.sources import state_tables, text_sources
 
 
 @dataclass
@@ -49,18 +50,57 @@ def _records(store: Store, rows: DataFrame, project: str | None, intensity: Colu
 
 
 def _store(store: Store, rows: DataFrame, project: str | None = None, **kw) -> Store:
-    """Decide and apply: merged rows get the new text and a sharper sigma, contradicted ones are flagged, the rest is added."""
-    new = _records(store, rows, project, **kw).dropDuplicates(["id"])
+    """Decide and apply.
+
+    A merged record takes over the newest text with its vector and domain (a session
+    also makes it a session) and gets a sharper sigma; a contradicted one is flagged;
+    the rest is added, with the first row of its history and an edge to be judged to
+    each record it nearly merged with.
+    """
+    new = checkpointed(_records(store, rows, project, **kw).dropDuplicates(["id"]))  # the batch and what becomes of it are read several times
     old = store["memories"]
-    acts = writes.decide(new, old, dims=64)
+    acts = checkpointed(writes.decide(new, old, dims=64))
     named = new.join(acts.withColumnRenamed("new_id", "id"), "id")
-    merged = named.filter("action = 'merged'").groupBy(F.col("old_id").alias("id")).agg(F.max_by("text", "id").alias("text"))
+    last = F.max_by(F.struct("text", "embedding", "domain", F.when(F.col("memory_type") == "session", "session").alias("memory_type")), "id")
+    merged = named.filter("action = 'merged'").groupBy(F.col("old_id").alias("id")).agg(last.alias("r")).select("id", "r.*").withColumn("last_accessed", store.clock)
     torn = named.filter("action = 'contradiction'").select(F.col("old_id").alias("id")).distinct().withColumn("contradiction", F.lit(True))
-    kept = maintenance.merge_columns(maintenance.merge_columns(old, merged, ["text"]), torn, ["contradiction"])
+    kept = maintenance.merge_columns(maintenance.merge_columns(old, merged, ["text", "embedding", "domain", "memory_type", "last_accessed"]), torn, ["contradiction"])
     hit = merged.select("id", F.lit(True).alias("__m"))
     kept = kept.join(hit, "id", "left").withColumn("sigma", F.when(F.col("__m"), kernels.kalman_sigma(F.col("sigma"), F.col("sigma"))).otherwise(F.col("sigma"))).withColumn("access_count", F.col("access_count") + F.coalesce(F.col("__m").cast("int"), F.lit(0))).drop("__m")
     added = named.filter("action <> 'merged'").select(*[c for c in new.columns])
-    return store.with_(memories=kept.unionByName(added, allowMissingColumns=True), actions=acts)
+    more = {"memories": kept.unionByName(added, allowMissingColumns=True), "actions": acts}
+    if "history" in store.tables:
+        begun = added.select("id", F.lit(0).cast("long").alias("n"), F.col("sigma").cast("double").alias("sigma"))
+        more["history"] = store["history"].unionByName(begun.join(store["history"].select("id"), "id", "left_anti"), allowMissingColumns=True)
+    if "relations" in store.tables:
+        near = checkpointed(writes.near_misses(writes.candidates(added, old, 0.85)).select("from_id", "to_id", "relation_type"))
+        more["relations"] = store["relations"].unionByName(near.join(store["relations"].select("from_id", "to_id"), ["from_id", "to_id"], "left_anti"), allowMissingColumns=True)
+    return store.with_(**more)
+
+
+def _distinct_items(store: Store, items: DataFrame, above: float = 0.92) -> DataFrame:
+    """Items (id, n, text) of which none resembles an earlier one of its source; a source has few items."""
+    import numpy as np
+    import pandas as pd
+
+    embedder = store.embedder
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("n", ignore_index=True)
+        vectors = np.asarray(embedder(pdf["text"].tolist()), np.float64)
+        kept: list[int] = []
+        for i in range(len(pdf)):
+            if not kept or (vectors[kept] @ vectors[i]).max() <= above:
+                kept.append(i)
+        return pdf.iloc[kept][["id", "n", "text"]]
+
+    kind = items.schema["id"].dataType.simpleString()
+    return items.select("id", F.col("n").cast("long").alias("n"), "text").groupBy("id").applyInPandas(fold, f"id {kind}, n long, text string")
+
+
+def _archived(store: Store, ids: DataFrame, path: str | None) -> DataFrame:
+    """Ids that may be deleted: all, or those whose records were written to the archive first."""
+    return ids if path is None else maintenance.archive(store["memories"].join(ids, "id", "left_semi"), path, store.clock)
 
 
 def memory_store(store: Store, rows: DataFrame, project: str | None = None, emotional_intensity: float = 0.0, memory_type: str = "episodic") -> Store:
@@ -130,11 +170,20 @@ def memory_orphan_check(store: Store, repair: bool = False) -> DataFrame | Store
     return store.with_(memories=rows.withColumn("embedding", F.coalesce("embedding", ai.embedding_column(store.embedder, F.col("text")))))
 
 
-def memory_judge(store: Store, floor: float = 0.70) -> Store:
-    """Judge near pairs without a settled relation; the superseded side's validity ends."""
+def memory_judge(store: Store, floor: float = 0.70, memory_id: int | str | None = None, top_k: int = 5) -> Store:
+    """Judge near pairs without a settled relation; the superseded side's validity ends.
+
+    With ``memory_id`` (an id or its first eight characters) only the ``top_k`` nearest of that record are judged.
+    """
     rows = store["memories"]
     settled = store["relations"].filter("relation_type <> 'pending_judge'").select(F.least("from_id", "to_id").alias("a"), F.greatest("from_id", "to_id").alias("b")).distinct()
-    pairs = similarity.theta_pairs(rows, "project", floor).join(settled, ["a", "b"], "left_anti")
+    if memory_id is None:
+        pairs = similarity.theta_pairs(rows, "project", floor)
+    else:
+        asked = by_id(rows, memory_id)
+        near = writes.candidates(asked, rows.join(asked.select("id"), "id", "left_anti"), floor, top_k)
+        pairs = near.select(F.least("new_id", "old_id").alias("a"), F.greatest("new_id", "old_id").alias("b"), "cos")
+    pairs = pairs.join(settled, ["a", "b"], "left_anti")
     side = lambda c: rows.select(F.col("id").alias(c), F.col("text").alias(f"t{c}"), F.col("ts").alias(f"ts_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     older_a = F.col("ts_a") <= F.col("ts_b")
@@ -146,8 +195,8 @@ def memory_judge(store: Store, floor: float = 0.70) -> Store:
 
 
 def memory_capture_passive(store: Store, notes: DataFrame, project: str | None = None) -> Store:
-    items = text_sources.section_items(notes, "id", "text").select(F.col("item").alias("text"))
-    return _store(store, items, project)
+    items = text_sources.section_items(notes, "id", "text").select("id", "n", F.col("item").alias("text"))
+    return _store(store, _distinct_items(store, items), project)
 
 
 def memory_timeline(store: Store, domain: str | None = None, limit: int = 20) -> DataFrame:
@@ -164,8 +213,17 @@ def memory_belief_drift_backfill(store: Store, limit: int = 300) -> DataFrame:
     return analytics.backfill(store["memories"], store["history"], limit)
 
 
-def memory_delete(store: Store, id: int) -> Store:
-    return _without(store, store["memories"].filter(F.col("id") == id).select("id"))
+def memory_delete(store: Store, id: int | str, archive: str | None = None) -> Store:
+    return _without(store, _archived(store, by_id(store["memories"], id).select("id"), archive))
+
+
+def by_id(rows: DataFrame, id: int | str) -> DataFrame:
+    """The row of an id, or the rows whose id begins with a string of eight characters or more."""
+    if isinstance(id, int):
+        return rows.filter(F.col("id") == id)
+    if len(id) < 8:
+        return rows.filter(F.col("id").cast("string") == id)
+    return rows.filter(F.col("id").cast("string").startswith(id))
 
 
 def memory_update(store: Store, id: int, new_text: str) -> Store:
@@ -175,14 +233,17 @@ def memory_update(store: Store, id: int, new_text: str) -> Store:
 
 
 def memory_extract_and_store(store: Store, logs: DataFrame, project: str | None = None, most: int = 12) -> Store:
-    """Facts of logs (id, text) by rule: clean parts, at most ``most`` per log."""
+    """Facts of logs (id, text) by rule: clean parts, at most ``most`` per log, none that repeats another; two or more also make a session record."""
     parts = logs.select("id", F.posexplode(F.split(text_sources.extraction_filter(F.col("text")), r" \| ")).alias("n", "fact"))
-    facts = parts.filter(text_sources.good_fact(F.col("fact"))).filter(F.col("n") < most)
-    return _store(store, facts.select(text.redact(F.col("fact")).alias("text")), project)
+    clean = parts.filter(F.col("n") < most).filter(text_sources.good_fact(F.col("fact")))
+    facts = _distinct_items(store, clean.select("id", "n", text.redact(F.col("fact")).alias("text")))
+    said = facts.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]).alias("facts"))
+    summary = said.select(client.session_summary(F.col("facts"), F.to_date(store.clock)).alias("text")).filter(F.col("text").isNotNull())
+    return _store(_store(store, facts, project), summary, project, intensity=0.9, kind=F.lit("session"))
 
 
-def memory_bulk_delete(store: Store, pattern: str | None = None, project: str | None = None) -> Store:
-    return _without(store, maintenance.bulk_pattern(store["memories"], pattern, project).select("id"))
+def memory_bulk_delete(store: Store, pattern: str | None = None, project: str | None = None, archive: str | None = None) -> Store:
+    return _without(store, _archived(store, maintenance.bulk_pattern(store["memories"], pattern, project).select("id"), archive))
 
 
 def memory_dedupe(store: Store, dry_run: bool = False) -> DataFrame | Store:
@@ -216,23 +277,50 @@ def memory_rebuild_domains(store: Store, targeted: bool = False, merge_threshold
     return store.with_(memories=maintenance.merge_columns(rows, new.select("id", name.alias("domain")), ["domain"]))
 
 
-def memory_retag_projects(store: Store, classify: Callable[[str, list[str]], str | None] | None = None) -> Store:
-    """Default-project rows move to a project whose name their text holds."""
+def memory_retag_projects(store: Store, classify: Callable[[Column, Column], Column] | None = None) -> Store:
+    """Default-project rows move to a project whose name their text holds, or that ``classify`` (of the text and all names) gives."""
     rows = store["memories"]
     names = rows.filter(F.col("project") != store.default).select(F.col("project").alias("target")).distinct()
-    hits = rows.filter(F.col("project") == store.default).select("id", F.explode(text.tokens(F.col("text"))).alias("target")).join(names, "target").groupBy("id").agg(F.min("target").alias("project"))
+    own = rows.filter(F.col("project") == store.default)
+    if classify is not None:
+        listed = names.agg(F.array_sort(F.collect_set("target")).alias("names"))  # one row
+        asked = own.join(F.broadcast(listed)).select("id", classify(F.col("text"), F.col("names")).alias("project"), "names")
+        hits = asked.filter(F.array_contains("names", F.col("project"))).select("id", "project")
+    else:
+        hits = own.select("id", F.explode(text.tokens(F.col("text"))).alias("target")).join(names, "target").groupBy("id").agg(F.min("target").alias("project"))
     return store.with_(memories=maintenance.merge_columns(rows, hits, ["project"]))
 
 
-def memory_build_entities(store: Store) -> Store:
-    """Entities by rule from all records, inserted where absent."""
-    found = store["memories"].select(F.col("id").alias("memory_id"), F.explode(text.entity_tokens(F.col("text"))).alias("name"))
+def _with_entities(store: Store, rows: DataFrame) -> Store:
+    found = rows.select(F.col("id").alias("memory_id"), F.explode(text.entity_tokens(F.substring("text", 1, 300))).alias("name"))
     links = found.select("memory_id", text.entity_id(F.lit("term"), F.col("name")).alias("entity_id")).distinct()
     return store.with_(entities=store["entities"].unionByName(links.join(store["entities"], ["memory_id", "entity_id"], "left_anti")))
 
 
+def memory_build_entities(store: Store) -> Store:
+    """Entities by rule from all records, inserted where absent."""
+    return _with_entities(store, store["memories"])
+
+
 def memory_process_entity_queue(store: Store, most: int = 50) -> Store:
-    return memory_build_entities(store)
+    """Entities of the oldest ``most`` queued records (id, text, created_at), which leave the queue; of all records where there is no queue."""
+    if "entity_queue" not in store.tables:
+        return memory_build_entities(store)
+    taken, rest = state_tables.drained(store["entity_queue"], most)
+    return _with_entities(store, taken).with_(entity_queue=rest)
+
+
+def drain_pending(store: Store, most: int = 50, stopped: bool = False) -> tuple[Store, dict]:
+    """Queued facts and logs (id, kind, text, project, created_at), oldest first: stored and taken off the queue, unless the quota has stopped it."""
+    queue = store["pending"]
+    if stopped:
+        return store, {"processed": 0, "remaining": queue.count(), "stopped": True}
+    taken, rest = state_tables.drained(queue, most)
+    for project in [r.project for r in taken.select("project").distinct().orderBy("project").collect()]:  # at most ``most``
+        mine = taken.filter(F.col("project") == project)
+        store = _store(store, mine.filter("kind = 'fact'").select("text"), project)
+        store = memory_extract_and_store(store, mine.filter("kind = 'raw_log'").select("id", "text"), project)
+    return store.with_(pending=rest), {"processed": taken.count(), "remaining": rest.count(), "stopped": False}
 
 
 def identity_profile_get(store: Store) -> DataFrame:
