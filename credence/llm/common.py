@@ -9,7 +9,9 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of a step: shuffle files go as soon as it has ended, since what it made is in
+#: the shared folder; rows reach Python in batches of bounded size.
+_STEP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,14 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _shuffles_end_with_the_step(spark: SparkSession):
-    """Shuffle files of the steps inside go as soon as each has ended: what they made is in the shared folder."""
-    before = spark.conf.get(_CLEAN)
-    spark.conf.set(_CLEAN, "true")
+def _step(spark: SparkSession):
+    before = {k: spark.conf.get(k, None) for k in _STEP}
+    for k, v in _STEP.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(_CLEAN, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -51,7 +54,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/credence/{name}-{uuid.uuid4().hex}"
-    with _shuffles_end_with_the_step(spark):
+    with _step(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -57,9 +57,10 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], c
     every round, are compared with the members of other components; in the last round
     every member has been a star. So pairs are only made where links have not yet
     joined a bucket, and no two similar members stay apart. No pair is verified twice.
-    ``cross`` may take the place of all rounds behind the star's: it gets the members
-    (bucket, class, root, n) of buckets that are still open and returns all their pairs
-    (a, b) of different roots that may be similar.
+    ``cross`` may make the pairs of a round: it gets the members (bucket, class, root, n)
+    of buckets that are still open, with ``was`` and ``leads`` (star before and now), and
+    returns the pairs (a, b) of a star and another member that may be similar, of
+    different roots, none of which was a star before.
     """
     first = members.filter("class != star").groupBy("class").agg(F.min("star").alias("star"))
     seen = materialise(first.select(F.col("star").alias("a"), F.col("class").alias("b")), "pairs")
@@ -76,25 +77,25 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], c
         most = opened.agg(F.max("n")).first()[0]
         if not most or stars >= most:
             break
-        last = cross is not None and stars > 0
-        more = most if last else max(1, stars * _MORE_STARS)
-        pairs = cross(opened.select("bucket", "class", "root", "n")) if last else _star_pairs(opened, stars, more)
+        more = max(1, stars * _MORE_STARS)
+        if cross is not None and stars > 1:
+            more = most  # rows are only made of pairs that may be similar: the rest is done at once
+        ranked = opened.select("bucket", "class", "root", "n", _leads(stars).alias("was"), _leads(more).alias("leads"))
+        pairs = _star_pairs(ranked) if cross is None else cross(ranked)
         new = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
         found = materialise(verify(new), "links")
         both, all_seen = materialise(links.unionByName(found), "links"), materialise(seen.unionByName(new), "pairs")
         _drop(links, found, seen, new)
         links, seen, stars = both, all_seen, more
-        if last:
-            break
     _drop(opened, roots, seen)
     return links
 
 
-def _star_pairs(opened: DataFrame, stars: int, more: int) -> DataFrame:
+def _star_pairs(ranked: DataFrame) -> DataFrame:
     """Pairs of the new stars of open buckets with members of other components."""
-    ranked = opened.select("bucket", "class", "root", _leads(stars).alias("was"), _leads(more).alias("leads")).filter("not was")
-    left = ranked.filter("leads").select("bucket", F.col("class").alias("a"), F.col("root").alias("ra"))
-    right = ranked.select("bucket", F.col("class").alias("b"), F.col("root").alias("rb"), "leads")
+    new = ranked.filter("not was")
+    left = new.filter("leads").select("bucket", F.col("class").alias("a"), F.col("root").alias("ra"))
+    right = new.select("bucket", F.col("class").alias("b"), F.col("root").alias("rb"), "leads")
     return left.join(right, "bucket").filter((F.col("ra") != F.col("rb")) & (~F.col("leads") | (F.col("a") < F.col("b"))))
 
 

@@ -324,7 +324,7 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def cross_pairs(opened: DataFrame, classes: DataFrame, block: int = MEMBERS) -> DataFrame:
-    """Pairs (a, b) of a bucket whose roots differ and that sizes and sketches do not rule out.
+    """Pairs (a, b) of a star and another member of a bucket whose roots differ and that sizes and sketches do not rule out.
 
     A unit of work holds at most two blocks of about ``block`` members of a bucket; a
     larger bucket is dealt to one unit for every two of its blocks. Members are
@@ -350,10 +350,12 @@ def cross_pairs(opened: DataFrame, classes: DataFrame, block: int = MEMBERS) ->
     def pairs_of(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         unit = rows[["bucket", "low", "high"]].to_numpy()
         cuts = np.concatenate([[0], np.flatnonzero((unit[1:] != unit[:-1]).any(1)) + 1, [len(rows)]])
-        cls, root, n, own = (rows[c].to_numpy() for c in ("class", "root", "n", "own"))
+        cls, root, n, own, leads = (rows[c].to_numpy() for c in ("class", "root", "n", "own", "leads"))
         sketches = rows["sketch"].tolist()
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             low, high = unit[a][1:]
+            if not leads[a:b].any() or (root[a:b] == root[a]).all():
+                continue
             order = a + np.argsort(n[a:b], kind="stable")
             until = np.searchsorted(n[order], DEN * n[order] // NUM, "right")  # linked sets are not much larger
             counts: dict[int, np.ndarray] = {}
@@ -362,6 +364,8 @@ def cross_pairs(opened: DataFrame, classes: DataFrame, block: int = MEMBERS) ->
                 x = order[i]
                 j = np.arange(i + 1, until[i])
                 j = j[root[order[j]] != root[x]]
+                if not leads[x]:
+                    j = j[leads[order[j]]]
                 if low != high:
                     j = j[own[order[j]] != own[x]]
                 if not len(j):
@@ -377,9 +381,9 @@ def cross_pairs(opened: DataFrame, classes: DataFrame, block: int = MEMBERS) ->
                 yield pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)}).drop_duplicates()
 
     blocks = F.ceil(F.col("n") / block).cast("int")
-    dealt = opened.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    dealt = opened.filter("not was").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     dealt = dealt.join(classes.select("class", F.col("n").alias("size"), "sketch"), "class").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = dealt.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "class", "root", F.col("size").alias("n"), "sketch")
+    units = dealt.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "class", "root", F.col("size").alias("n"), "leads", "sketch")
     sorted_ = units.repartition(parts(opened.sparkSession), "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
     return sorted_.mapInPandas(run, "a long, b long")
 
