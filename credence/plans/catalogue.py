@@ -618,7 +618,10 @@ def supersede_direction(spark, sf):
  SELECT id, ts, strftime(ts, '%Y-%m') AS month, CASE WHEN id IN (SELECT to_id FROM e WHERE relation_type = 'supersedes') THEN '[SUPERSEDED]' WHEN id IN (SELECT from_id FROM e WHERE relation_type = 'conflicts_with' UNION SELECT to_id FROM e WHERE relation_type = 'conflicts_with') THEN '[CONFLICT]' WHEN contradiction THEN '[FLAGGED]' ELSE '' END AS mark FROM n""")
 def timeline_marked(spark, sf):
     m = memories(spark, sf)
-    return analytics.timeline(m, analytics.relations(similarity.theta_pairs(m, "domain", 0.3), m, 0.38), 50)
+    newest = m.orderBy(F.desc("ts"), "id").limit(50)
+    touching = similarity.cross_pairs(newest, m, "domain", 0.3).filter("a <> b")  # only pairs of the rows that are shown
+    pairs = touching.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cos").distinct()
+    return analytics.timeline(m, analytics.relations(pairs, m, 0.38), 50)
 
 
 _HIST = "h AS (SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n, ts FROM events), s AS (SELECT id, n, greatest(0.5 * power(0.85, n), 0.15) AS sigma FROM h)"
