@@ -183,14 +183,15 @@ def joined(left: np.ndarray, right: np.ndarray, pull: np.ndarray) -> np.ndarray:
     return np.argmax(gain, 1).astype(np.int16)
 
 
-def informed(blocks: DataFrame, core: dict[str, int], core_class: np.ndarray, table: np.ndarray, tasks: int) -> DataFrame:
+def informed(blocks: DataFrame, core: dict[str, int], core_class: np.ndarray, table: np.ndarray, tasks: int) -> tuple[DataFrame, DataFrame]:
     """Blocks with ``c`` and ``class`` (-1: unknown) of each of their words, packed.
 
     A block sends each task the words it deals with, their counts and the classes next to
     them, in one row; the task adds them up, lets the words outside the core make their
     exchange step, and answers every block in one row. A word's count and class cross the
     network once per block that holds it, however often it stands there. Words have the
-    classes of the round before, if ``blocks`` has them.
+    classes of the round before, if ``blocks`` has them. The answers are written before
+    the blocks travel to them, and are returned to be dropped.
     """
     width = len(table)
     pull = attraction(table)
@@ -209,13 +210,18 @@ def informed(blocks: DataFrame, core: dict[str, int], core_class: np.ndarray, ta
                 to = np.fromiter((zlib.crc32(w.encode()) % tasks for w in row.words), np.int64, len(row.words))
                 counts = np.asarray(row.counts, np.int64)
                 order = np.argsort(to, kind="stable")
-                for at in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
-                    place = np.full(len(to), -1)
-                    place[at] = np.arange(len(at))
-                    mine = place[keys // (2 * width)] >= 0
+                starts = np.searchsorted(to[order], np.arange(tasks + 1))
+                place = np.empty(len(to), np.int64)  # of a word among those of its task
+                place[order] = np.arange(len(to)) - starts[to[order]]
+                whose = keys // (2 * width)
+                by_task = np.argsort(to[whose], kind="stable")
+                whose, near, n = whose[by_task], (keys[by_task] % (2 * width)).astype(np.uint16), n[by_task]
+                cuts = np.searchsorted(to[whose], np.arange(tasks + 1))
+                for task in np.flatnonzero(np.diff(starts)).tolist():
+                    at, k = order[starts[task] : starts[task + 1]], slice(cuts[task], cuts[task + 1])
                     yield pd.DataFrame({
-                        "task": [int(to[at[0]])], "block": [row.block], "words": [zlib.compress("\n".join([row.words[i] for i in at]).encode(), 1)], "at": [_packed(at)], "c": [_packed(counts[at])],
-                        "who": [_packed(place[keys[mine] // (2 * width)])], "next": [zlib.compress((keys[mine] % (2 * width)).astype(np.uint16).tobytes(), 1)], "n": [_packed(n[mine])],
+                        "task": [task], "block": [row.block], "words": [zlib.compress("\n".join([row.words[i] for i in at.tolist()]).encode(), 1)], "at": [_packed(at)], "c": [_packed(counts[at])],
+                        "who": [_packed(place[whose[k]])], "next": [zlib.compress(near[k].tobytes(), 1)], "n": [_packed(n[k])],
                     })
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -262,8 +268,8 @@ def informed(blocks: DataFrame, core: dict[str, int], core_class: np.ndarray, ta
     known = [F.col("class").alias("kind")] if again else []
     sent = blocks.select("block", "lens", "tokens", "held_out", "words", "counts", *known).mapInPandas(send, "task int, block long, words binary, at binary, c binary, who binary, next binary, n binary")
     told = sent.repartition(tasks, "task").mapInPandas(settle, "block long, at binary, c binary, class binary")
-    answers = told.repartition(parts(spark), "block").mapInPandas(collect, "block long, c binary, class binary")
-    return blocks.drop("c", "class").join(answers, "block")
+    answers = materialise(told.repartition(parts(spark), "block").mapInPandas(collect, "block long, c binary, class binary"), "answers")
+    return blocks.drop("c", "class").join(answers, "block"), answers
 
 
 def _words_of(row) -> tuple[np.ndarray, np.ndarray]:
@@ -317,9 +323,10 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", core
     tasks = max(1, -(-v // WORDS_PER_TASK), -(-n // TOKENS_PER_TASK), parts(docs.sparkSession))
     drop_materialised(counts)
     for left in range(rounds, 0, -1):
-        made = informed(blocks, core, core_class, table, tasks)
+        made, answers = informed(blocks, core, core_class, table, tasks)
         full = materialise(made if left > 1 else made.drop("words", "counts"), "informed")
         drop_materialised(blocks)
+        drop_materialised(answers)
         follow = _class_bigrams(full, width)
         blocks, table = full, follow[:width]
     fields = ["ids", "held_out", "lens", "tokens", "c", F.col("class").alias("kind")]
