@@ -44,7 +44,7 @@ def _digest(edges: DataFrame) -> tuple:
 
 
 #: From one round to the next a bucket has so many times more stars.
-_MORE_STARS = 64
+_MORE_STARS = 16
 
 
 def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], cross: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -53,7 +53,7 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], c
     ``members`` is a written table: bucket, class, star (the bucket's smallest class),
     n (members of the bucket). ``verify`` keeps the similar ones of pairs (a, b).
     First each class is compared with one star. While a bucket's members lie in
-    different components, its star and then other members, 64 times as many in
+    different components, its star and then other members, 16 times as many in
     every round, are compared with the members of other components; in the last round
     every member has been a star. So pairs are only made where links have not yet
     joined a bucket, and no two similar members stay apart. No pair is verified twice.

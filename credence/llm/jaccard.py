@@ -53,7 +53,6 @@ SPARE = 1.15
 LOAD, LEAST_LANES, MOST_LANES = 4, 32, 8192
 #: Members of a bucket that are compared in one task at most twice over.
 MEMBERS = 1024
-_WORDS = 300_000
 #: Shingles whose signatures are made at once, which bounds a task's arrays.
 STRIP = 800_000
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -66,23 +65,60 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > _WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+#: Bytes of a text that are hashed at once, cut at white space; odd multiplier of the word hash and its inverse.
+_PIECE = 1 << 20
+_ODD = 0x9E3779B97F4A7C15
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
-_hashes = _Hashes()
+@functools.lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse modulo 2 ** 64."""
+    inverse = pow(_ODD, -1, 1 << 64)
+    out = []
+    for base in (_ODD, inverse):
+        steps = np.full(n, base, np.uint64)
+        steps[0] = 1
+        out.append(np.multiply.accumulate(steps))
+    return tuple(out)
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A hash of each word (run of anything but ASCII white space) of a text.
+
+    The sum of a word's bytes times rising powers of an odd number, which running sums
+    over the text give for all words at once, with the length, scrambled.
+    """
+    found, at = [], 0
+    while at < len(raw):
+        end = min(at + _PIECE, len(raw))
+        if end < len(raw):  # back to white space; a word longer than a piece is taken whole
+            cut = max(raw.rfind(c, at, end) for c in (b" ", b"\t", b"\n", b"\r", b"\x0b", b"\x0c"))
+            if cut >= at:
+                end = cut + 1
+            else:
+                ahead = [i for i in (raw.find(c, end) for c in (b" ", b"\t", b"\n", b"\r", b"\x0b", b"\x0c")) if i >= 0]
+                end = min(ahead, default=len(raw))
+        found.append(_piece_hashes(np.frombuffer(raw[at:end], np.uint8)))
+        at = end
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+
+def _piece_hashes(x: np.ndarray) -> np.ndarray:
+    inside = np.concatenate([[False], ~_BLANK[x], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    up, down = _powers(max(_PIECE, 1 << int(len(x) - 1).bit_length()))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up[: len(x)], dtype=np.uint64)])
+    return mix((sums[ends] - sums[starts]) * down[starts] + mix((ends - starts).astype(np.uint64)))
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct hashes of the word shingles of a whole text (ASCII letters in lower case)."""
-    words = (text or "").encode().lower().split()
-    if not words:
+    w = word_hashes((text or "").encode().lower())
+    if not len(w):
         return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     n = max(1, len(w) - width + 1)
     h = np.full(n, min(len(w), width), np.uint64)
     for k in range(min(len(w), width)):

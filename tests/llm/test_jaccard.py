@@ -119,3 +119,18 @@ def test_components_of_chains_and_stars(spark):
 def test_query_over_the_smallest_tables(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     assert got(queries.op6_jaccard_components(spark, "/root/testdata/sf0.001")) == brute(rows)
+
+
+def test_word_hashes_tell_words_apart_wherever_they_stand():
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abé\x00z", k=rng.randint(1, 6))) for _ in range(3000)] + ["x" * (jaccard._PIECE + 5), "a", "aa", "\x00", "\x00\x00"]
+    blanks = [" ", "\t", "\n", "\r", "\x0b", "\x0c", "  "]
+    text = "".join(w + rng.choice(blanks) for w in words)
+    for raw in (text, " " + text, text * 40):
+        got = jaccard.word_hashes(raw.encode())
+        assert len(got) == len(raw.encode().split())
+        named = {}
+        for w, h in zip(raw.encode().split(), got.tolist()):
+            assert named.setdefault(w, h) == h
+        assert len(set(named.values())) == len(named)
+    assert len(jaccard.word_hashes(b"")) == 0 and len(jaccard.word_hashes(b" \n ")) == 0
