@@ -6,9 +6,9 @@ BAND_ROWS`` orders of the shingles' hashes, the least one. Lines are cut into ch
 16 shingles, whose hashes and minima are plain generated code; the minima of a line's
 chunks are aggregated. The minima of a band name a bucket. In a bucket every class is
 compared with the smallest one, and only buckets that links have not joined go on
-(``bucket_links``). Verification is exact: the Jaccard similarity of all distinct
-character shingles of both lines, after the same over shorter hashes, with some slack,
-has ruled out most pairs. Components come from a distributed union-find; the
+(``bucket_links``). Pairs that a sketch of 2048 bits a line proves unlike never become
+rows. Verification is exact: the Jaccard similarity of all distinct character shingles
+of both lines. Components come from a distributed union-find; the
 first line of each component stays (by id, then place).
 
 Defined cases: null texts have no lines; lines without a word are never duplicates;
@@ -33,7 +33,6 @@ SHINGLE, THRESHOLD = 9, 0.75
 BANDS, BAND_ROWS = 9, 3
 #: Shingles of a chunk, and of the blocks that are cut into chunks.
 CHUNK, BLOCK = 16, 128
-_SHINGLES = rf"(?s)(?=(.{{{SHINGLE}}}))."
 _BLOCKS = rf"(?s)(?=(.{{{SHINGLE},{BLOCK + SHINGLE - 1}}})).{{1,{BLOCK}}}"
 
 
@@ -77,42 +76,74 @@ def signatures(lines: DataFrame, keys: list[str], line: str = "line") -> DataFra
     return signed.select(*keys, F.array(*[band(b) for b in range(BANDS)]).alias("bands"))
 
 
-def short_sets(lines: DataFrame) -> DataFrame:
-    """class, the 32-bit hashes of all its shingles, and their number, of lines (class, line)."""
-    hashed = chunks_of(lines, ["class"], "line")
-    chunk = F.array(*[F.shiftright(f"h{k}", 32).cast("int") for k in range(CHUNK)])
-    whole = hashed.groupBy("class").agg(F.array_distinct(F.flatten(F.collect_list(chunk))).alias("set"))
-    return whole.select("class", "set", F.size("set").alias("n"))
-
-
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once."""
     return F.get(F.transform(F.array(value), body), 0)
 
 
 def shingle_set(line: Column) -> Column:
-    """Hashes of all distinct character shingles of a line."""
-    all_ = F.when(F.char_length(line) <= SHINGLE, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(_SHINGLES), F.lit(1)))
-    return F.array_distinct(F.transform(all_, lambda s: F.xxhash64(s)))
+    """Hashes of all distinct character shingles of a line, each found by its place."""
+    last = F.greatest(F.lit(0), F.char_length(line) - SHINGLE)
+    hashes = lambda wide: F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(wide, 4 * i + 1, F.lit(4 * SHINGLE))))
+    return F.array_distinct(let(F.encode(line, "UTF-32"), hashes))
+
+
+#: Words of 64 bits in a sketch.
+WORDS = 32
+
+
+def sketches(texts: DataFrame) -> DataFrame:
+    """class, n (distinct shingles) and the words w0 to w31 of a sketch, of lines (class, line).
+
+    A bit holds whether the number of shingles that fall on it is odd, so two sketches
+    differ in no more bits than the sets in shingles.
+    """
+    sets = texts.select("class", shingle_set(F.col("line")).alias("set"))
+    each = sets.select("class", F.size("set").alias("n"), F.explode("set").alias("h"))
+    words = each.groupBy("class", "n", F.expr(f"h & {WORDS - 1}").alias("w")).agg(F.expr("bit_xor(shiftleft(1L, cast(shiftrightunsigned(h, 32) & 63 as int)))").alias("x"))
+    return words.groupBy("class", "n").agg(*[F.coalesce(F.bit_xor(F.when(F.col("w") == k, F.col("x"))), F.lit(0).cast("long")).alias(f"w{k}") for k in range(WORDS)])
+
+
+def side(table: DataFrame, c: str) -> DataFrame:
+    """The table with ``_c`` behind the names of its columns, and its class as ``c``."""
+    return table.select(*[F.col(x).alias(c if x == "class" else f"{x}_{c}") for x in table.columns])
+
 
+def may_link(threshold: float) -> Column:
+    """Of two ``side``s: false where sizes or sketches rule out that the lines are similar."""
+    most = (1 - threshold) * (F.col("n_a") + F.col("n_b")) + 1e-6  # (1 + threshold) times the largest difference of similar sets
+    differ = sum((F.bit_count(F.col(f"w{k}_a").bitwiseXOR(F.col(f"w{k}_b"))) for k in range(1, WORDS)), F.bit_count(F.col("w0_a").bitwiseXOR(F.col("w0_b"))))
+    return ((1 + threshold) * F.abs(F.col("n_a") - F.col("n_b")) <= most) & ((1 + threshold) * differ <= most)
 
-#: So many shingles short sets may miss by hashes that fall together.
-SLACK = 4
 
+def likely(pairs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) that sizes and sketches do not rule out; all that are similar stay."""
+    slim = known.drop("bands")
+    return pairs.join(side(slim, "a"), "a").join(side(slim, "b"), "b").filter(may_link(threshold)).select("a", "b")
 
-def likely(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) that sizes and short sets do not rule out; all that are similar stay."""
-    size = lambda c: sets.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"))
-    side = lambda c: sets.select(F.col("class").alias(c), F.col("set").alias(f"set_{c}"))
-    sized = pairs.join(size("a"), "a").join(size("b"), "b").filter(F.least("n_a", "n_b") + SLACK >= threshold * F.greatest("n_a", "n_b"))
-    counted = sized.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", F.size(F.array_intersect("set_a", "set_b")).alias("k"))
-    return counted.filter(F.col("k") + SLACK >= threshold * (F.col("n_a") + F.col("n_b") - F.col("k") - SLACK)).select("a", "b")
+
+def close_pairs(opened: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of a star and another member of a bucket whose roots differ and that sizes and sketches do not rule out.
+
+    A pair that shares several buckets is made in that of its first band alone. Where
+    all members of a bucket are stars, only those outside its commonest root are
+    compared with all others, since any pair of different roots holds one of them.
+    ``known``: class, bands, and the columns of ``sketches``.
+    """
+    new = opened.filter("not was").drop("was", "n")
+    roots = new.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.min("leads").alias("leads"))
+    common = roots.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("common"), F.min("leads").alias("whole"))
+    starred = new.join(common, "bucket").select("bucket", "class", "root", (F.col("leads") & (~F.col("whole") | (F.col("root") != F.col("common")))).alias("leads"))
+    members = starred.join(known, "class")
+    left, right = side(members.filter("leads"), "a"), side(members, "b")
+    first = F.coalesce(*[F.when(F.col("bands_a")[j] == F.col("bands_b")[j], F.col("bands_a")[j]) for j in range(BANDS)])
+    apart = (F.col("root_a") != F.col("root_b")) & (~F.col("leads_b") | (F.col("a") < F.col("b")))
+    return left.join(right, (F.col("bucket_a") == F.col("bucket_b")) & apart & (first == F.col("bucket_a")) & may_link(threshold)).select("a", "b")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) whose shingle sets are similar enough; ``texts`` holds class and line."""
-    side = lambda c: texts.select(F.col("class").alias(c), F.col("line").alias(f"line_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = pairs.join(side(texts, "a"), "a").join(side(texts, "b"), "b")
     sets = both.select("a", "b", F.struct(shingle_set(F.col("line_a")).alias("x"), shingle_set(F.col("line_b")).alias("y")).alias("s"))
     counted = sets.select("a", "b", let(F.col("s"), lambda s: F.struct(F.size(s["x"]).alias("m"), F.size(s["y"]).alias("n"), F.size(F.array_intersect(s["x"], s["y"])).alias("k"))).alias("c"))
     return counted.filter(F.col("c.k") >= threshold * (F.col("c.m") + F.col("c.n") - F.col("c.k"))).select("a", "b")
@@ -128,12 +159,14 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = materialise(members.join(stars, "bucket"), "shared")
     places = lines.groupBy("k1", "k2").agg(F.min(F.struct(F.col("id").isNull(), "id", "row", "at")).alias("first"))
     classes = materialise(places.join(signed.select("k1", "k2", "class"), ["k1", "k2"]), "classes")
+    bands = materialise(signed.select("class", "bands").join(shared.select("class").distinct(), "class", "left_semi"), "bands")
     drop_materialised(signed)
     involved = classes.join(shared.select("class").distinct(), "class", "left_semi").select("class", F.col("first.row").alias("row"), F.col("first.at").alias("at"))
     texts = materialise(lines.select("row", "at", "line").join(involved.hint("shuffle_hash"), ["row", "at"]).select("class", "line"), "texts")
-    sets = materialise(short_sets(texts), "sets")
-    links = bucket_links(shared, lambda pairs: verified(likely(pairs, sets, threshold), texts, threshold))
-    for step in (shared, texts, sets):
+    known = materialise(bands.join(sketches(texts), "class"), "sketches")
+    drop_materialised(bands)
+    links = bucket_links(shared, lambda pairs: verified(likely(pairs, known, threshold), texts, threshold), lambda opened: close_pairs(opened, known, threshold))
+    for step in (shared, texts, known):
         drop_materialised(step)
     roots = components(links).withColumnRenamed("node", "class")
     drop_materialised(links)

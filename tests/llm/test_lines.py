@@ -206,3 +206,28 @@ def test_members_of_a_bucket_that_its_star_does_not_join_are_linked(spark):
         parent[root(a)] = root(b)
     assert len({root(i) for i in range(1, n)}) == 10 and root(0) == 0
     assert len(seen) <= len(set(seen)) + 3 and not any(a == b for a, b in seen)  # the other bucket may repeat its three pairs
+
+
+def test_unlike_copies_of_one_line_do_not_become_pairs(spark, monkeypatch):
+    from credence.llm import components
+
+    rng = random.Random(12)
+    base = "".join(rng.choices("abcdefghij klmnop", k=450))
+    rows = []
+    for doc in range(160):
+        line = list(base)
+        for at in rng.sample(range(0, 441, 9), 7):  # about 60 shingles are lost
+            line[at : at + 2] = rng.choices("qrstuvwxyz", k=2)
+        rows.append((doc, "".join(line)))
+    rows += [(1000 + doc, text[:-3] + "XYZ") for doc, text in rows[:40]]
+    made, materialise = [], components.materialise
+
+    def counted(df, name):
+        out = materialise(df, name)
+        made.append(out.count() if name == "pairs" else 0)
+        return out
+
+    monkeypatch.setattr(components, "materialise", counted)
+    want, found = brute(rows), lines.line_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.at) for r in found if r.kept} == set(want.values()) and 100 < len(set(want.values())) <= 160
+    assert sum(made) < 0.2 * len(rows) ** 2 / 2
