@@ -15,9 +15,9 @@ to take empty ones or those of a passage that many documents share.
 Equal sets are one class before anything is joined. Classes with a common signature
 form a bucket, whose members are compared with its smallest; in buckets that links have
 not joined then, all members of different components are (``bucket_links``). A pair is
-dropped unseen only where that is certain: by the sizes, or because counts of the
-elements in parts of the universe (a sketch of about ``n / 8`` bytes) differ by more
-than linked sets can. Verification intersects the whole sets. Nothing is capped.
+dropped unseen only where that is certain: by the sizes, or because the parities of the
+elements in parts of the universe (a sketch of about ``n / 2`` bytes) differ in more
+places than linked sets can. Verification intersects the whole sets. Nothing is capped.
 
 Defined cases: null, empty and white-space texts have the empty set and are linked
 with nothing; texts shorter than a shingle are one shingle; ids may be null (a
@@ -49,8 +49,10 @@ SMALL = 96
 PER_TASK = 3_000_000
 #: Segments of a band over those that its largest set must choose.
 SPARE = 1.15
-#: Elements per part of the universe in a sketch, on average, and the fewest and most parts.
-LOAD, LEAST_LANES, MOST_LANES = 4, 32, 8192
+#: Bits of a sketch for each element, on average, and the fewest and most bits.
+DENSITY, LEAST_BITS, MOST_BITS = 4, 128, 65536
+#: Pairs that a task holds before it drops repeated ones and hands them on.
+HELD = 1_000_000
 #: Members of a bucket that are compared in one task at most twice over.
 MEMBERS = 1024
 #: Shingles whose signatures are made at once, which bounds a task's arrays.
@@ -221,21 +223,24 @@ def _in_band(tokens, owner, sizes, k, low, classes, own: bool) -> tuple:
 
 
 def sketch_of(s: np.ndarray) -> bytes:
-    """How many elements lie in each part of the universe, up to 15, as half bytes; the more elements, the more parts."""
-    lanes = 1 << max(0, round(np.log2(max(len(s), 1) / LOAD)))
-    lanes = min(max(lanes, LEAST_LANES), MOST_LANES)
-    counts = np.minimum(np.bincount((s % np.uint64(lanes)).astype(np.int64), minlength=lanes), 15).astype(np.uint8)
-    return (counts[: lanes // 2] | (counts[lanes // 2 :] << 4)).tobytes()
+    """Whether the number of elements in each part of the universe is odd; the more elements, the more parts."""
+    bits = min(max(1 << round(np.log2(max(len(s), 1) * DENSITY)), LEAST_BITS), MOST_BITS)
+    odd = np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _counts(sketches: list[bytes], lanes: int) -> np.ndarray:
-    """Rows of counts in ``lanes`` parts from sketches of one length; parts are powers of two, so two halves add up to a smaller one."""
-    packed = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
-    counts = np.concatenate([packed & 15, packed >> 4], 1).astype(np.int16)
-    while counts.shape[1] > lanes:
-        half = counts.shape[1] // 2
-        counts = np.minimum(counts[:, :half] + counts[:, half:], 15)
-    return counts
+def _words(sketches: list[bytes], words: int) -> np.ndarray:
+    """Rows of so many 64-bit words from sketches of one length; parts are powers of two, so two halves make a smaller one."""
+    rows = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
+    while rows.shape[1] > words:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
+
+
+def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits rows of words differ: in no more than the sets in elements."""
+    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
 
 
 def may_link(n_a: np.ndarray, a: list[bytes], n_b: np.ndarray, b: list[bytes]) -> np.ndarray:
@@ -246,8 +251,8 @@ def may_link(n_a: np.ndarray, a: list[bytes], n_b: np.ndarray, b: list[bytes]) -
     for x, y in {*map(tuple, kinds[out].tolist())}:
         at = np.flatnonzero(out & (kinds[:, 0] == x) & (kinds[:, 1] == y))
         for some in np.array_split(at, max(1, len(at) * max(x, y) // 4_000_000)):
-            left, right = (_counts([z[i] for i in some], 2 * min(x, y)) for z in (a, b))
-            out[some] = np.abs(left - right).sum(1, dtype=np.int64) <= most[some]
+            left, right = (_words([z[i] for i in some], min(x, y) // 8) for z in (a, b))
+            out[some] = _differ(left, right) <= most[some]
     return out
 
 
@@ -368,6 +373,21 @@ def cross_pairs(opened: DataFrame, classes: DataFrame, block: int = MEMBERS) ->
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A pair that several buckets of a task hold is one row, unless it is met again after ``HELD`` others."""
+        pairs, size = [], 0
+        for some in compared(batches):
+            pairs.append(some)
+            size += len(some)
+            if size >= HELD:
+                pairs = [pd.concat(pairs, ignore_index=True).drop_duplicates()]
+                size = len(pairs[0])
+                if size >= HELD // 2:
+                    yield from pairs
+                    pairs, size = [], 0
+        if pairs:
+            yield pd.concat(pairs, ignore_index=True).drop_duplicates()
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         for batch in batches:
             if not len(batch):
@@ -394,7 +414,7 @@ def cross_pairs(opened: DataFrame, classes: DataFrame, block: int = MEMBERS) ->
                 continue
             order = a + np.argsort(n[a:b], kind="stable")
             until = np.searchsorted(n[order], DEN * n[order] // NUM, "right")  # linked sets are not much larger
-            counts: dict[int, np.ndarray] = {}
+            folded: dict[int, np.ndarray] = {}
             found: list[tuple[np.ndarray, np.ndarray]] = []
             for i in range(len(order)):
                 x = order[i]
@@ -406,10 +426,10 @@ def cross_pairs(opened: DataFrame, classes: DataFrame, block: int = MEMBERS) ->
                     j = j[own[order[j]] != own[x]]
                 if not len(j):
                     continue
-                lanes = 2 * len(sketches[x])
-                if lanes not in counts:  # the larger sets of the unit, in as many parts
-                    counts[lanes] = _folded([sketches[y] for y in order[i:]], lanes, i)
-                j = j[np.abs(counts[lanes][j] - counts[lanes][i]).sum(1, dtype=np.int64) <= difference(n[x], n[order[j]])]
+                words = len(sketches[x]) // 8
+                if words not in folded:  # the larger sets of the unit, in as many parts
+                    folded[words] = _folded([sketches[y] for y in order[i:]], words, i)
+                j = j[_differ(folded[words][j], folded[words][i]) <= difference(n[x], n[order[j]])]
                 if len(j):
                     found.append((np.full(len(j), cls[x]), cls[order[j]]))
             if found:
@@ -424,13 +444,13 @@ def cross_pairs(opened: DataFrame, classes: DataFrame, block: int = MEMBERS) ->
     return sorted_.mapInPandas(run, "a long, b long")
 
 
-def _folded(sketches: list[bytes], lanes: int, before: int) -> np.ndarray:
-    """Rows of counts in ``lanes`` parts, behind ``before`` empty ones; the sets are at least as large as that of the first."""
-    out = np.zeros((before + len(sketches), lanes), np.int16)
+def _folded(sketches: list[bytes], words: int, before: int) -> np.ndarray:
+    """Rows of so many words, behind ``before`` empty ones; the sets are at least as large as that of the first."""
+    out = np.zeros((before + len(sketches), words), np.uint64)
     sizes = np.fromiter(map(len, sketches), np.int64, len(sketches))
     for size in np.unique(sizes):
         at = np.flatnonzero(sizes == size)
-        out[before + at] = _counts([sketches[i] for i in at], lanes)
+        out[before + at] = _words([sketches[i] for i in at], words)
     return out
 
 

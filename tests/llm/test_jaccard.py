@@ -134,3 +134,31 @@ def test_word_hashes_tell_words_apart_wherever_they_stand():
             assert named.setdefault(w, h) == h
         assert len(set(named.values())) == len(named)
     assert len(jaccard.word_hashes(b"")) == 0 and len(jaccard.word_hashes(b" \n ")) == 0
+
+
+def test_sketches_rule_out_unlike_sets_and_no_linked_ones():
+    rng = np.random.default_rng(8)
+    passed = {}
+    for n in (60, 130, 300, 330, 900, 5000):
+        for like in (0.76, 0.64):
+            sets = []
+            for _ in range(150):
+                x = rng.integers(0, 1 << 63, n).astype(np.uint64)
+                both = int(np.ceil(2 * n * like / (1 + like)))
+                sets.append((np.unique(x), np.unique(np.concatenate([x[:both], rng.integers(0, 1 << 63, n - both).astype(np.uint64)]))))
+            sizes = np.full(len(sets), n)
+            kept = jaccard.may_link(sizes, [jaccard.sketch_of(x) for x, _ in sets], sizes, [jaccard.sketch_of(y) for _, y in sets])
+            passed[n, like] = kept.mean()
+        small, large = np.unique(x[: n * 4 // 5]), np.unique(x)
+        assert jaccard.may_link(np.array([len(small)]), [jaccard.sketch_of(small)], np.array([n]), [jaccard.sketch_of(large)]).all()
+    assert all(v == 1 if like > 0.75 else n < 100 or v < 0.1 for (n, like), v in passed.items()), passed
+
+
+def test_a_pair_of_many_buckets_is_handed_on_once_by_each_task(spark):
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 1 << 63, 200).astype(np.uint64))] * 2
+    classes = spark.createDataFrame([(c, len(s), bytearray(jaccard.sketch_of(s))) for c, s in enumerate(sets)], "class long, n long, sketch binary")
+    rows = [(bucket, c, c, 2, False, True) for bucket in range(400) for c in (0, 1)]
+    opened = spark.createDataFrame(rows, "bucket long, class long, root long, n long, was boolean, leads boolean")
+    found = [(r.a, r.b) for r in jaccard.cross_pairs(opened, classes).collect()]
+    assert set(found) == {(0, 1)} and len(found) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
