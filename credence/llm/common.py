@@ -10,8 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Settings of a step: shuffle files go as soon as it has ended, since what it made is in
-#: the shared folder; rows reach Python in batches of bounded size.
-_STEP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20)}
+#: the shared folder; rows reach Python in batches of bounded size; sides of joins do not
+#: pass through the driver, where every one would cost buffers and threads.
+_STEP = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

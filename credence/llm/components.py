@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -16,13 +17,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round hangs all neighbours of a node on the smallest one, first the larger
     neighbours of every node, then the smaller ones. A node's smallest neighbour is
     aggregated before the shuffle, and adaptive execution splits the partition of a
-    node with very many neighbours. Every round is written to the shared folder.
+    node with very many neighbours. Every round is written to the shared folder; the
+    last is the one after which every node hangs on its root alone.
     """
     kept = materialise(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col("u") != F.col("v")).distinct(), "edges"
     )
-    state = _digest(kept)
-    while state[0]:
+    while not _hung(kept):
         both = kept.unionByName(kept.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -30,17 +31,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(lower, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = materialise(small.unionByName(lower.withColumnRenamed("m", "v")).distinct(), "stars")
         drop_materialised(kept)
-        kept, before, state = new, state, _digest(new)
-        if before == state:
-            break
+        kept = new
     hung = kept.select(F.col("u").alias("node"), F.col("v").alias("root"))
     roots = materialise(hung.unionByName(hung.select(F.col("root").alias("node"), "root").distinct()), "roots")
     drop_materialised(kept)
     return roots
 
 
-def _digest(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _hung(edges: DataFrame) -> bool:
+    """Whether every node of the edges (u, v) either hangs on one node or is one that others hang on."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("top"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("top")))
+    ways = ends.groupBy("node").agg((F.sum("up") + F.max("top")).alias("n"))
+    return (ways.agg(F.max("n")).first()[0] or 0) <= 1
 
 
 #: From one round to the next a bucket has so many times more stars.
@@ -48,7 +51,7 @@ _MORE_STARS = 16
 
 
 def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], cross: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Verified links (a, b) that connect all similar members of each bucket.
+    """Links (a, b) of every class b to the smallest class a of its component, by verified pairs that connect all similar members of each bucket.
 
     ``members`` is a written table: bucket, class, star (the bucket's smallest class),
     n (members of the bucket). ``verify`` keeps the similar ones of pairs (a, b).
@@ -64,31 +67,40 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], c
     """
     first = members.filter("class != star").groupBy("class").agg(F.min("star").alias("star"))
     seen = materialise(first.select(F.col("star").alias("a"), F.col("class").alias("b")), "pairs")
-    links = materialise(verify(seen), "links")
-    stars, roots, opened = 0, None, None
+    found = materialise(verify(seen), "links")
+    compared, roots, opened, stars = [seen], components(found).withColumnRenamed("node", "class"), None, 0
     while True:
-        before, roots = roots, components(links).withColumnRenamed("node", "class")
         known = members if opened is None else opened.drop("root")
         rooted = known.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
         mixed = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("bucket")
         now_open = materialise(rooted.join(mixed, "bucket", "left_semi"), "open")
-        _drop(before, opened)
+        _drop(opened, found)
         opened = now_open
         most = opened.agg(F.max("n")).first()[0]
-        if not most or stars >= most:
+        if not most:
             break
         more = max(1, stars * _MORE_STARS)
         if cross is not None and stars > 1:
             more = most  # rows are only made of pairs that may be similar: the rest is done at once
         ranked = opened.select("bucket", "class", "root", "n", _leads(stars).alias("was"), _leads(more).alias("leads"))
         pairs = _star_pairs(ranked) if cross is None else cross(ranked)
+        seen = functools.reduce(DataFrame.unionByName, compared)
         new = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
         found = materialise(verify(new), "links")
-        both, all_seen = materialise(links.unionByName(found), "links"), materialise(seen.unionByName(new), "pairs")
-        _drop(links, found, seen, new)
-        links, seen, stars = both, all_seen, more
-    _drop(opened, roots, seen)
-    return links
+        compared.append(new)
+        if not found.isEmpty():
+            before, roots = roots, components(_tree(roots).unionByName(found)).withColumnRenamed("node", "class")
+            _drop(before)
+        stars = more
+        if stars >= most:
+            _drop(found)
+            break
+    _drop(opened, *compared)
+    return _tree(roots)
+
+
+def _tree(roots: DataFrame) -> DataFrame:
+    return roots.filter("class != root").select(F.col("root").alias("a"), F.col("class").alias("b"))
 
 
 def _star_pairs(ranked: DataFrame) -> DataFrame:
