@@ -55,6 +55,8 @@ DENSITY, LEAST_BITS, MOST_BITS = 4, 128, 65536
 HELD = 1_000_000
 #: Members of a bucket that are compared in one task at most twice over.
 MEMBERS = 1024
+#: A class carries its first so many open buckets, by which a later one knows that a pair has been met.
+FIRST = 16
 #: Shingles whose signatures are made at once, which bounds a task's arrays.
 STRIP = 800_000
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -369,7 +371,11 @@ def cross_pairs(opened: DataFrame, classes: DataFrame, block: int = MEMBERS) ->
 
     A unit of work holds at most two blocks of about ``block`` members of a bucket; a
     larger bucket is dealt to one unit for every two of its blocks. Members are
-    compared in memory, and only pairs that may be linked become rows.
+    compared in memory, and only pairs that may be linked become rows. Only members
+    outside a unit's commonest root are compared with the others, since any pair of
+    different roots holds one of them. A pair is made in the first bucket that its two
+    classes share, and in a later one only if the ``FIRST`` buckets of both do not show
+    an earlier one; while they are not joined, all buckets they share stay open.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -408,38 +414,49 @@ def cross_pairs(opened: DataFrame, classes: DataFrame, block: int = MEMBERS) ->
         cuts = np.concatenate([[0], np.flatnonzero((unit[1:] != unit[:-1]).any(1)) + 1, [len(rows)]])
         cls, root, n, own, leads = (rows[c].to_numpy() for c in ("class", "root", "n", "own", "leads"))
         sketches = rows["sketch"].tolist()
+        first = np.frombuffer(b"".join(rows["first"]), ">i8").astype(np.int64).reshape(len(rows), FIRST)
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            low, high = unit[a][1:]
+            bucket, low, high = unit[a]
             if not leads[a:b].any() or (root[a:b] == root[a]).all():
                 continue
             order = a + np.argsort(n[a:b], kind="stable")
             until = np.searchsorted(n[order], DEN * n[order] // NUM, "right")  # linked sets are not much larger
+            since = np.searchsorted(until, np.arange(len(order)), "right")
+            words = np.array([len(sketches[x]) // 8 for x in order])
+            names, at, counts = np.unique(root[order], return_inverse=True, return_counts=True)
+            outside = at != counts.argmax()
             folded: dict[int, np.ndarray] = {}
             found: list[tuple[np.ndarray, np.ndarray]] = []
-            for i in range(len(order)):
+            for i in np.flatnonzero(outside):
                 x = order[i]
-                j = np.arange(i + 1, until[i])
-                j = j[root[order[j]] != root[x]]
+                j = np.arange(since[i], until[i])
+                j = j[(at[j] != at[i]) & (~outside[j] | (j > i))]
                 if not leads[x]:
                     j = j[leads[order[j]]]
                 if low != high:
                     j = j[own[order[j]] != own[x]]
-                if not len(j):
-                    continue
-                words = len(sketches[x]) // 8
-                if words not in folded:  # the larger sets of the unit, in as many parts
-                    folded[words] = _folded([sketches[y] for y in order[i:]], words, i)
-                j = j[_differ(folded[words][j], folded[words][i]) <= difference(n[x], n[order[j]])]
-                if len(j):
-                    found.append((np.full(len(j), cls[x]), cls[order[j]]))
+                for w in np.unique(np.minimum(words[j], words[i])):
+                    if w not in folded:  # the sets with so many parts or more, in as many
+                        larger = np.searchsorted(words, w)
+                        folded[w] = _folded([sketches[y] for y in order[larger:]], w, larger)
+                    k = j[np.minimum(words[j], words[i]) == w]
+                    k = order[k[_differ(folded[w][k], folded[w][i]) <= difference(n[x], n[order[k]])]]
+                    met = ((first[k][:, :, None] == first[x]).any(2) & (first[k] < bucket)).any(1)
+                    if not met.all():
+                        k = k[~met]
+                        found.append((np.full(len(k), cls[x]), cls[k]))
             if found:
                 p, q = (np.concatenate(z) for z in zip(*found, strict=True))
                 yield pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)}).drop_duplicates()
 
     blocks = F.ceil(F.col("n") / block).cast("int")
     dealt = opened.filter("not was").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    dealt = dealt.join(classes.select("class", F.col("n").alias("size"), "sketch"), "class").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = dealt.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "class", "root", F.col("size").alias("n"), "leads", "sketch")
+    met = opened.groupBy("class").agg(F.slice(F.sort_array(F.collect_list("bucket")), 1, FIRST).alias("first"))
+    none = F.array_repeat(F.lit((1 << 63) - 1), FIRST)
+    packed = F.unhex(F.array_join(F.transform(F.slice(F.concat("first", none), 1, FIRST), lambda x: F.lpad(F.hex(x), 16, "0")), ""))
+    held = classes.select("class", F.col("n").alias("size"), "sketch").join(met.select("class", packed.alias("first")), "class")
+    dealt = dealt.join(held, "class").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = dealt.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "class", "root", F.col("size").alias("n"), "leads", "sketch", "first")
     sorted_ = units.repartition(parts(opened.sparkSession), "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
     return sorted_.mapInPandas(run, "a long, b long")
 

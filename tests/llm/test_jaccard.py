@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from credence.llm import jaccard, queries
 from credence.llm.components import components
@@ -162,3 +163,25 @@ def test_a_pair_of_many_buckets_is_handed_on_once_by_each_task(spark):
     opened = spark.createDataFrame(rows, "bucket long, class long, root long, n long, was boolean, leads boolean")
     found = [(r.a, r.b) for r in jaccard.cross_pairs(opened, classes).collect()]
     assert set(found) == {(0, 1)} and len(found) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_a_pair_of_many_buckets_is_made_once_whatever_the_tasks(spark):
+    rng = np.random.default_rng(10)
+    base = np.unique(rng.integers(0, 1 << 63, 200).astype(np.uint64))
+    sets = [base, base, base[:160], np.unique(rng.integers(0, 1 << 63, 200).astype(np.uint64))]
+    classes = spark.createDataFrame([(c, len(s), bytearray(jaccard.sketch_of(s))) for c, s in enumerate(sets)], "class long, n long, sketch binary")
+    before = [(bucket, 3, 3, 2, False, True) for bucket in range(-40, 0)]  # buckets that the pairs do not share fill the lists of one class
+    rows = before + [(bucket, c, c, 4, False, True) for bucket in range(200) for c in range(4)]
+    opened = spark.createDataFrame(rows, "bucket long, class long, root long, n long, was boolean, leads boolean")
+    found = sorted((r.a, r.b) for r in jaccard.cross_pairs(opened, classes).collect())
+    assert found == [(0, 1), (0, 2), (1, 2)]
+    joined = opened.withColumn("root", F.least("class", F.lit(1)))  # 1, 2 and 3 are the commonest root
+    assert sorted((r.a, r.b) for r in jaccard.cross_pairs(joined, classes).collect()) == [(0, 1), (0, 2)]
+
+
+def test_a_pair_whose_first_buckets_are_not_shared_is_made(spark):
+    sets = [np.arange(1, 201, dtype=np.uint64)] * 2
+    classes = spark.createDataFrame([(c, len(s), bytearray(jaccard.sketch_of(s))) for c, s in enumerate(sets)], "class long, n long, sketch binary")
+    alone = [(2 * bucket + c - 100, c, c, 2, False, True) for bucket in range(30) for c in (0, 1)]
+    opened = spark.createDataFrame(alone + [(7, c, c, 2, False, True) for c in (0, 1)], "bucket long, class long, root long, n long, was boolean, leads boolean")
+    assert [(r.a, r.b) for r in jaccard.cross_pairs(opened, classes).collect()] == [(0, 1)]
