@@ -6,8 +6,8 @@ BAND_ROWS`` orders of the shingles' hashes, the least one. Lines are cut into ch
 16 shingles, whose hashes and minima are plain generated code; the minima of a line's
 chunks are aggregated. The minima of a band name a bucket. In a bucket every class is
 compared with the smallest one, and only buckets that links have not joined go on
-(``bucket_links``). Pairs that a sketch of 2048 bits a line proves unlike never become
-rows. Verification is exact: the Jaccard similarity of all distinct character shingles
+(``bucket_links``). Of these, pairs that a sketch of 2048 bits a line proves unlike
+never become rows. Verification is exact: the Jaccard similarity of all distinct character shingles
 of both lines. Components come from a distributed union-find; the
 first line of each component stays (by id, then place).
 
@@ -32,7 +32,7 @@ SHINGLE, THRESHOLD = 9, 0.75
 #: A pair at the threshold shares a bucket with probability 1 - (1 - 0.75 ** 3) ** 9 = 0.993.
 BANDS, BAND_ROWS = 9, 3
 #: Shingles of a chunk, and of the blocks that are cut into chunks.
-CHUNK, BLOCK = 16, 128
+CHUNK, BLOCK = 16, 512
 _BLOCKS = rf"(?s)(?=(.{{{SHINGLE},{BLOCK + SHINGLE - 1}}})).{{1,{BLOCK}}}"
 
 
@@ -44,15 +44,16 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def chunks_of(lines: DataFrame, keys: list[str], line: str) -> DataFrame:
-    """The hashes of all shingles of each line: rows of the keys and h0 to h15; a line's last chunk repeats its last shingle."""
+    """The hashes of all shingles of each line: rows of the keys and h0 to h15; the last chunk of a block repeats shingles of the one before, or the last one."""
     text = F.col(line)
     short = F.char_length(text) <= BLOCK + SHINGLE - 1
     blocks = lines.select(*keys, F.explode(F.when(short, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(_BLOCKS), F.lit(1)))).alias("__block"))
     wide = blocks.select(*keys, F.encode("__block", "UTF-32").alias("__wide"))  # four bytes a character, so a shingle is found by its place
-    count = F.shiftright(F.octet_length("__wide"), 2) - (SHINGLE - 1)
-    starts = wide.select(*keys, "__wide", count.alias("__count"), F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), count - 1), F.lit(CHUNK))).alias("__i"))
-    at = lambda k: 4 * F.greatest(F.lit(0), F.least(F.col("__i") + k, F.col("__count") - 1)) + 1
-    return starts.select(*keys, *[F.xxhash64(F.substring("__wide", at(k), F.lit(4 * SHINGLE))).alias(f"h{k}") for k in range(CHUNK)])
+    last = F.greatest(F.lit(0), F.shiftright(F.octet_length("__wide"), 2) - SHINGLE)
+    starts = wide.select(*keys, "__wide", (4 * last + 1).alias("__last"), F.explode(F.sequence(F.lit(0), last, F.lit(CHUNK))).alias("__i"))
+    first = F.greatest(F.lit(1), F.least(4 * F.col("__i") + 1, F.col("__last") - 4 * (CHUNK - 1)))
+    cut = starts.select(*keys, "__wide", "__last", first.alias("__first"))
+    return cut.select(*keys, *[F.xxhash64(F.substring("__wide", F.least(F.col("__first") + 4 * k, F.col("__last")), F.lit(4 * SHINGLE))).alias(f"h{k}") for k in range(CHUNK)])
 
 
 def signatures(lines: DataFrame, keys: list[str], line: str = "line") -> DataFrame:
@@ -83,8 +84,8 @@ def let(value: Column, body) -> Column:
 
 def shingle_set(line: Column) -> Column:
     """Hashes of all distinct character shingles of a line, each found by its place."""
-    last = F.greatest(F.lit(0), F.char_length(line) - SHINGLE)
-    hashes = lambda wide: F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(wide, 4 * i + 1, F.lit(4 * SHINGLE))))
+    starts = F.sequence(F.lit(1), 4 * F.greatest(F.lit(0), F.char_length(line) - SHINGLE) + 1, F.lit(4))
+    hashes = lambda wide: F.transform(starts, lambda i: F.xxhash64(F.substring(wide, i, F.lit(4 * SHINGLE))))
     return F.array_distinct(let(F.encode(line, "UTF-32"), hashes))
 
 
@@ -116,12 +117,6 @@ def may_link(threshold: float) -> Column:
     return ((1 + threshold) * F.abs(F.col("n_a") - F.col("n_b")) <= most) & ((1 + threshold) * differ <= most)
 
 
-def likely(pairs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) that sizes and sketches do not rule out; all that are similar stay."""
-    slim = known.drop("bands")
-    return pairs.join(side(slim, "a"), "a").join(side(slim, "b"), "b").filter(may_link(threshold)).select("a", "b")
-
-
 def close_pairs(opened: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of a star and another member of a bucket whose roots differ and that sizes and sketches do not rule out.
 
@@ -144,8 +139,9 @@ def close_pairs(opened: DataFrame, known: DataFrame, threshold: float) -> DataFr
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) whose shingle sets are similar enough; ``texts`` holds class and line."""
     both = pairs.join(side(texts, "a"), "a").join(side(texts, "b"), "b")
-    sets = both.select("a", "b", F.struct(shingle_set(F.col("line_a")).alias("x"), shingle_set(F.col("line_b")).alias("y")).alias("s"))
-    counted = sets.select("a", "b", let(F.col("s"), lambda s: F.struct(F.size(s["x"]).alias("m"), F.size(s["y"]).alias("n"), F.size(F.array_intersect(s["x"], s["y"])).alias("k"))).alias("c"))
+    # a generator, since in a lambda the sets would be made and compared outside generated code, and a filter would make them again
+    sets = both.select("a", "b", shingle_set(F.col("line_a")).alias("x"), shingle_set(F.col("line_b")).alias("y"))
+    counted = sets.select("a", "b", F.explode(F.array(F.struct(F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("k")))).alias("c"))
     return counted.filter(F.col("c.k") >= threshold * (F.col("c.m") + F.col("c.n") - F.col("c.k"))).select("a", "b")
 
 
@@ -156,23 +152,32 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     signed = materialise(signatures(lines, ["k1", "k2"]).withColumn("class", F.monotonically_increasing_id()), "signatures")
     members = signed.select("class", F.explode("bands").alias("bucket"))
     stars = members.groupBy("bucket").agg(F.min("class").alias("star"), F.count("*").alias("n")).filter("n > 1")
-    shared = materialise(members.join(stars, "bucket"), "shared")
+    shared = materialise(members.join(stars.hint("shuffle_hash"), "bucket"), "shared")
     places = lines.groupBy("k1", "k2").agg(F.min(F.struct(F.col("id").isNull(), "id", "row", "at")).alias("first"))
     classes = materialise(places.join(signed.select("k1", "k2", "class"), ["k1", "k2"]), "classes")
     bands = materialise(signed.select("class", "bands").join(shared.select("class").distinct(), "class", "left_semi"), "bands")
     drop_materialised(signed)
     involved = classes.join(shared.select("class").distinct(), "class", "left_semi").select("class", F.col("first.row").alias("row"), F.col("first.at").alias("at"))
     texts = materialise(lines.select("row", "at", "line").join(involved.hint("shuffle_hash"), ["row", "at"]).select("class", "line"), "texts")
-    known = materialise(bands.join(sketches(texts), "class"), "sketches")
-    drop_materialised(bands)
-    links = bucket_links(shared, lambda pairs: verified(likely(pairs, known, threshold), texts, threshold), lambda opened: close_pairs(opened, known, threshold))
-    for step in (shared, texts, known):
+    known: list[DataFrame] = []
+
+    def cross(opened: DataFrame) -> DataFrame:
+        if not known:  # later rounds have no other classes
+            among = opened.select("class").distinct()
+            known.append(materialise(bands.join(sketches(texts.join(among, "class", "left_semi")), "class"), "sketches"))
+        return close_pairs(opened, known[0], threshold)
+
+    links = bucket_links(shared, lambda pairs: verified(pairs, texts, threshold), cross)
+    for step in (shared, bands, texts, *known):
         drop_materialised(step)
     roots = links.select(F.col("b").alias("class"), F.col("a").alias("root"))
+    roots = roots.unionByName(roots.select(F.col("root").alias("class"), "root").distinct())
 
-    whole = classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    first = whole.groupBy("root").agg(F.min("first").alias("kept"))
-    decided = whole.join(first, "root").select("k1", "k2", F.col("root").alias("component"), F.col("kept.row").alias("kept_row"), F.col("kept.at").alias("kept_at"))
+    linked = classes.join(roots.hint("shuffle_hash"), "class").select("class", "root", "first")
+    kept = linked.groupBy("root").agg(F.min("first").alias("kept"))
+    joined = materialise(linked.join(kept, "root").select("class", "root", "kept"), "joined")  # all other classes are components of their own
+    whole = classes.join(joined.hint("shuffle_hash"), "class", "left").withColumn("kept", F.coalesce("kept", "first"))
+    decided = whole.select("k1", "k2", F.coalesce("root", "class").alias("component"), F.col("kept.row").alias("kept_row"), F.col("kept.at").alias("kept_at"))
     out = lines.select("row", F.col("id").alias(id_col), "at", "k1", "k2").join(decided, ["k1", "k2"])
     return out.select("row", id_col, "at", "component", ((F.col("row") == F.col("kept_row")) & (F.col("at") == F.col("kept_at"))).alias("kept"))
 

@@ -231,3 +231,25 @@ def test_unlike_copies_of_one_line_do_not_become_pairs(spark, monkeypatch):
     want, found = brute(rows), lines.line_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.at) for r in found if r.kept} == set(want.values()) and 100 < len(set(want.values())) <= 160
     assert sum(made) < 0.2 * len(rows) ** 2 / 2
+
+
+def test_chunks_hold_every_shingle_and_no_other(spark):
+    rng = random.Random(14)
+    rows = [(n, "".join(rng.choices("abcdefghéß😀 ", k=n))) for n in (1, 8, 9, 10, 23, 24, 25, 40, 41, 135, 136, 137, 519, 520, 521, 522, 535, 536, 1032, 1033, 1100)]
+    df = spark.createDataFrame(rows, "n long, line string")
+    hashed = lines.chunks_of(df, ["n"], "line").select("n", F.explode(F.array(*[f"h{k}" for k in range(lines.CHUNK)])).alias("h"))
+    got = {r.n: r.hs for r in hashed.groupBy("n").agg(F.array_sort(F.collect_set("h")).alias("hs")).collect()}
+    parts = [(n, x) for n, line in rows for x in {line[i : i + 9] for i in range(max(1, n - 8))}]
+    shingles = spark.createDataFrame(parts, "n long, x string").withColumn("h", F.xxhash64(F.encode("x", "UTF-32")))
+    assert got == {r.n: r.hs for r in shingles.groupBy("n").agg(F.array_sort(F.collect_set("h")).alias("hs")).collect()}
+
+
+def test_only_members_of_buckets_that_stars_leave_open_get_sketches(spark, monkeypatch):
+    rng = random.Random(15)
+    base = ["".join(rng.choices("abcdefghij klmnop", k=300)) for _ in range(20)]
+    rows = [(2 * i + k, line[: len(line) - k] + "X" * k) for i, line in enumerate(base) for k in (0, 1)]
+    made, materialise = [], lines.materialise
+    monkeypatch.setattr(lines, "materialise", lambda df, name: made.append(name) or materialise(df, name))
+    found = lines.line_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in found if r.kept) == list(range(0, 40, 2))
+    assert "signatures" in made and "sketches" not in made
