@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -143,6 +146,23 @@ def contradicts(new: Column, old: Column, cos: Column, negation_floor: float = 0
     return ((cos >= negation_floor) & (negated(new) != negated(old))) | ((cos >= status_floor) & flip)
 
 
+def stance(text: Column) -> Column:
+    """What ``contradicts`` asks of one text, as bits: 1 negated, 2 resolved, 4 unresolved, 8 no text."""
+    bit = lambda c, n: F.when(c, n).otherwise(0)
+    return bit(negated(text), 1) + bit(resolved(text), 2) + bit(unresolved(text), 4) + bit(text.isNull(), 8)
+
+
+def stance_floors(negation_floor: float = 0.88, status_floor: float = 0.75) -> Callable[[int, np.ndarray], np.ndarray]:
+    """The least similarity at which a text of one stance contradicts texts of others; infinite if it never does."""
+
+    def floors(mark: int, marks: np.ndarray) -> np.ndarray:
+        flip = ((mark & 2 > 0) & (marks & 4 > 0)) | ((mark & 4 > 0) & (marks & 2 > 0))
+        least = np.minimum(np.where((marks ^ mark) & 1, negation_floor, np.inf), np.where(flip, status_floor, np.inf))
+        return np.where((marks | mark) & 8, np.inf, least)
+
+    return floors
+
+
 def kind_of(text: Column) -> Column:
     t = F.lower(text)
     return F.when(t.rlike(KINDS["procedural"]), "procedural").when(t.rlike(KINDS["semantic"]), "semantic").otherwise("episodic")

@@ -1,99 +1,231 @@
-"""Similarity joins over vectors within groups: blocks of vectors against blocks, in Arrow tasks.
+"""Similarity joins over vectors within groups: blocks of vectors against streams of vectors, in Arrow tasks.
 
-Exact joins compare all rows of a group; a task holds two blocks of bounded size,
-whatever the size of the group, and only pairs above the threshold (or the k best)
-leave it.
+Exact joins compare all rows of a group. A task holds one block of bounded size and
+compares it with rows that pass by in small batches, so its memory does not grow with
+the group; only pairs above the threshold (or the k best) leave it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from credence.session import checkpointed
 
-BLOCK = 1024
+#: Vectors in a block, on average.
+BLOCK = 4096
+#: Products computed at once.
+CELLS = 1 << 20
 
+#: Ids, vectors (float64) and marks of some rows.
+Part = tuple[np.ndarray, np.ndarray, np.ndarray]
 
-def _blocks(rows: DataFrame, group: str, block: int, place: str | None = None) -> DataFrame:
-    """Blocks of a group: g, b, n (blocks of the group), ids, data (float64 rows), and the longs of ``place`` if one is named."""
-    extra = [] if place is None else [F.col(place).alias("place")]
-    held = rows.filter(F.col("embedding").isNotNull()).select("id", F.col(group).alias("g"), "embedding", *extra)
-    counts = held.groupBy("g").agg(F.ceil(F.count("*") / block).cast("long").alias("n"))
-    dealt = held.join(counts, "g").withColumn("b", F.pmod(F.xxhash64("id"), F.col("n")))
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        data = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-        out = pd.DataFrame({"g": pdf["g"].iloc[:1], "b": pdf["b"].iloc[:1], "n": pdf["n"].iloc[:1], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "data": [data.tobytes()]})
-        return out.assign(places=[pdf["place"].to_numpy(np.int64).tobytes()]) if place else out
+def _held(rows: DataFrame, group: str, mark: Column | None) -> DataFrame:
+    """The rows that can take part: g, id, embedding, mark."""
+    held = rows.select(F.col(group).alias("g"), F.col("id").cast("long").alias("id"), "embedding", (F.lit(0) if mark is None else mark).cast("long").alias("mark"))
+    return held.filter(F.col("embedding").isNotNull() & F.col("id").isNotNull() & F.col("g").isNotNull() & F.col("mark").isNotNull())
 
-    kind = rows.schema[group].dataType.simpleString()
-    return dealt.groupBy("g", "b").applyInPandas(lambda pdf: pack(pdf), f"g {kind}, b long, n long, ids binary, data binary" + (", places binary" if place else ""))
 
+def _counts(held: DataFrame, block: int) -> DataFrame:
+    """Blocks of each group: g, n."""
+    return held.groupBy("g").agg(F.ceil(F.count("*") / block).cast("long").alias("n"))
 
-def _block_pairs(rows: DataFrame, group: str, block: int, ordered: bool) -> DataFrame:
-    blocks = _blocks(rows, group, block)
-    low = F.col("b") if ordered else F.lit(0)
-    left = blocks.withColumn("other", F.explode(F.sequence(low.cast("long"), F.col("n") - 1)))
-    right = blocks.select("g", F.col("b").alias("other"), F.col("ids").alias("ids2"), F.col("data").alias("data2"))
-    return left.join(right, ["g", "other"])
 
+def _sent(rows: DataFrame, group: str, block: int, once: bool, mark: Column | None = None) -> DataFrame:
+    """Rows of one table, sent to their own block, which holds them, and to others that they pass by.
 
-def _products(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    a, b = np.frombuffer(row.ids, np.int64), np.frombuffer(row.ids2, np.int64)
-    x, y = np.frombuffer(row.data).reshape(len(a), -1), np.frombuffer(row.data2).reshape(len(b), -1)
-    return a, b, np.round(x @ y.T, 6)
-
-
-def theta_pairs(rows: DataFrame, group: str, threshold: float, block: int = BLOCK) -> DataFrame:
-    """Pairs of a group whose product exceeds the threshold: a, b (a < b), cos."""
+    ``once``: of two blocks, only one meets the rows of the other (the owner alternates, so that
+    all have the same share); else each block meets the rows of all others.
+    """
+    held = _held(rows, group, mark)
+    dealt = held.join(_counts(held, block), "g").withColumn("b", F.pmod(F.xxhash64("id"), F.col("n")))
+    own = lambda k: (k == F.col("b")) | (F.pmod(k + F.col("b"), F.lit(2)) == F.when(k > F.col("b"), 0).otherwise(1))
+    to = F.sequence(F.lit(0).cast("long"), F.col("n") - 1)
+    return dealt.withColumn("to", F.explode(F.filter(to, own) if once else to)).select("g", "to", (F.col("to") == F.col("b")).alias("own"), "id", "embedding", "mark")
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, bool, Part]]:
+    """Runs of rows of one block that are all held or all passing by."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        codes = batch.column("g").dictionary_encode()
+        to, own = batch.column("to").to_numpy(), batch.column("own").to_numpy(zero_copy_only=False)
+        ids, marks = batch.column("id").to_numpy(), batch.column("mark").to_numpy()
+        vectors = batch.column("embedding")
+        flat = vectors.flatten().to_numpy(zero_copy_only=False)
+        if len(flat) % len(ids) or (np.diff(vectors.offsets.to_numpy()) != len(flat) // len(ids)).any():
+            raise ValueError("vectors of different lengths")
+        x = flat.reshape(len(ids), -1)
+        code = codes.indices.to_numpy()
+        cuts = np.flatnonzero((np.diff(code) != 0) | (np.diff(to) != 0) | (own[1:] != own[:-1])) + 1
+        for lo, hi in itertools.pairwise([0, *cuts.tolist(), len(ids)]):
+            yield (codes.dictionary[int(code[lo])].as_py(), int(to[lo])), bool(own[lo]), (ids[lo:hi], x[lo:hi].astype(np.float64), marks[lo:hi])
+
+
+def _each_block(sent: DataFrame, work: Callable[[Part, Iterator[Part]], Iterator[list]], schema: str) -> DataFrame:
+    """``work(block, passing)`` for each block, with the rows that pass by in parts of bounded size; it yields lists of columns."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    out = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, segments in itertools.groupby(_segments(batches), key=lambda s: s[0]):
+            held, after = [], []
+            for segment in segments:
+                if not segment[1]:
+                    after = [segment]
+                    break
+                held.append(segment[2])
+            if held:
+                block = tuple(np.concatenate(c) for c in zip(*held))
+                for columns in work(block, (s[2] for s in itertools.chain(after, segments))):
+                    if len(columns[0]):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
+
+    parts = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sent.repartition(parts, "g", "to").sortWithinPartitions("g", "to", F.desc("own")).mapInArrow(run, schema)
+
+
+def _cut(parts: Iterator[Part], width: int) -> Iterator[Part]:
+    step = max(1, CELLS // width)
+    for ids, x, marks in parts:
+        for at in range(0, len(ids), step):
+            yield ids[at : at + step], x[at : at + step], marks[at : at + step]
+
+
+def _above(x: np.ndarray, y: np.ndarray, least: float, equal: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and rounded products of the pairs whose rounded product exceeds ``least`` (or equals it)."""
+    raw = x @ y.T
+    i, j = np.nonzero(raw > least - 2e-6)
+    cos = np.round(raw[i, j], 6)
+    keep = cos >= least if equal else cos > least
+    return i[keep], j[keep], cos[keep]
+
+
+def theta_pairs(rows: DataFrame, group: str, threshold: float, block: int = BLOCK, mark: Column | None = None, floors: Callable[[int, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """Pairs of a group whose product exceeds the threshold: a, b (a < b), cos.
+
+    With ``mark``, a long of each row, and ``floors(mark, marks)``, symmetric, a pair must also reach
+    the floor of its two marks; where it is infinite nothing is computed. Rows without a mark take no part.
+    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples():
-                a, b, cos = _products(row)
-                i, j = np.nonzero(cos > threshold)
-                lo, hi = np.minimum(a[i], b[j]), np.maximum(a[i], b[j])
-                keep = (a[i] < b[j]) if row.b == row.other else lo != hi
-                yield pd.DataFrame({"a": lo[keep], "b": hi[keep], "cos": cos[i, j][keep]})
+    def meet(part: Part, other: Part, within: bool) -> Iterator[list]:
+        for m in [0] if floors is None else np.unique(part[2]).tolist():
+            a, x, _ = part if floors is None else [c[part[2] == m] for c in part]
+            b, y, _ = other
+            if floors is not None:
+                least = floors(m, other[2])
+                at = np.flatnonzero(least < np.inf)
+                b, y, least = b[at], y[at], least[at]
+            if not len(b):
+                continue
+            i, j, cos = _above(x, y, threshold)
+            lo, hi = np.minimum(a[i], b[j]), np.maximum(a[i], b[j])
+            keep = (a[i] < b[j]) if within else lo != hi
+            if floors is not None:
+                keep &= cos >= least[j]
+            yield [lo[keep], hi[keep], cos[keep]]
+
+    def work(held: Part, passing: Iterator[Part]) -> Iterator[list]:
+        for part in _cut([held], len(held[0])):
+            yield from meet(part, held, True)
+        for part in _cut(passing, len(held[0])):
+            yield from meet(part, held, False)
+
+    return _each_block(_sent(rows, group, block, True, mark), work, "a long, b long, cos double")
+
+
+def theta_links(rows: DataFrame, group: str, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Pairs a, b whose components are those of all pairs of ``theta_pairs``.
+
+    A block sends at most one pair for each row it holds and each that passes by, however many are alike.
+    """
 
-    return _block_pairs(rows, group, block, True).mapInPandas(run, "a long, b long, cos double")
+    def work(held: Part, passing: Iterator[Part]) -> Iterator[list]:
+        ids, y, _ = held
+        root = np.arange(len(ids))
+
+        def join(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            """Join the components of all j of one i; the component of each pair."""
+            nonlocal root
+            while len(i):
+                near = root[j]
+                least = np.full(i[-1] + 1, len(ids))
+                np.minimum.at(least, i, near)
+                if (least[i] == near).all():
+                    break
+                np.minimum.at(root, near, least[i])
+                while (root[root] != root).any():
+                    root = root[root]
+            return root[j]
+
+        at = 0
+        for a, x, _ in _cut([held], len(ids)):
+            i, j, _ = _above(x, y, threshold)
+            keep = a[i] != ids[j]
+            i, j = i[keep], j[keep]
+            alike = np.unique(i)
+            i, j = np.concatenate([i, alike]), np.concatenate([j, alike + at])
+            order = np.argsort(i, kind="stable")
+            join(i[order], j[order])
+            at += len(a)
+        for a, x, _ in _cut(passing, len(ids)):
+            i, j, _ = _above(x, y, threshold)
+            keep = a[i] != ids[j]
+            i, j = i[keep], j[keep]
+            near = join(i, j)
+            one, first = np.unique(i, return_index=True)
+            yield [a[one], ids[near[first]]]
+        moved = np.flatnonzero(root != np.arange(len(ids)))
+        yield [ids[moved], ids[root[moved]]]
+
+    return _each_block(_sent(rows, group, block, True), work, "a long, b long").filter("a <> b")
 
 
 def cross_pairs(left: DataFrame, right: DataFrame, group: str, threshold: float, block: int = BLOCK) -> DataFrame:
     """Pairs of a left and a right row of a group whose product exceeds the threshold: a, b, cos."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples():
-                a, b, cos = _products(row)
-                i, j = np.nonzero(cos > threshold)
-                yield pd.DataFrame({"a": a[i], "b": b[j], "cos": cos[i, j]})
+    def work(held: Part, passing: Iterator[Part]) -> Iterator[list]:
+        for a, x, _ in _cut(passing, len(held[0])):
+            i, j, cos = _above(x, held[1], threshold)
+            yield [a[i], held[0][j], cos]
 
-    one = _blocks(left, group, block).select("g", "b", "ids", "data")
-    two = _blocks(right, group, block).select("g", F.col("b").alias("other"), F.col("ids").alias("ids2"), F.col("data").alias("data2"))
-    return one.join(two, "g").mapInPandas(run, "a long, b long, cos double")
+    two = _held(right, group, None)
+    counts = _counts(two, block)
+    columns = ["g", "to", "own", "id", "embedding", "mark"]
+    kept = two.join(counts, "g").withColumns({"to": F.pmod(F.xxhash64("id"), F.col("n")), "own": F.lit(True)}).select(*columns)
+    to = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
+    sent = _held(left, group, None).join(counts, "g").withColumns({"to": to, "own": F.lit(False)}).select(*columns)
+    return _each_block(kept.unionByName(sent), work, "a long, b long, cos double")
 
 
 def knn(rows: DataFrame, group: str, k: int, floor: float = -2.0, block: int = BLOCK) -> DataFrame:
     """The k nearest other rows of each row within its group: id, rank, other, cos."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples():
-                a, b, cos = _products(row)
-                cos[a[:, None] == b[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(b, cos.shape), -cos), axis=1)[:, :k]
-                best = np.take_along_axis(cos, order, 1)
-                keep = best >= floor
-                yield pd.DataFrame({"id": np.repeat(a, keep.sum(1)), "other": b[order][keep], "cos": best[keep]})
-
-    near = _block_pairs(rows, group, block, False).mapInPandas(run, "id long, other long, cos double")
+    def work(held: Part, passing: Iterator[Part]) -> Iterator[list]:
+        b, y, _ = held
+        for a, x, _ in _cut(itertools.chain([held], passing), len(b)):
+            cos = np.round(x @ y.T, 6)
+            cos[(a[:, None] == b[None, :]) | np.isnan(cos)] = -np.inf
+            best = np.partition(cos, -k, axis=1)[:, -k, None] if k < len(b) else np.full((len(a), 1), -np.inf)
+            i, j = np.nonzero((cos >= best) & (cos >= floor))
+            order = np.lexsort((b[j], -cos[i, j], i))
+            i, j = i[order], j[order]
+            starts = np.searchsorted(i, np.arange(len(a)))
+            keep = np.arange(len(i)) - starts[i] < k
+            i, j = i[keep], j[keep]
+            yield [a[i], b[j], cos[i, j]]
+
+    near = _each_block(_sent(rows, group, block, False), work, "id long, other long, cos double")
     by = Window.partitionBy("id").orderBy(F.desc("cos"), "other")
     return near.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("id", "rank", "other", "cos")
 
@@ -101,22 +233,23 @@ def knn(rows: DataFrame, group: str, k: int, floor: float = -2.0, block: int = B
 def with_later(rows: DataFrame, group: str, place: str, threshold: float, block: int = BLOCK) -> DataFrame:
     """Ids of rows with a row at or above a threshold in their group whose (place, id) is larger; ``place`` is a long.
 
-    A pair is computed once, and two blocks send each of their ids once at most, so a
+    A pair is computed once, and a block sends each id it holds or meets once at most, so a
     group of very many copies costs no more rows than others.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples():
-                a, b, cos = _products(row)
-                p, q = np.frombuffer(row.places, np.int64)[:, None], np.frombuffer(row.places2, np.int64)[None, :]
-                near = (cos >= threshold) & (a[:, None] != b[None, :])
-                later = (q > p) | ((q == p) & (b[None, :] > a[:, None]))
-                yield pd.DataFrame({"id": np.concatenate([a[(near & later).any(1)], b[(near & ~later).any(0)]])})
-
-    blocks = _blocks(rows, group, block, place)
-    left = blocks.withColumn("other", F.explode(F.sequence("b", F.col("n") - 1)))
-    right = blocks.select("g", F.col("b").alias("other"), F.col("ids").alias("ids2"), F.col("data").alias("data2"), F.col("places").alias("places2"))
-    return left.join(right, ["g", "other"]).mapInPandas(run, "id long").distinct()
+
+    def work(held: Part, passing: Iterator[Part]) -> Iterator[list]:
+        b, y, q = held
+        found = np.zeros(len(b), bool)
+        for (a, x, p), within in itertools.chain(((s, True) for s in _cut([held], len(b))), ((s, False) for s in _cut(passing, len(b)))):
+            i, j, _ = _above(x, y, threshold, True)
+            keep = a[i] != b[j]
+            i, j = i[keep], j[keep]
+            later = (q[j] > p[i]) | ((q[j] == p[i]) & (b[j] > a[i]))
+            found[j[~later]] = True
+            yield [np.unique(a[i[later]])] if not within else [a[:0]]
+        yield [b[found]]
+
+    return _each_block(_sent(rows, group, block, True, F.col(place)), work, "id long").distinct()
 
 
 def connected(edges: DataFrame) -> DataFrame:

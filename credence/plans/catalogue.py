@@ -699,10 +699,8 @@ def write_decisions(spark, sf):
 @query(f"""{_NOTED_SQL}, p AS (SELECT a.id AS a, b.id AS b, a.text AS x, b.text AS y, round({DOT(a='a.embedding', b='b.embedding')}, 6) AS cos FROM noted a JOIN noted b ON a.domain = b.domain AND a.id < b.id WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL)
  SELECT a, b FROM p WHERE cos > 0.1 AND {_TORN(n=0.2, s=0.15)}""")
 def contradiction_pairs(spark, sf):
-    m = _noted(spark, sf)
-    side = lambda c: m.select(F.col("id").alias(c), F.col("text").alias(f"t{c}"))
-    both = similarity.theta_pairs(m, "domain", 0.1).join(side("a"), "a").join(side("b"), "b")
-    return both.filter(text.contradicts(F.col("ta"), F.col("tb"), F.col("cos"), 0.2, 0.15)).select("a", "b")
+    found = similarity.theta_pairs(_noted(spark, sf), "domain", 0.1, mark=text.stance(F.col("text")), floors=text.stance_floors(0.2, 0.15))
+    return found.select("a", "b")
 
 
 @query("SELECT doc_id FROM documents WHERE instr(lower(text), 'and') > 0 AND instr(lower(text), 'the') > 0 AND source = 'src3'")
