@@ -364,7 +364,7 @@ def near_dup_pairs(spark, sf):
 @query(f"""WITH RECURSIVE {memories_cte()}, p AS (SELECT a.id AS a, b.id AS b FROM memories a JOIN memories b ON a.domain = b.domain AND a.id <> b.id WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL AND round({DOT(a='a.embedding', b='b.embedding')}, 6) > 0.35),
  r AS (SELECT a AS id, a AS root FROM p UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.id) SELECT id, min(root) AS root FROM r GROUP BY id""")
 def near_dup_groups(spark, sf):
-    return similarity.connected(similarity.theta_pairs(memories(spark, sf), "domain", 0.35))
+    return similarity.connected(similarity.theta_links(memories(spark, sf), "domain", 0.35))
 
 
 @query(f"""{M}, n AS (SELECT a.id, b.id AS other, round({DOT(a='a.embedding', b='b.embedding')}, 6) AS cos FROM memories a JOIN memories b ON a.project = b.project AND a.id <> b.id WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL)

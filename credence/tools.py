@@ -261,7 +261,7 @@ def memory_cleanup_singletons(store: Store, min_count: int = 3, floor: float = 0
 
 def memory_find_duplicate_clusters(store: Store, domain: str | None = None, threshold: float = 0.85, min_cluster_size: int = 2) -> DataFrame:
     rows = store["memories"] if domain is None else store["memories"].filter(F.col("domain") == domain)
-    groups = similarity.connected(similarity.theta_pairs(rows, "domain", threshold))
+    groups = similarity.connected(similarity.theta_links(rows, "domain", threshold))
     return groups.groupBy("root").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.count("*").alias("n")).filter(F.col("n") >= min_cluster_size)
 
 
