@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import json
 import os
 import re
 import zlib
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm.bpe import gather
+from credence.llm.bpe import byte_letters, gather
 from credence.llm.common import materialise, whole_ids
 
 #: Distinct white-space-free chunks kept per task before the pool starts anew.
@@ -46,6 +47,10 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
+        added = self.library.get_added_tokens_decoder().values()
+        steps = [json.loads(s.__getstate__()) if s else None for s in (self.library.normalizer, self.library.pre_tokenizer)]
+        known = steps == _STEPS and all("<|" in t.content for t in added)
+        self.merge = self.library.model.tokenize if known else None
         self.forget()
 
     def forget(self) -> None:
@@ -55,16 +60,35 @@ class WordIds:
         self.word_ids, self.word_at = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def _encode_words(self) -> None:
-        """Let the library encode the words that are new."""
+        """Encode the words that are new: those of one pre-token by the library's model alone, the others by the whole library."""
         new = list(itertools.islice(self.word, len(self.word_at) - 1, None))
         if new:
-            found = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
+            found: list = [None] * len(new)
+            rest = []
+            for n, word in enumerate(new):
+                letters = self._letters(word)
+                if letters is None:
+                    rest.append(n)
+                else:
+                    found[n] = [t.id for t in self.merge(letters)]
+            for n, e in zip(rest, self.library.encode_batch_fast([new[n] for n in rest], add_special_tokens=False), strict=True):
+                found[n] = e.ids
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             self.word_ids = np.concatenate([self.word_ids, np.fromiter(itertools.chain.from_iterable(found), np.int32, int(sizes.sum()))])
             self.word_at = np.concatenate([self.word_at, self.word_at[-1] + np.cumsum(sizes)])
 
+    def _letters(self, word: str) -> str | None:
+        """What the model is given for a word that is one pre-token: a letter for each byte; None if it may not be one."""
+        if self.merge is None:
+            return None
+        if word.isascii():
+            return word if word.isalpha() else None if "<|" in word else word.translate(_BYTE_LETTERS)
+        if _LATIN.fullmatch(word):
+            return word.lower().encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return None
+
     def _encode_new(self) -> None:
-        """Ids of new chunks: a mark behind letters is a word of its own, ASCII case does not matter."""
+        """Ids of new chunks: a mark behind letters is a word of its own, ASCII case does not matter, ASCII chunks are cut into pre-tokens here."""
         new = list(itertools.islice(self.number, len(self.at) - 1, None))
         if not new:
             return
@@ -77,8 +101,12 @@ class WordIds:
                 runs.append(number(body.lower() if body.isascii() else body))
                 runs.append(number(chunk[-1]))
                 sizes.append(2)
+            elif chunk.isascii() and (chunk.isalpha() or (self.merge and "<|" not in chunk)):
+                words = [chunk.lower()] if chunk.isalpha() else _ASCII_SPLIT.findall(chunk.lower())
+                runs.extend(map(number, words))
+                sizes.append(len(words))
             else:
-                runs.append(number(chunk.lower() if chunk.isalpha() and chunk.isascii() else chunk))
+                runs.append(number(chunk))
                 sizes.append(1)
         self._encode_words()
         run = np.array(runs, np.int64)
@@ -116,6 +144,18 @@ class WordIds:
 
 #: Marks that end a word on their own.
 _MARKS = {".", ",", "!", "?", ":", ";", ")"}
+#: The steps before the model of files whose chunks may be cut here, and what their pattern is for lower-case ASCII without white space.
+_STEPS = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+]
+_ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Letters that lower case and composition leave alone or map to one letter each.
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_BYTE_LETTERS = dict(enumerate(byte_letters()))
 
 
 class _Numbered(dict):

@@ -24,6 +24,28 @@ def test_ids_agree_with_the_library(library):
         assert ids.tolist() == library.encode(text or "", add_special_tokens=False).ids, repr(text)
 
 
+def test_words_of_one_pre_token_are_encoded_by_the_model_alone(library):
+    rng = random.Random(3)
+    plain = ["The", "Ça", "STRAßE", "naïve.", "x***", "it's", "don'T!", "a1b22", "\x00q\x7f", "<a|>", "à·b"]
+    odd = ["<|x", "a<|endoftext|>b", "é́", "µm", "日本", "İx", "ﬁn"]
+    texts = [" ".join(plain), " ".join(odd)]
+    texts += [" ".join("".join(rng.choices("abzAZ09'#*.,stremlvdÀÿßé\x01\x7f", k=rng.randint(1, 12))) for _ in range(50)) for _ in range(200)]
+    coder = packing.WordIds(queries.WORD_BPE)
+    for text, ids in zip(texts, coder.encode_batch(texts), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    asked: list[str] = []
+
+    class Library:
+        def encode_batch_fast(self, words, **kw):
+            asked.extend(words)
+            return library.encode_batch_fast(words, **kw)
+
+    coder.forget()
+    coder.library = Library()
+    list(coder.encode_batch([texts[0]]))
+    assert asked == ["à·b"]
+
+
 def test_tree_places_as_plain_first_fit_does():
     rng = np.random.default_rng(2)
     for n in (0, 1, 2, 7, 300):
