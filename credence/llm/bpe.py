@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm.common import whole_ids
+from credence.llm.common import give_back, whole_ids
 
 #: Fixed value: the pattern that splits text before merging (public byte-level BPE vocabularies).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -341,6 +341,8 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             if with_ids:
                 out |= {"ids": [x.tolist() for x in ids], "decoded": texts}
             yield pd.DataFrame(out)
+        bpe.forget()  # a worker that waits for its next task holds no pool
+        give_back()
 
     schema = f"`{id_col}` string, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if with_ids:

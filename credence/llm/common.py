@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -105,6 +106,13 @@ def whole_ids(docs: DataFrame, id_col: str, made: DataFrame) -> DataFrame:
     return made.withColumn(id_col, F.col(f"`{id_col}`").cast(docs.schema[id_col].dataType))
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where the allocator (glibc) can: workers that wait for a task would keep it."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

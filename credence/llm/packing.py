@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from credence.llm.bpe import byte_letters, gather
-from credence.llm.common import materialise, whole_ids
+from credence.llm.common import give_back, materialise, whole_ids
 
 #: Distinct white-space-free chunks kept per task before the pool starts anew.
 POOL = 500_000
@@ -220,6 +220,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, closing_id: i
                     row = (doc, start, len(piece), zlib.crc32(piece.tobytes()), len(ids))
                     rows.append((*row, piece.astype(np.int32).tolist()) if with_ids else row)
             yield pd.DataFrame(rows, columns=names)
+        coder.forget()  # a worker that waits for its next task holds no pool
+        give_back()
 
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
     schema = f"`{id_col}` string, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids

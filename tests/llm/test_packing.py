@@ -46,6 +46,20 @@ def test_words_of_one_pre_token_are_encoded_by_the_model_alone(library):
     assert asked == ["à·b"]
 
 
+def test_workers_that_wait_hold_no_pool(spark):
+    from credence.llm import bpe
+
+    docs = spark.range(64).repartition(8).selectExpr("id AS doc_id", "concat_ws(' ', 'word', 'x' || id) AS text")
+    assert packing.token_pieces(docs, queries.WORD_BPE).count() == 64
+    assert bpe.encode_decode(docs, queries.BYTE_BPE).count() == 64
+
+    def held(batches):
+        for batch in batches:
+            yield batch.assign(id=len(packing.word_ids(queries.WORD_BPE).number) + len(bpe.encoder(queries.BYTE_BPE).pool))
+
+    assert spark.range(8).repartition(8).mapInPandas(held, "id long").agg({"id": "max"}).first()[0] == 0
+
+
 def test_tree_places_as_plain_first_fit_does():
     rng = np.random.default_rng(2)
     for n in (0, 1, 2, 7, 300):
