@@ -12,7 +12,7 @@ or not taken over (``ledger``).
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from credence.llm.common import give_back
+
 #: Measurements of one text, in this order.
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words")
 _STRUCT = T.StructType([T.StructField(m, T.LongType()) for m in MEASURES])
@@ -96,8 +98,12 @@ def repeated_words(words: list[bytes], width: int = 3) -> int:
 
 
 @F.pandas_udf(_STRUCT)
-def measures_of(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([measure(t) for t in texts], columns=list(MEASURES), dtype="int64")
+def measures_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    texts = None
+    for texts in batches:
+        yield pd.DataFrame([measure(t) for t in texts], columns=list(MEASURES), dtype="int64")
+    del texts
+    give_back()
 
 
 def failure_bits(at: str = "") -> Column:
