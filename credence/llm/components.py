@@ -5,70 +5,76 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from credence.llm.common import drop_materialised, materialise
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Root (smallest node) of every node that has an edge, as a written table: columns node, root.
+    """Root (smallest node) of every node that has an edge: columns node, root."""
+    hung = hang(edges.select(F.col(a).alias("a"), F.col(b).alias("b")))
+    return hung.unionByName(hung.select(F.col("root").alias("node"), "root").distinct())
+
+
+def hang(edges: DataFrame) -> DataFrame:
+    """Root (smallest node of its component) of every node of the edges (a, b) that is not its own root, as a written table: node, root.
 
     Each round hangs all neighbours of a node on the smallest one, first the larger
     neighbours of every node, then the smaller ones. A node's smallest neighbour is
     aggregated before the shuffle, and adaptive execution splits the partition of a
-    node with very many neighbours. Every round is written to the shared folder; the
+    node with very many neighbours. No round makes more edges than it was given, so
+    equal ones may stay until the end. Every round is written to the shared folder; the
     last is the one after which every node hangs on its root alone.
     """
-    kept = materialise(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col("u") != F.col("v")).distinct(), "edges"
-    )
+    kept, made = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v"), None
     while not _hung(kept):
         both = kept.unionByName(kept.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lower, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = materialise(small.unionByName(lower.withColumnRenamed("m", "v")).distinct(), "stars")
-        drop_materialised(kept)
-        kept = new
-    hung = kept.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    roots = materialise(hung.unionByName(hung.select(F.col("root").alias("node"), "root").distinct()), "roots")
-    drop_materialised(kept)
+        large = both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        lower = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        kept = materialise(lower.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")), "stars")
+        _drop(made)
+        made = kept
+    roots = materialise(kept.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")), "roots")
+    _drop(made)
     return roots
 
 
 def _hung(edges: DataFrame) -> bool:
     """Whether every node of the edges (u, v) either hangs on one node or is one that others hang on."""
-    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("top"))
-    ends = ends.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("top")))
-    ways = ends.groupBy("node").agg((F.sum("up") + F.max("top")).alias("n"))
-    return (ways.agg(F.max("n")).first()[0] or 0) <= 1
+    ends = edges.select(F.col("u").alias("node"), F.col("v").alias("up"), F.lit(0).alias("top"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("node"), F.lit(None).cast("long").alias("up"), F.lit(1).alias("top")))
+    ways = ends.groupBy("node").agg(F.min("up").alias("x"), F.max("up").alias("y"), F.max("top").alias("top"))
+    return not ways.agg(F.max((F.col("x") != F.col("y")) | (F.col("x").isNotNull() & (F.col("top") == 1)))).first()[0]
 
 
 #: From one round to the next a bucket has so many times more stars.
 _MORE_STARS = 16
 
 
-def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], cross: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def bucket_links(
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], cross: Callable[[DataFrame], DataFrame] | None = None, likely: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """Links (a, b) of every class b to the smallest class a of its component, by verified pairs that connect all similar members of each bucket.
 
     ``members`` is a written table: bucket, class, star (the bucket's smallest class),
     n (members of the bucket). ``verify`` keeps the similar ones of pairs (a, b).
-    First each class is compared with one star. While a bucket's members lie in
-    different components, its star and then other members, 16 times as many in
-    every round, are compared with the members of other components; in the last round
-    every member has been a star. So pairs are only made where links have not yet
-    joined a bucket, and no two similar members stay apart. No pair is verified twice.
+    First each class is compared with one star; ``likely`` may drop unlike ones of these
+    pairs unseen. While a bucket's members lie in different components, its star and some
+    other members, about 16 of them, and at last all members are compared with the
+    members of other components (without ``cross``, 16 times as many in every round). So
+    pairs are only made where links have not yet joined a bucket, and no two similar
+    members stay apart. No pair is verified twice.
     ``cross`` may make the pairs of a round: it gets the members (bucket, class, root, n)
     of buckets that are still open, with ``was`` and ``leads`` (star before and now), and
     returns the pairs (a, b) of a star and another member that may be similar, of
     different roots, none of which was a star before.
     """
-    first = members.filter("class != star").groupBy("class").agg(F.min("star").alias("star"))
-    seen = materialise(first.select(F.col("star").alias("a"), F.col("class").alias("b")), "pairs")
+    first = members.filter("class != star").groupBy("class").agg(F.min("star").alias("star")).select(F.col("star").alias("a"), F.col("class").alias("b"))
+    seen = materialise(first if likely is None else likely(first), "pairs")
     found = materialise(verify(seen), "links")
-    compared, roots, opened, stars = [seen], components(found).withColumnRenamed("node", "class"), None, 0
+    compared, roots, opened, stars = [seen], hang(found).withColumnRenamed("node", "class"), None, 0
     while True:
         known = members if opened is None else opened.drop("root")
         rooted = known.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
@@ -79,8 +85,8 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], c
         most = opened.agg(F.max("n")).first()[0]
         if not most:
             break
-        more = max(1, stars * _MORE_STARS)
-        if cross is not None and stars > 1:
+        more = max(1, stars) * _MORE_STARS
+        if cross is not None and stars:
             more = most  # rows are only made of pairs that may be similar: the rest is done at once
         ranked = opened.select("bucket", "class", "root", "n", _leads(stars).alias("was"), _leads(more).alias("leads"))
         pairs = _star_pairs(ranked) if cross is None else cross(ranked)
@@ -89,7 +95,7 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], c
         found = materialise(verify(new), "links")
         compared.append(new)
         if not found.isEmpty():
-            before, roots = roots, components(_tree(roots).unionByName(found)).withColumnRenamed("node", "class")
+            before, roots = roots, hang(_tree(roots).unionByName(found)).withColumnRenamed("node", "class")
             _drop(before)
         stars = more
         if stars >= most:
@@ -100,7 +106,7 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], c
 
 
 def _tree(roots: DataFrame) -> DataFrame:
-    return roots.filter("class != root").select(F.col("root").alias("a"), F.col("class").alias("b"))
+    return roots.select(F.col("root").alias("a"), F.col("class").alias("b"))
 
 
 def _star_pairs(ranked: DataFrame) -> DataFrame:

@@ -360,10 +360,9 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             if len(batch):
                 yield batch.loc[may_link(batch["n_a"].to_numpy(), batch["s_a"].tolist(), batch["n_b"].to_numpy(), batch["s_b"].tolist()), ["a", "b"]]
 
-    size = lambda c: classes.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"))
-    sized = pairs.join(size("a"), "a").join(size("b"), "b").filter(DEN * F.least("n_a", "n_b") >= NUM * F.greatest("n_a", "n_b"))
-    side = lambda c: classes.select(F.col("class").alias(c), F.col("sketch").alias(f"s_{c}"))
-    return sized.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long")
+    side = lambda c: classes.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    sized = pairs.join(side("b"), "b").join(side("a"), "a").filter(DEN * F.least("n_a", "n_b") >= NUM * F.greatest("n_a", "n_b"))
+    return sized.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInPandas(run, "a long, b long")
 
 
 def cross_pairs(opened: DataFrame, classes: DataFrame, block: int = MEMBERS) -> DataFrame:
@@ -471,8 +470,8 @@ def _folded(sketches: list[bytes], words: int, before: int) -> np.ndarray:
     return out
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: str, width: int = WIDTH) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are linked; the sets are made again for the classes of the pairs alone."""
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are linked; ``sets``: class and set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -483,12 +482,8 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: st
                 keep.append(DEN * both >= NUM * (len(x) + len(y) - both))
             yield batch.loc[keep, ["a", "b"]]
 
-    named = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    sets = materialise(sets_of(docs, classes.join(named, "class", "left_semi").select("row"), text_col, width), "compared")
     side = lambda c: sets.select(F.col("class").alias(c), F.col("set").alias(f"set_{c}"))
-    links = materialise(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInPandas(run, "a long, b long"), "links")
-    drop_materialised(sets)
-    return links
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInPandas(run, "a long, b long")
 
 
 def sets_of(docs: DataFrame, rows: DataFrame, text_col: str, width: int = WIDTH) -> DataFrame:
@@ -515,13 +510,10 @@ def rooted_groups(docs: DataFrame, id_col: str, text_col: str, width: int = WIDT
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first().t
     members = materialise(buckets(docs, text_col, max(1, -(-total // PER_TASK)), width), "buckets")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        close = materialise(likely(pairs, classes), "close")
-        linked = verified(close, classes, docs, text_col, width)
-        drop_materialised(close)
-        return linked
-
-    links = bucket_links(members, verify, lambda opened: cross_pairs(opened, classes))
+    among = members.select("class").distinct()
+    sets = materialise(sets_of(docs, classes.join(among, "class", "left_semi").select("row"), text_col, width), "compared")
+    links = bucket_links(members, lambda pairs: verified(pairs, sets), lambda opened: cross_pairs(opened, classes), lambda pairs: likely(pairs, classes))
+    drop_materialised(sets)
     drop_materialised(members)
     roots = links.select(F.col("b").alias("class"), F.col("a").alias("root"))
     whole = classes.select("class", "id").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))

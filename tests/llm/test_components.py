@@ -28,3 +28,21 @@ def test_steps_send_no_side_of_a_join_through_the_driver(spark):
     with common._step(spark):
         plan = spark.range(1000).join(small, "id")._jdf.queryExecution().executedPlan().toString()
     assert "Join" in plan and "Broadcast" not in plan
+
+
+def test_buckets_are_joined_in_three_comparisons(spark, monkeypatch):
+    made, materialise = [], components.materialise
+    monkeypatch.setattr(components, "materialise", lambda df, name: (made.append(name), materialise(df, name))[1])
+    members = spark.createDataFrame([(7, c, 0, 100) for c in range(100)], "bucket long, class long, star long, n long")
+    verify = lambda pairs: pairs.filter((F.col("a") % 30 == F.col("b") % 30) & (F.col("a") > 0))
+    cross = lambda opened: components._star_pairs(opened.withColumn("star", F.lit(0)))
+    links = components.bucket_links(members, verify, cross, lambda pairs: pairs.filter("b % 2 = 0"))
+    assert sorted((r.a, r.b) for r in links.collect()) == sorted((c % 30 or 30, c) for c in range(31, 100))
+    assert made.count("pairs") == 3 and "edges" not in made
+
+
+def test_equal_and_turned_edges_are_hung_on_their_root(spark):
+    edges = [(1, 2), (2, 1), (1, 2), (3, 2), (3, 3), (5, 4), (4, 6), (6, 5), (9, 8), (8, 7), (7, 9), (10, 7), (10, 9)] * 2
+    hung = components.hang(spark.createDataFrame(edges, "a long, b long"))
+    assert sorted((r.node, r.root) for r in hung.collect()) == [(2, 1), (3, 1), (5, 4), (6, 4), (8, 7), (9, 7), (10, 7)]
+    assert components.hang(spark.createDataFrame([(3, 3)], "a long, b long").limit(0)).count() == 0

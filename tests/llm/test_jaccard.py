@@ -185,3 +185,21 @@ def test_a_pair_whose_first_buckets_are_not_shared_is_made(spark):
     alone = [(2 * bucket + c - 100, c, c, 2, False, True) for bucket in range(30) for c in (0, 1)]
     opened = spark.createDataFrame(alone + [(7, c, c, 2, False, True) for c in (0, 1)], "bucket long, class long, root long, n long, was boolean, leads boolean")
     assert [(r.a, r.b) for r in jaccard.cross_pairs(opened, classes).collect()] == [(0, 1)]
+
+
+def test_rounds_make_the_sets_of_the_texts_once(spark, monkeypatch):
+    from credence.llm import components
+
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = []
+    for i in range(40):
+        text = list(base)
+        for at in rng.sample(range(300), 11):  # too unlike the others, but not its own near copy
+            text[at] = f"x{rng.randrange(10**6)}"
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join([*text, "end"]))]
+    made = []
+    for module in (jaccard, components):
+        monkeypatch.setattr(module, "materialise", lambda df, name, f=module.materialise: (made.append(name), f(df, name))[1])
+    assert got(jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    assert made.count("pairs") > 1 and made.count("compared") == 1 and "close" not in made
