@@ -22,9 +22,9 @@ def hang(edges: DataFrame) -> DataFrame:
 
     Each round hangs all neighbours of a node on the smallest one, first the larger
     neighbours of every node, then the smaller ones. A node's smallest neighbour is
-    aggregated before the shuffle, and adaptive execution splits the partition of a
-    node with very many neighbours. No round makes more edges than it was given, so
-    equal ones may stay until the end. Every round is written to the shared folder; the
+    aggregated before the shuffle; the edges of a node with very many neighbours pass by
+    in one task, and those to smaller nodes may spill. No round makes more edges than it
+    was given. Every round is written to the shared folder; the
     last is the one after which every node hangs on its root alone.
     """
     kept, made = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v"), None
@@ -33,7 +33,8 @@ def hang(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         lower = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
-        kept = materialise(lower.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")), "stars")
+        small = lower.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        kept = materialise(small.distinct(), "stars")
         _drop(made)
         made = kept
     roots = materialise(kept.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")), "roots")

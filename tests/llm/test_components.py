@@ -46,3 +46,18 @@ def test_equal_and_turned_edges_are_hung_on_their_root(spark):
     hung = components.hang(spark.createDataFrame(edges, "a long, b long"))
     assert sorted((r.node, r.root) for r in hung.collect()) == [(2, 1), (3, 1), (5, 4), (6, 4), (8, 7), (9, 7), (10, 7)]
     assert components.hang(spark.createDataFrame([(3, 3)], "a long, b long").limit(0)).count() == 0
+
+
+def test_members_linked_with_many_stars_keep_one_edge_after_a_round(spark, monkeypatch):
+    made, materialise = [], components.materialise
+
+    def counted(df, name):
+        out = materialise(df, name)
+        made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(components, "materialise", counted)
+    edges = [(star, b) for star in range(16) for b in range(16, 200)]
+    hung = components.hang(spark.createDataFrame(edges, "a long, b long"))
+    assert sorted((r.node, r.root) for r in hung.collect()) == [(n, 0) for n in range(1, 200)]
+    assert made[-1] == ("roots", 199) and all(n <= 184 + 15 * 184 for _, n in made) and [n for name, n in made if name == "stars"][-1] <= 2 * 199
