@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm.common import drop_materialised, materialise, parts, row_of, stable
+from credence.llm.common import drop_materialised, give_back, materialise, parts, row_of, stable
 from credence.llm.components import bucket_links
 
 WIDTH = 5
@@ -481,6 +481,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 both = len(x) + len(y) - len(np.union1d(x, y))
                 keep.append(DEN * both >= NUM * (len(x) + len(y) - both))
             yield batch.loc[keep, ["a", "b"]]
+        batch = x = y = None
+        give_back()
 
     side = lambda c: sets.select(F.col("class").alias(c), F.col("set").alias(f"set_{c}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInPandas(run, "a long, b long")
@@ -493,6 +495,8 @@ def sets_of(docs: DataFrame, rows: DataFrame, text_col: str, width: int = WIDTH)
         for batch in batches:
             sets = _row_sets(batch["text"], width)
             yield pd.DataFrame({"class": list(map(class_of, sets)), "set": [s.tobytes() for s in sets]})
+        batch = sets = None
+        give_back()
 
     named = docs.select(row_of(docs).alias("row"), F.col(text_col).alias("text")).join(rows.hint("shuffle_hash"), "row", "left_semi")
     return named.select("text").mapInPandas(run, "class long, set binary")
