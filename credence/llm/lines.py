@@ -149,26 +149,24 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Every line with a word: row (file and place), the id, at, component (a class number), kept."""
     docs = stable(docs)
     lines = lines_of(docs, id_col, text_col)
-    signed = materialise(signatures(lines, ["k1", "k2"]).withColumn("class", F.monotonically_increasing_id()), "signatures")
+    # the text goes along, so that neither signatures nor verification cut the documents into lines again
+    places = lines.groupBy("k1", "k2").agg(F.min(F.struct(F.col("id").isNull(), "id", "row", "at")).alias("first"), F.first("line").alias("line"))
+    classes = materialise(places.withColumn("class", F.monotonically_increasing_id()), "classes")
+    signed = materialise(signatures(classes, ["class"]), "signatures")
     members = signed.select("class", F.explode("bands").alias("bucket"))
     stars = members.groupBy("bucket").agg(F.min("class").alias("star"), F.count("*").alias("n")).filter("n > 1")
     shared = materialise(members.join(stars.hint("shuffle_hash"), "bucket"), "shared")
-    places = lines.groupBy("k1", "k2").agg(F.min(F.struct(F.col("id").isNull(), "id", "row", "at")).alias("first"))
-    classes = materialise(places.join(signed.select("k1", "k2", "class"), ["k1", "k2"]), "classes")
-    bands = materialise(signed.select("class", "bands").join(shared.select("class").distinct(), "class", "left_semi"), "bands")
-    drop_materialised(signed)
-    involved = classes.join(shared.select("class").distinct(), "class", "left_semi").select("class", F.col("first.row").alias("row"), F.col("first.at").alias("at"))
-    texts = materialise(lines.select("row", "at", "line").join(involved.hint("shuffle_hash"), ["row", "at"]).select("class", "line"), "texts")
+    texts = materialise(classes.select("class", "line").join(shared.select("class").distinct().hint("shuffle_hash"), "class", "left_semi"), "texts")
     known: list[DataFrame] = []
 
     def cross(opened: DataFrame) -> DataFrame:
         if not known:  # later rounds have no other classes
             among = opened.select("class").distinct()
-            known.append(materialise(bands.join(sketches(texts.join(among, "class", "left_semi")), "class"), "sketches"))
+            known.append(materialise(signed.join(sketches(texts.join(among, "class", "left_semi")).hint("shuffle_hash"), "class"), "sketches"))
         return close_pairs(opened, known[0], threshold)
 
     links = bucket_links(shared, lambda pairs: verified(pairs, texts, threshold), cross)
-    for step in (shared, bands, texts, *known):
+    for step in (signed, shared, texts, *known):
         drop_materialised(step)
     roots = links.select(F.col("b").alias("class"), F.col("a").alias("root"))
     roots = roots.unionByName(roots.select(F.col("root").alias("class"), "root").distinct())

@@ -253,3 +253,24 @@ def test_only_members_of_buckets_that_stars_leave_open_get_sketches(spark, monke
     found = lines.line_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in found if r.kept) == list(range(0, 40, 2))
     assert "signatures" in made and "sketches" not in made
+
+
+def test_equal_lines_are_signed_once_and_documents_are_cut_into_lines_twice(spark, monkeypatch):
+    rng = random.Random(16)
+    base = ["".join(rng.choices("abcdefghij klmnop", k=200)) for _ in range(10)]
+    rows = [(doc, "\n".join(rng.sample(base, 4))) for doc in range(50)]
+    signed, signatures, plans, materialise = [], lines.signatures, [], lines.materialise
+
+    def counted(table, keys, line="line"):
+        signed.append(table.count())
+        return signatures(table, keys, line)
+
+    def explained(df, name):
+        plans.append("posexplode" in df._jdf.queryExecution().optimizedPlan().toString())
+        return materialise(df, name)
+
+    monkeypatch.setattr(lines, "signatures", counted)
+    monkeypatch.setattr(lines, "materialise", explained)
+    out = lines.line_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert signed == [10] and sum(plans) == 1  # and once in the result
+    assert out.count() == 200 and out.filter("kept").count() == 10
