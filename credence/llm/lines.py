@@ -153,7 +153,8 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     places = lines.groupBy("k1", "k2").agg(F.min(F.struct(F.col("id").isNull(), "id", "row", "at")).alias("first"), F.first("line").alias("line"))
     classes = materialise(places.withColumn("class", F.monotonically_increasing_id()), "classes")
     signed = materialise(signatures(classes, ["class"]), "signatures")
-    members = signed.select("class", F.explode("bands").alias("bucket"))
+    # dealt once, for the counts and for the join
+    members = signed.select("class", F.explode("bands").alias("bucket")).repartition("bucket")
     stars = members.groupBy("bucket").agg(F.min("class").alias("star"), F.count("*").alias("n")).filter("n > 1")
     shared = materialise(members.join(stars.hint("shuffle_hash"), "bucket"), "shared")
     texts = materialise(classes.select("class", "line").join(shared.select("class").distinct().hint("shuffle_hash"), "class", "left_semi"), "texts")

@@ -274,3 +274,18 @@ def test_equal_lines_are_signed_once_and_documents_are_cut_into_lines_twice(spar
     out = lines.line_classes(spark.createDataFrame(rows, "doc_id long, text string"))
     assert signed == [10] and sum(plans) == 1  # and once in the result
     assert out.count() == 200 and out.filter("kept").count() == 10
+
+
+def test_members_are_dealt_to_their_buckets_once(spark, monkeypatch):
+    plans, materialise = [], lines.materialise
+
+    def planned(df, name):
+        if name == "shared":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialise(df, name)
+
+    monkeypatch.setattr(lines, "materialise", planned)
+    rows = [(doc, f"line {doc % 3} of the documents") for doc in range(6)]
+    found = lines.line_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(plans) == 1 and "partial_count" in plans[0] and "ENSURE_REQUIREMENTS" not in plans[0]
+    assert found.count() == 6
